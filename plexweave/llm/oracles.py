@@ -46,4 +46,20 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from documents window w as (partition by coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op6_mix": OP6, "op9_exact_dedup": OP9}
+#: Shared shingles by joining on them, then the smallest reachable id by recursion along links.
+OP2 = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as m from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * m >= 75 * (x.n + y.n - m)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as doc_id, min(b) as component_id from r group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_near_dedup": OP2, "op6_mix": OP6, "op9_exact_dedup": OP9}

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from plexweave.llm.common import bound_batches, table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexweave.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexweave.llm.mixing import mixed
 
@@ -52,6 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op6_mix": op6_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
