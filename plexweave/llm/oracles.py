@@ -62,4 +62,18 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_i
 from documents d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_near_dedup": OP2, "op6_mix": OP6, "op9_exact_dedup": OP9}
+#: Every window as its words, the smallest doc_id of each, and the words that later documents' windows cover.
+OP7 = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 11)) as i, w from w where len(w) >= 13),
+g as (select doc_id, i, array_to_string(w[i:i+12], ' ') as s from p),
+m as (select s, min(doc_id) as owner from g group by s),
+x as (select distinct doc_id, unnest(range(i, i + 13)) as i from g join m using (s) where m.owner < g.doc_id),
+c as (select doc_id, list(i) as gone from x group by doc_id),
+k as (select w.doc_id, len(w.w) as n, coalesce(len(c.gone), 0) as r,
+  case when c.gone is null then w.w else list_transform(list_filter(range(1, len(w.w) + 1), lambda j: not list_contains(c.gone, j)), lambda j: w.w[j]) end as kept
+  from w left join c on c.doc_id = w.doc_id)
+select doc_id, n::bigint as n_words, r::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+"""
+
+ORACLES: dict[str, str] = {"op7_substring_dedup": OP7, "op2_near_dedup": OP2, "op6_mix": OP6, "op9_exact_dedup": OP9}

@@ -26,6 +26,13 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.orderBy("position", "doc_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexweave.llm.substring_dedup import with_kept
+
+    digest = lambda n, kept: (n, n - len(kept), sha256(b" ".join(kept)).hexdigest())
+    return with_kept(table(spark, sf_dir, "documents"), digest, "n_words long, n_removed long, kept_sha256 string")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexweave.llm.exact_dedup import exact_groups
 
@@ -60,6 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op6_mix": op6_mix,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
 }
