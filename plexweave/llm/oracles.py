@@ -76,4 +76,15 @@ k as (select w.doc_id, len(w.w) as n, coalesce(len(c.gone), 0) as r,
 select doc_id, n::bigint as n_words, r::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
 """
 
-ORACLES: dict[str, str] = {"op7_substring_dedup": OP7, "op2_near_dedup": OP2, "op6_mix": OP6, "op9_exact_dedup": OP9}
+OP3 = """
+with v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+    and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+s as (select a.vec_id as query_id, b.vec_id as vec_id, list_inner_product(a.e, b.e) as score
+  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op3_neighbours": OP3, "op7_substring_dedup": OP7, "op2_near_dedup": OP2, "op6_mix": OP6, "op9_exact_dedup": OP9}

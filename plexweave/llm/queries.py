@@ -19,6 +19,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexweave.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexweave.llm.mixing import mixed
 
@@ -66,6 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_neighbours": op3_neighbours,
     "op6_mix": op6_mix,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
