@@ -25,6 +25,12 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexweave.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexweave.llm.mixing import mixed
 
@@ -73,6 +79,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_neighbours": op3_neighbours,
+    "op5_html_text": op5_html_text,
     "op6_mix": op6_mix,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexweave.llm.common import bound_batches
-from plexweave.llm.words import hashes, rolling, split
+from plexweave.llm.words import hashes, mixed, rolling, split
 
 #: Words of a window.
 WINDOW = 13
@@ -25,22 +25,27 @@ WINDOW = 13
 GROUP = 4
 #: Bytes of a window's own hash; it is looked at within a group of one 64-bit hash only.
 DIGEST = 5
+SUFFIXES = "group long, doc long, at int, nodes binary"
 _LAST = (1 << 63) - 1
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(group, doc, at, nodes): windows from position `at` on that fall into one group, and their hashes end to end."""
+    """(group, doc, at, nodes): windows from position `at` on that fall into one group, and their hashes end to end.
+
+    A third column of the input, if any, keeps apart what differs in it: suffixes of one group have it in common.
+    """
     span = window - GROUP + 1
     for b in batches:
         groups, docs, starts, sizes, nodes = [], [], [], [], []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        apart = b.column(2).to_numpy().view(np.uint64) if b.num_columns > 2 else np.zeros(b.num_rows, np.uint64)
+        for doc, text, salt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), apart):
             words = hashes(7).of(split(text))
             if len(words) < window:
                 continue
             whole, runs = rolling(words, window), rolling(words, GROUP)
             least = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(len(whole))
             first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-            groups.append(runs[least[first]])
+            groups.append(mixed(runs[least[first]] ^ salt))
             docs.append(np.full(len(first), doc, np.int64))
             starts.append(first)
             sizes.append(np.diff(np.r_[first, len(whole)]))
@@ -106,7 +111,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("a window has 5 to 35 words")
     bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
-    suffixes = rows.mapInArrow(lambda batches: _suffixes(batches, window), "group long, doc long, at int, nodes binary")
+    return runs_of(rows.mapInArrow(lambda batches: _suffixes(batches, window), SUFFIXES))
+
+
+def runs_of(suffixes: DataFrame) -> DataFrame:
+    """doc, runs: of the output of _suffixes, what each document shares with one of a smaller id."""
     found = suffixes.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(_repeats, "doc long, at int, hits int")
     return found.groupBy("doc").agg(F.collect_list(F.struct("at", "hits")).alias("runs"))
 
