@@ -6,6 +6,11 @@ take up places of the prefix but need no posting, and a document with fewer than
 unlike documents have in common (a line, a passage) is frequent and so falls out of the prefixes. Documents with
 equal shingle sets are one class and are posted once.
 
+Up to SHORT shingles, a document's signature is its shingle set itself, each shingle a coordinate: a shared line can
+make up half of a short document, which samples of it could not tell from a copy at so low a threshold. There the
+number of matches asked for follows from the set's size, and the search is exact. Documents of a size at which a
+partner may have the other kind of signature are posted in both ways.
+
 Large posting lists are not expanded: each list first links its members to one of them, its hub, another one in each
 list. What is then in one component needs no further comparison. Members of different components are compared in
 full where that is linear in the postings, and otherwise after more rounds of hubs. Every candidate whose signatures
@@ -31,6 +36,8 @@ SHINGLE, SIMILARITY = 5, Fraction(3, 4)
 #: Signature length and the number of equal coordinates asked for. At similarity 0.75, 48 are equal on average with a
 #: deviation of 3.5, so a pair is missed once in some 200,000.
 COORDINATES, MATCHES = 64, 32
+#: Up to so many shingles the set itself is the signature.
+SHORT = 256
 #: Rounds of hubs end when the pairs left are at most so many times the postings, or after so many rounds.
 PAIRS_PER_POSTING, HUB_ROUNDS = 4, 6
 _CHUNK = 4096
@@ -56,19 +63,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mixed(low ^ _SALTS)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_shingles, whole, sampled, set1, set2): the signatures of either kind that a document needs."""
+    longs = pa.list_(pa.int64())
     for b in batches:
-        sizes, keys, first, second = [], [], [], []
+        sizes, whole, sampled, first, second = [], [], [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text)
-            sizes.append(len(s))
-            keys.append(signature(s).view(np.int64) if len(s) else None)
+            n = len(s)
+            sizes.append(n)
+            whole.append(s.view(np.int64) if 0 < n <= SHORT else None)
+            sampled.append(signature(s).view(np.int64) if n > similarity * SHORT else None)
             # order-free digests of the set, two for 128 bits
-            first.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
-            second.append(int(mixed(s + np.uint64(len(s))).sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
+            first.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if n else None)
+            second.append(int(mixed(s + np.uint64(n)).sum(dtype=np.uint64).view(np.int64)) if n else None)
         yield pa.record_batch(
-            [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
-            ["doc_id", "n_shingles", "keys", "set1", "set2"],
+            [b.column(0), pa.array(sizes, pa.int64()), pa.array(whole, longs), pa.array(sampled, longs), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
+            ["doc_id", "n_shingles", "whole", "sampled", "set1", "set2"],
         )
 
 
@@ -99,27 +110,31 @@ def _confirmed(batches: Iterator[pa.RecordBatch], numerator: int, denominator: i
 
 
 def prefix_postings(signed: DataFrame) -> DataFrame:
-    """key, id: each class (id, keys) under the rarest of its shared keys, as many as the prefix has of them."""
-    # the array is passed on, so that what is read again after the shuffle is narrow
-    posted = signed.select("id", F.explode("keys").alias("key")).repartition("key")
-    often = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posted.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
-    kept = F.slice("shared", 1, F.size("shared") - (MATCHES - 1))
-    return shared.where(F.size("shared") >= MATCHES).select("id", F.explode(kept["key"]).alias("key"))
+    """key, id, n: each signature (id, n, kind, need, keys) under the rarest of its shared keys, as many as its prefix has."""
+    # the array is left out, so that what is read again after the shuffle is narrow
+    posted = signed.select("id", "n", "kind", "need", F.explode("keys").alias("key")).repartition("key")
+    often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    shared = posted.join(often, "key").groupBy("id", "n", "kind", "need").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("shared"))
+    prefix = F.slice("shared", F.lit(1), (F.size("shared") - F.col("need") + 1).cast("int"))
+    return shared.where(F.size("shared") >= F.col("need")).select("id", "n", F.explode(prefix["key"]).alias("key"))
+
+
+def _alike(n: str, m: str, similarity: Fraction):
+    """Whether sets of these sizes can be similar enough."""
+    return similarity.denominator * F.least(n, m) >= similarity.numerator * F.greatest(n, m)
 
 
 def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) whose signatures have MATCHES equal coordinates and whose full sets are similar enough."""
-    counted = (
-        pairs.join(signed.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a")
-        .join(signed.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
-        .where(F.size(F.array_intersect("ka", "kb")) >= MATCHES)
-        .select("a", "b")
-    )
-    with_a = counted.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) that are similar enough: short ones by their signatures, which are whole sets; others by the
+    full sets of their texts, where MATCHES coordinates of the signatures are equal."""
+    of = lambda x: signed.select(F.col("id").alias(x), "kind", F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
+    counted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), ["b", "kind"]).withColumn("m", F.size(F.array_intersect("ka", "kb")))
     n, d = similarity.numerator, similarity.denominator
-    return rows.mapInArrow(lambda batches: _confirmed(batches, n, d), "a long, b long")
+    short = counted.where((F.col("kind") == 0) & (d * F.col("m") >= n * (F.col("na") + F.col("nb") - F.col("m")))).select("a", "b")
+    likely = counted.where((F.col("kind") == 1) & (F.col("m") >= MATCHES) & (F.greatest("na", "nb") > SHORT)).select("a", "b")
+    with_a = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return short.union(rows.mapInArrow(lambda batches: _confirmed(batches, n, d), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -131,18 +146,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpointed(rows.mapInArrow(_signed, "doc_id long, n_shingles long, keys array<long>, set1 long, set2 long"))
+    share = float(similarity)
+    signed = checkpointed(
+        rows.mapInArrow(lambda batches: _signed(batches, share), "doc_id long, n_shingles long, whole array<long>, sampled array<long>, set1 long, set2 long")
+    )
     sets = ["set1", "set2", "n_shingles"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min("doc_id").alias("class"))
     classed = signed.select("doc_id", *sets).join(classes, sets, "left").withColumn("class", F.coalesce("class", "doc_id"))
-    single = (
-        signed.where("n_shingles > 0 and doc_id is not null")
-        .select(F.col("doc_id").alias("id"), "keys", *sets)
-        .join(classes, sets)
-        .where("id = class")
-        .dropDuplicates(["id"])
-        .select("id", "keys")
-    )
+    heads = signed.where("n_shingles > 0 and doc_id is not null").join(classes, sets).where("doc_id = class").dropDuplicates(["doc_id"])
+    need = F.ceil(F.col("n_shingles") * similarity.numerator / similarity.denominator)
+    single = heads.select(
+        F.col("doc_id").alias("id"),
+        F.col("n_shingles").alias("n"),
+        F.explode(F.array(F.struct(F.lit(0).alias("kind"), need.alias("need"), F.col("whole").alias("keys")), F.struct(F.lit(1).alias("kind"), F.lit(MATCHES).cast("long").alias("need"), F.col("sampled").alias("keys")))).alias("s"),
+    ).select("id", "n", "s.*").where("keys is not null")
     # rows of one doc_id with different texts are in several classes, which are linked through it
     bridges = classed.where("doc_id is not null and doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     doubled = classed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
@@ -150,8 +167,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
 
     def hub_pairs(lists: DataFrame, salt: int) -> DataFrame:
-        hub = F.min_by("id", F.struct(F.xxhash64("id", "key", F.lit(salt)), "id")).alias("b")
-        return lists.join(lists.groupBy("key").agg(hub), "key").where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        hub = F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", "key", F.lit(salt)), "id")).alias("hub")
+        hubs = lists.groupBy("key").agg(hub).select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("m"))
+        met = lists.join(hubs, "key").where((F.col("id") != F.col("b")) & _alike("n", "m", similarity))
+        return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
     links = checkpointed(_linked(hub_pairs(posted, 0), single, texts, similarity))
     for salt in range(1, HUB_ROUNDS + 1):
@@ -166,11 +185,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         if open_pairs <= PAIRS_PER_POSTING * postings + 100_000 or salt == HUB_ROUNDS:
             one, other = left.alias("x"), left.alias("y")
-            pairs = one.join(other, F.expr("x.key = y.key and x.id > y.id and x.component <> y.component")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            apart = F.expr("x.key = y.key and x.id > y.id and x.component <> y.component") & _alike("x.n", "y.n", similarity)
+            pairs = one.join(other, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
             links = checkpointed(links.union(_linked(pairs, single, texts, similarity)))
             found = components(links.union(bridges.join(doubled, "a", "left_semi")))
             break
-        links = checkpointed(links.union(_linked(hub_pairs(left.select("key", "id"), salt), single, texts, similarity)))
+        links = checkpointed(links.union(_linked(hub_pairs(left.select("key", "id", "n"), salt), single, texts, similarity)))
     result = classed.join(found.withColumnRenamed("node", "class"), "class", "left")
     reached = F.coalesce("component", "class")
     return result.select("doc_id", "n_shingles", reached.alias("component_id"), F.coalesce(F.col("doc_id") == reached, F.lit(True)).alias("kept"))
