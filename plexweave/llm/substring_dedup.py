@@ -22,16 +22,20 @@ from plexweave.llm.words import hashes, mixed, rolling, split
 #: Words of a window.
 WINDOW = 13
 #: Words of the run that names a group of suffixes.
-GROUP = 4
-#: Bytes of a window's own hash; it is looked at within a group of one 64-bit hash only.
+GROUP = 3
+#: Bits of the hash that names a group.
+GROUP_BITS = 40
+#: Bytes of a window's own hash; it is looked at within one group only, so 80 bits tell windows apart.
 DIGEST = 5
-SUFFIXES = "group long, doc long, at int, nodes binary"
+SUFFIXES = "group long, doc long, at int, hits int, nodes binary"
 _LAST = (1 << 63) - 1
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(group, doc, at, nodes): windows from position `at` on that fall into one group, and their hashes end to end.
+    """(group, doc, at, hits, nodes): windows from position `at` on that fall into one group, and their hashes end to end.
 
+    Rows that a smaller document of the batch has just so are known to be repeats. They have `hits` in place of nodes
+    and a group of their own, so a passage that very many documents share comes about once from each batch.
     A third column of the input, if any, keeps apart what differs in it: suffixes of one group have it in common.
     """
     span = window - GROUP + 1
@@ -49,15 +53,21 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             docs.append(np.full(len(first), doc, np.int64))
             starts.append(first)
             sizes.append(np.diff(np.r_[first, len(whole)]))
-            nodes.append(np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :DIGEST]))
+            nodes.append(whole)
         if not groups:
             continue
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32) * DIGEST
-        packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(nodes).tobytes())])
-        yield pa.record_batch(
-            [pa.array(np.concatenate(groups).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts).astype(np.int32)), packed],
-            ["group", "doc", "at", "nodes"],
-        )
+        group, doc, at, size, node = map(np.concatenate, (groups, docs, starts, sizes, nodes))
+        same = mixed(np.add.reduceat(mixed(node), np.cumsum(size) - size) ^ group ^ size.astype(np.uint64))
+        order = np.lexsort((doc, same))
+        heads = np.flatnonzero(np.r_[True, same[order[1:]] != same[order[:-1]]])
+        known = np.zeros(len(group), bool)
+        known[order] = doc[order] > np.repeat(doc[order[heads]], np.diff(np.r_[heads, len(order)]))
+        group = np.where(known, mixed(doc.view(np.uint64) * np.uint64(1 << 20) + at.astype(np.uint64)), group) >> np.uint64(64 - GROUP_BITS)
+        hits = np.where(known, (1 << size) - 1, 0).astype(np.int32)
+        data = np.ascontiguousarray(node[np.repeat(~known, size)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :DIGEST])
+        ends = np.r_[0, np.cumsum(np.where(known, 0, size))].astype(np.int32) * DIGEST
+        packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+        yield pa.record_batch([pa.array(group.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(hits), packed], ["group", "doc", "at", "hits", "nodes"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +77,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         of_row = b.column(0).to_numpy()
-        doc, at, column = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+        doc, at, known, column = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4)
         if column.type != pa.binary():
             column = column.cast(pa.binary())
         ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
@@ -86,7 +96,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.concatenate([carried["doc"], doc[row]])
         order = np.lexsort((docs, keys, groups))
         keys, groups, docs = keys[order], groups[order], docs[order]
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1])]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1])
         heads = np.flatnonzero(new)
         owner = np.repeat(docs[heads], np.diff(np.r_[heads, len(keys)]))
         hit = np.zeros(len(keys), bool)
@@ -95,7 +106,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = heads[groups[heads] == number[-1]]
         group, owners = of_row[-1], np.zeros(len(last), owners.dtype)
         owners["node"], owners["doc"] = keys[last], docs[last]
-        bits = np.zeros(len(size), np.int32)
+        bits = known.copy()
         np.bitwise_or.at(bits, row[hit], np.int32(1) << place[hit].astype(np.int32))
         some = bits != 0
         yield pa.record_batch([pa.array(doc[some]), pa.array(at[some]), pa.array(bits[some])], ["doc", "at", "hits"])
@@ -107,8 +118,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Bit k of `hits` stands for the window from word at + k. A null id counts as larger than all others and comes as
     the largest long.
     """
-    if not GROUP < window <= GROUP + 31:
-        raise ValueError("a window has 5 to 35 words")
+    if not GROUP < window <= GROUP + 29:
+        raise ValueError(f"a window has {GROUP + 1} to {GROUP + 29} words")
     bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
     return runs_of(rows.mapInArrow(lambda batches: _suffixes(batches, window), SUFFIXES))
