@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from plexweave.llm.common import bound_batches, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexweave.llm.toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexweave.llm.near_dedup import near_groups
 
@@ -25,6 +32,13 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexweave.llm.langid import fit, identified
+
+    docs = table(spark, sf_dir, "documents")
+    return identified(docs, fit(docs))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexweave.llm.html_text import main_text
 
@@ -45,6 +59,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_kept(table(spark, sf_dir, "documents"), digest, "n_words long, n_removed long, kept_sha256 string")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file of the directory source/lang."""
+    from plexweave.llm.licences import licence_scan
+
+    docs = table(spark, sf_dir, "documents")
+    return licence_scan(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexweave.llm.exact_dedup import exact_groups
 
@@ -77,11 +99,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op3_neighbours": op3_neighbours,
+    "op4_language": op4_language,
     "op5_html_text": op5_html_text,
     "op6_mix": op6_mix,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_licences": op8_licences,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
 }
