@@ -40,6 +40,8 @@ COORDINATES, MATCHES = 64, 32
 SHORT = 256
 #: Rounds of hubs end when the pairs left are at most so many times the postings, or after so many rounds.
 PAIRS_PER_POSTING, HUB_ROUNDS = 4, 6
+#: Up to so many candidate ids (8 bytes each) are broadcast to pick out their texts; beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
 _CHUNK = 4096
 _rng = np.random.default_rng(20240)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,7 +166,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bridges = classed.where("doc_id is not null and doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     doubled = classed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
     posted = checkpointed(prefix_postings(single))
-    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    # only documents in a list with others can have a partner; their signatures and texts are set apart once
+    met = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    candidates = checkpointed(posted.join(met, "key", "left_semi").select("id").distinct())
+    few = candidates.count() <= BROADCAST_IDS
+    chosen = F.broadcast(candidates) if few else candidates
+    long_texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    single = checkpointed(single.join(chosen, "id", "left_semi"))
+    of_long = candidates.join(single.where(f"n > {share * SHORT}").select("id").distinct(), "id", "left_semi")
+    texts = checkpointed(long_texts.join(F.broadcast(of_long) if few else of_long, "id", "left_semi"))
 
     def hub_pairs(lists: DataFrame, salt: int) -> DataFrame:
         hub = F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", "key", F.lit(salt)), "id")).alias("hub")
