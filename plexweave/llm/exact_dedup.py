@@ -156,12 +156,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns as they were.
 
-    Of rows that repeat the doc_id of the row that stays, one remains, chosen by the order of all its columns'
-    hash. Rows with a null doc_id are compared with each
+    Of rows that repeat both the doc_id and the text of the row that stays, any one remains. Rows with a null doc_id are compared with each
     other only, and one of each text stays.
     """
-    stay = exact_groups(docs, id_col, text_col).where("kept").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    once = docs.join(stay.where("copies = 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    again = docs.join(stay.where("copies > 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    kept = exact_groups(docs, id_col, text_col).where("kept and doc_id is not null")
+    stay = kept.groupBy(F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")).agg(F.count("*").alias("__stay_rows"))
+    same = (F.col(id_col) == F.col("__stay_id")) & (sha == F.col("__stay_sha"))
+    once = docs.join(stay.where("__stay_rows = 1"), same, "left_semi")
+    again = docs.join(stay.where("__stay_rows > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
     nulls = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
-    return once.unionByName(again.dropDuplicates([id_col])).unionByName(nulls).select(docs.columns)
+    return once.unionByName(again).unionByName(nulls).select(docs.columns)

@@ -12,8 +12,8 @@ number of matches asked for follows from the set's size, and the search is exact
 partner may have the other kind of signature are posted in both ways.
 
 Large posting lists are not expanded: each list first links its members to one of them, its hub, another one in each
-list. What is then in one component needs no further comparison. Members of different components are compared in
-full where that is linear in the postings, and otherwise after more rounds of hubs. Every candidate whose signatures
+list. What is then in one component needs no further comparison. Components that meet in a list are compared member
+by member where the pairs of components are linear in the postings, and otherwise after more rounds of hubs. Every candidate whose signatures
 agree often enough is confirmed on the full shingle sets.
 """
 
@@ -42,6 +42,8 @@ SHORT = 256
 PAIRS_PER_POSTING, HUB_ROUNDS = 4, 6
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick out their texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
+#: Hubs are the first members of their lists in one of so many orders, so lists alike mostly have one of as many hubs.
+HUB_ORDERS = 4
 _CHUNK = 4096
 _rng = np.random.default_rng(20240)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,7 +179,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = checkpointed(long_texts.join(F.broadcast(of_long) if few else of_long, "id", "left_semi"))
 
     def hub_pairs(lists: DataFrame, salt: int) -> DataFrame:
-        hub = F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", "key", F.lit(salt)), "id")).alias("hub")
+        hub = F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", F.pmod("key", F.lit(HUB_ORDERS)), F.lit(salt)), "id")).alias("hub")
         hubs = lists.groupBy("key").agg(hub).select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("m"))
         met = lists.join(hubs, "key").where((F.col("id") != F.col("b")) & _alike("n", "m", similarity))
         return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
@@ -185,21 +187,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = checkpointed(_linked(hub_pairs(posted, 0), single, texts, similarity))
     for salt in range(1, HUB_ROUNDS + 1):
         found = components(links.union(bridges.join(doubled, "a", "left_semi")))
-        # lists whose members are not yet all in one component
+        # lists whose members are not yet all in one component, as pairs of components
         in_lists = posted.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = in_lists.groupBy("key", "component").agg(F.count("*").alias("m"))
-        mixed_lists = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("sq")).where("n * n > sq")
-        left = checkpointed(in_lists.join(mixed_lists.select("key", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("open")), "key"))
-        open_pairs, postings = left.select("key", "open").distinct().agg(F.sum("open")).first()[0] or 0, posted.count()
+        open_lists = checkpointed(sizes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+        open_pairs, postings = open_lists.agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0] or 0, posted.count()
         if not open_pairs:
             break
         if open_pairs <= PAIRS_PER_POSTING * postings + 100_000 or salt == HUB_ROUNDS:
-            one, other = left.alias("x"), left.alias("y")
-            apart = F.expr("x.key = y.key and x.id > y.id and x.component <> y.component") & _alike("x.n", "y.n", similarity)
-            pairs = one.join(other, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            parts = sizes.join(open_lists, "key").select("key", "component")
+            one, other = parts.alias("x"), parts.alias("y")
+            met = one.join(other, F.expr("x.key = y.key and x.component > y.component")).select(F.col("x.component").alias("c1"), F.col("y.component").alias("c2")).distinct()
+            members = checkpointed(in_lists.select("id", "n", "component").distinct())
+            first = met.join(members.select(F.col("id").alias("i"), "n", F.col("component").alias("c1")), "c1")
+            second = first.join(members.select(F.col("id").alias("j"), F.col("n").alias("m"), F.col("component").alias("c2")), "c2")
+            pairs = second.where(_alike("n", "m", similarity)).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"))
             links = checkpointed(links.union(_linked(pairs, single, texts, similarity)))
             found = components(links.union(bridges.join(doubled, "a", "left_semi")))
             break
+        left = in_lists.join(open_lists.select("key"), "key", "left_semi")
         links = checkpointed(links.union(_linked(hub_pairs(left.select("key", "id", "n"), salt), single, texts, similarity)))
     result = classed.join(found.withColumnRenamed("node", "class"), "class", "left")
     reached = F.coalesce("component", "class")
