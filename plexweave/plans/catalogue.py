@@ -416,7 +416,7 @@ def guide_assign(spark, d):
 
 @query()
 def droplet_filter(spark, d):
-    return assign.droplet_filter(_guide_counts(spark, d), ambient_most=595 if d.endswith("sf0.01") else 100)
+    return assign.droplet_filter(_guide_counts(spark, d))
 
 
 def _pipeline_oracle(kind: str) -> str:
