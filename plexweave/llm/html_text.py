@@ -1,11 +1,13 @@
 """Main text of web pages: page structure where it tells, a host's repeated substrings where it doesn't.
 
 Scripts, styles, comments, menus, headers, footers, sidebars, forms, adverts, notices and reader comments are dropped
-by their elements and by the words in class, id and role. Where a page marks its article (article, main), that is the
-text. For the other pages of a host, the token streams are concatenated and their suffixes sorted (in groups, as
-substring_dedup does); long substrings that stand on two or more distinct pages of the host are boilerplate, and the
-runs that are left are the text. Marked articles are not searched in this way: two articles of a host may share
-passages, and these belong to the text.
+by their elements and by the words in class, id and role. Where a page marks its article (article, main), its stream is
+the text of that, else of all blocks left. The streams of all pages of a host are searched for runs of words that stand
+on a share of the host's distinct pages; these are boilerplate, and what is left is the text. Marks guide the search:
+within an article a run must stand on far more pages, and a run that makes up most of the article is the text itself,
+as copies of one article on a host share it.
+
+Streams come together in parts of a host, about PART pages each by a hash of the page, so no task holds a host.
 """
 
 from __future__ import annotations
@@ -14,15 +16,24 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import bound_batches
-from plexweave.llm.substring_dedup import SUFFIXES, _suffixes, kept_words, runs_of
+from plexweave.llm.common import bound_batches, checkpointed
+from plexweave.llm.words import hashes, rolling
 
 #: Tokens of a repeated substring at least.
 RUN = 8
+#: Boilerplate stands on so many distinct pages of its host, and on this share of them at least: outside and inside of marked articles.
+LEAST, SHARE = (2, 3), (0.1, 0.5)
+#: A run on two pages, and any in a marked article, is taken out only where it leaves at least this share of the words.
+LEAVES = 0.5
+#: Pages of a part of a host, about.
+PART = 256
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 # Fixed values of HTML: elements whose content is no text, elements outside an article, and elements within a line.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video")
@@ -108,7 +119,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column, HTML, becomes the text of its blocks, and `marked` tells whether that is final."""
+    """The last column, HTML, becomes the stream of the page, and `marked` tells whether that is of marked articles."""
     for b in batches:
         made = [blocks(page) for page in b.column(b.num_columns - 1).to_pylist()]
         yield pa.record_batch(
@@ -117,13 +128,62 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _windows(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of a stream and the hash of the RUN words from each of them on."""
+    words = text.encode().split(b" ") if text else []
+    return words, rolling(hashes(11).of(words), RUN).view(np.int64)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (host, part, page, text) sorted by the first three, (host, win, n): the windows that n > 1 distinct pages of a
+    part have; with a null for win, the number of distinct pages of a part."""
+    part, last, pages, seen = None, None, 0, []
+
+    def counted() -> pa.RecordBatch:
+        win, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        win, n = win[n > 1], n[n > 1]
+        arrays = [pa.array(np.full(len(n) + 1, part[0], np.int64)), pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(win)]), pa.array(np.r_[pages, n].astype(np.int64))]
+        return pa.record_batch(arrays, ["host", "win", "n"])
+
+    for b in batches:
+        for host, number, page, text in zip(*(c.to_pylist() for c in b.columns)):
+            if (host, number) != part:
+                if part:
+                    yield counted()
+                part, last, pages, seen = (host, number), None, 0, []
+            if page != last:
+                last, pages = page, pages + 1
+                seen.append(np.unique(_windows(text)[1]))
+    if part:
+        yield counted()
+
+
 def _without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (page_id, url, text, runs before, runs after), the tokens that no run covers."""
+    """Of (page_id, url, text, marked, pages of the host, windows, their pages), the words that no boilerplate covers."""
     for b in batches:
         texts = []
-        for text, before, after in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
-            words = text.encode().split(b" ") if text else []
-            texts.append(b" ".join(kept_words(words, [*(before or []), *(after or [])], RUN)).decode())
+        for text, marked, pages, known, on in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
+            words, windows = _windows(text)
+            if not known or not len(windows):
+                texts.append(text)
+                continue
+            known, on = np.array(known, np.int64), np.array(on, np.int64)
+            order = np.argsort(known)
+            known, on = known[order], on[order]
+            at = np.minimum(np.searchsorted(known, windows), len(known) - 1)
+            n = np.where(known[at] == windows, on[at], 0)
+
+            def left(least: int, n: np.ndarray = n, size: int = len(words)) -> np.ndarray:
+                edge = np.zeros(size + 1, np.int64)
+                start = np.flatnonzero(n >= max(least, SHARE[marked] * pages))
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + RUN, -1)
+                return np.cumsum(edge[:size]) == 0
+
+            keep = left(LEAST[marked])
+            if keep.sum() < LEAVES * len(words):
+                keep = np.ones(len(words), bool) if marked else left(LEAST[marked] + 1)
+            texts.append(b" ".join(w for w, k in zip(words, keep.tolist()) if k).decode())
         yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -132,19 +192,26 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null and empty pages, and pages without text, have an empty text. Pages with a null URL, or one without a host,
     form a host of their own. Equal rows are one page and do not repeat each other. Rows that repeat an id stay
-    apart. A page that names an article element, but has none with text, is judged by its elements alone. An empty
-    table gives an empty result; other columns are not read.
+    apart. A page that names an article element, but has none with text, is searched as one without. On a host of
+    over 2 PART pages, a page counts for a window if another page of its part has the window too. An empty table
+    gives an empty result; other columns are not read.
     """
     bound_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    has_mark = F.col("html").rlike(f"(?i)<({'|'.join(MARKED)})[\\s>/]")
-    schema = "page_id long, url string, text string, marked boolean"
-    by_mark = rows.where(has_mark).mapInArrow(_texts, schema).select("page_id", "url", "text")
     host = F.xxhash64(F.coalesce(F.parse_url(F.when(F.col("url").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://[^\\s]*$"), F.col("url")), F.lit("HOST")), F.lit("")))
-    plain = rows.where(~has_mark).mapInArrow(_texts, schema).select("page_id", "url", "text")
-    plain = plain.withColumn("page", F.xxhash64("page_id", "url", "text")).withColumn("host", host)
-    streams = lambda page: plain.select(page.alias("doc"), "text", "host").mapInArrow(lambda b: _suffixes(b, RUN), SUFFIXES)
-    later = runs_of(streams(F.col("page"))).select(F.col("doc").alias("page"), F.col("runs").alias("before"))
-    earlier = runs_of(streams(F.bitwise_not("page"))).select(F.bitwise_not("doc").alias("page"), F.col("runs").alias("after"))
-    rest = plain.join(later, "page", "left").join(earlier, "page", "left").select("page_id", "url", "text", "before", "after")
-    return by_mark.unionByName(rest.mapInArrow(_without_runs, "page_id long, url string, text string"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = rows.select("page_id", "url", host.alias("host"), "html")
+    texts = rows.mapInArrow(_texts, "page_id long, url string, host long, text string, marked boolean")
+    large = checkpointed(rows.groupBy("host").count().where(F.col("count") > 2 * PART).select("host", F.ceil(F.col("count") / PART).alias("parts")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    page = F.xxhash64("page_id", "url", "text")
+    dealt = texts.select("host", page.alias("page"), "text").join(large, "host", "left")
+    dealt = dealt.select("host", F.coalesce(F.pmod("page", "parts"), F.lit(0)).cast("int").alias("part"), "page", "text")
+    found = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page").mapInArrow(_repeated, "host long, win long, n long")
+    found = checkpointed(found.groupBy("host", "win").agg(F.sum("n").alias("n")))
+    sizes = found.where("win is null").select("host", F.col("n").alias("pages"))
+    common = found.where("win is not null").join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(min(LEAST)), min(SHARE) * F.col("pages")))
+    common = common.groupBy("host", "pages").agg(F.collect_list(F.struct("win", "n")).alias("found"))
+    common = checkpointed(common.select("host", "pages", F.col("found.win").alias("known"), F.col("found.n").alias("on")))
+    few = (common.agg(F.sum(F.size("known"))).first()[0] or 0) <= BROADCAST_ROWS
+    joined = texts.join(F.broadcast(common) if few else common, "host", "left").select("page_id", "url", "text", "marked", "pages", "known", "on")
+    return joined.mapInArrow(_without_runs, "page_id long, url string, text string")

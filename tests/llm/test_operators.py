@@ -120,6 +120,22 @@ def test_marked_articles_and_repeated_runs(spark):
     assert found[5, "http://h.org/y"] == "A b c d" and found[6, None] == found[6, "x"] == ""
 
 
+@pytest.mark.parametrize("part", [html_text.PART, 4])
+def test_repeats_of_a_host_within_articles(spark, monkeypatch, part):
+    """A line in most articles of a host goes, texts of copies stay, and an article that only a comment names marks nothing."""
+    monkeypatch.setattr(html_text, "PART", part)
+    line = "share this story with all your friends on every network"
+    own = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(20)]
+    pages = [(k, "http://h.org/x", f"<article><p>{t}</p><p>{line}</p></article>") for k, t in enumerate(own)]
+    pages += [(k, "http://pair.org/x", f"<article><p>{own[0]}</p></article>") for k in (30, 31, 32)]
+    pages += [(40, "http://two.org/x", f"<div>{own[1]}</div>"), (41, "http://two.org/y", f"<div>{own[1]}</div>")]
+    pages += [(50 + k, "http://c.org/x", f"<!-- <article> --><article></article><div>{line}</div><p>{own[k]}</p>") for k in range(3)]
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [found[k] for k in range(20)] == own
+    assert found[30] == found[31] == found[32] == own[0] and found[40] == found[41] == own[1]
+    assert [found[50 + k] for k in range(3)] == own[:3]
+
+
 def test_pages_against_a_plain_reading(spark):
     found = {r["page_id"]: r["text"] for r in QUERIES["op5_html_text"](spark, DATA).collect()}
     for p in spark.read.parquet(f"{DATA}/pages.parquet").collect():
