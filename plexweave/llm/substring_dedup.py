@@ -5,6 +5,8 @@ depth of a whole window are the repeats. The run that names a suffix's group is
 is the run of GROUP words in the window with the smallest hash, so the windows of a repeat meet in one group wherever
 they stand, and neighbouring windows mostly share it. Thus one row carries several suffixes, and far fewer rows move
 than there are suffixes. A group is streamed in the order of doc_id, and only the nodes of one group are held at a time.
+Groups that a sample shows to be large are split by all words of the window. Nodes tell only which windows may repeat;
+these are then compared by 128-bit digests of their words.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,31 +28,34 @@ WINDOW = 13
 GROUP = 3
 #: Bits of the hash that names a group.
 GROUP_BITS = 40
-#: Bytes of a window's own hash; it is looked at within one group only, so 80 bits tell windows apart.
-DIGEST = 5
+#: Bytes of a window's own hash within its group. Equal ones make candidates, which digests of the words confirm.
+DIGEST = 3
+#: Groups of more rows than this are split, as told from one document in so many.
+LARGE, SAMPLED = 200_000, 64
 SUFFIXES = "group long, doc long, at int, hits int, nodes binary"
 _LAST = (1 << 63) - 1
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches: Iterator[pa.RecordBatch], window: int, large: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """(group, doc, at, hits, nodes): windows from position `at` on that fall into one group, and their hashes end to end.
 
-    Rows that a smaller document of the batch has just so are known to be repeats. They have `hits` in place of nodes
-    and a group of their own, so a passage that very many documents share comes about once from each batch.
-    A third column of the input, if any, keeps apart what differs in it: suffixes of one group have it in common.
+    Rows that a smaller document of the batch has just so are known to be candidates. They have `hits` in place of nodes
+    and a group of their own, so a passage that very many documents share comes about once from each batch; the row
+    of the smallest document has both. Windows of the groups in `large` are rows of their own.
     """
     span = window - GROUP + 1
     for b in batches:
         groups, docs, starts, sizes, nodes = [], [], [], [], []
-        apart = b.column(2).to_numpy().view(np.uint64) if b.num_columns > 2 else np.zeros(b.num_rows, np.uint64)
-        for doc, text, salt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), apart):
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             words = hashes(7).of(split(text))
             if len(words) < window:
                 continue
             whole, runs = rolling(words, window), rolling(words, GROUP)
             least = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(len(whole))
-            first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-            groups.append(mixed(runs[least[first]] ^ salt))
+            heads = np.r_[True, least[1:] != least[:-1]]
+            split_up = np.isin(mixed(runs[least]) >> np.uint64(64 - GROUP_BITS), large) if large is not None and len(large) else np.zeros(len(whole), bool)
+            first = np.flatnonzero(heads | split_up)
+            groups.append(mixed(np.where(split_up[first], runs[least[first]] ^ mixed(whole[first]), runs[least[first]])))
             docs.append(np.full(len(first), doc, np.int64))
             starts.append(first)
             sizes.append(np.diff(np.r_[first, len(whole)]))
@@ -61,18 +67,21 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         order = np.lexsort((doc, same))
         heads = np.flatnonzero(np.r_[True, same[order[1:]] != same[order[:-1]]])
         known = np.zeros(len(group), bool)
-        known[order] = doc[order] > np.repeat(doc[order[heads]], np.diff(np.r_[heads, len(order)]))
+        count = np.diff(np.r_[heads, len(order)])
+        known[order] = doc[order] > np.repeat(doc[order[heads]], count)
+        met = np.zeros(len(group), bool)
+        met[order] = np.repeat(np.logical_or.reduceat(known[order], heads), count)
         group = np.where(known, mixed(doc.view(np.uint64) * np.uint64(1 << 20) + at.astype(np.uint64)), group) >> np.uint64(64 - GROUP_BITS)
-        hits = np.where(known, (1 << size) - 1, 0).astype(np.int32)
+        hits = np.where(met, (1 << size) - 1, 0).astype(np.int32)
         data = np.ascontiguousarray(node[np.repeat(~known, size)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :DIGEST])
         ends = np.r_[0, np.cumsum(np.where(known, 0, size))].astype(np.int32) * DIGEST
         packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
         yield pa.record_batch([pa.array(group.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(hits), packed], ["group", "doc", "at", "hits", "nodes"])
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, at, hits): of rows sorted by group and doc, the windows that an earlier document has; bit k is window at + k."""
-    group, owners = None, np.zeros(0, [("node", np.uint64), ("doc", np.int64)])
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, at, hits): of rows sorted by group and doc, the windows whose node another document has; bit k is window at + k."""
+    group, owners = None, np.zeros(0, [("node", np.uint32), ("doc", np.int64), ("at", np.int32)])
     for b in batches:
         if not b.num_rows:
             continue
@@ -82,9 +91,9 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             column = column.cast(pa.binary())
         ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
         data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, DIGEST)
-        node = np.zeros((len(data), 8), np.uint8)
+        node = np.zeros((len(data), 4), np.uint8)
         node[:, :DIGEST] = data
-        node = node.view("<u8").ravel()
+        node = node.view("<u4").ravel()
         size = np.diff(ends) // DIGEST
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
@@ -94,22 +103,95 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([carried["node"], node])
         groups = np.concatenate([np.zeros(len(carried), np.int64), number[row]])
         docs = np.concatenate([carried["doc"], doc[row]])
-        order = np.lexsort((docs, keys, groups))
-        keys, groups, docs = keys[order], groups[order], docs[order]
+        ats = np.concatenate([carried["at"], at[row] + place.astype(np.int32)])
+        order = np.lexsort((docs, (groups.astype(np.uint64) << np.uint64(32)) | keys))
+        keys, groups, docs, ats = keys[order], groups[order], docs[order], ats[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1])
         heads = np.flatnonzero(new)
-        owner = np.repeat(docs[heads], np.diff(np.r_[heads, len(keys)]))
+        count = np.diff(np.r_[heads, len(keys)])
+        later = docs > np.repeat(docs[heads], count)
+        shared = np.repeat(np.logical_or.reduceat(later, heads), count) if len(heads) else later
         hit = np.zeros(len(keys), bool)
-        hit[order] = docs > owner
-        hit = hit[len(carried) :]
+        hit[order] = shared
         last = heads[groups[heads] == number[-1]]
+        held, hit = hit[: len(carried)], hit[len(carried) :]
+        again = carried[held]
         group, owners = of_row[-1], np.zeros(len(last), owners.dtype)
-        owners["node"], owners["doc"] = keys[last], docs[last]
+        owners["node"], owners["doc"], owners["at"] = keys[last], docs[last], ats[last]
         bits = known.copy()
         np.bitwise_or.at(bits, row[hit], np.int32(1) << place[hit].astype(np.int32))
         some = bits != 0
-        yield pa.record_batch([pa.array(doc[some]), pa.array(at[some]), pa.array(bits[some])], ["doc", "at", "hits"])
+        columns = (np.r_[doc[some], again["doc"]], np.r_[at[some], again["at"]], np.r_[bits[some], np.ones(len(again), np.int32)].astype(np.int32))
+        yield pa.record_batch([pa.array(c) for c in columns], ["doc", "at", "hits"])
+
+
+def _positions(runs: list[dict]) -> np.ndarray:
+    """The windows that the bits of `runs` stand for."""
+    at, hits = (np.array([r[k] for r in runs], np.int64) for k in ("at", "hits"))
+    return np.unique(np.concatenate([at[(hits >> k) & 1 == 1] + k for k in range(int(hits.max()).bit_length())]))
+
+
+def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(hi, lo, doc, at, hits): of (doc_id, text, doc, runs), the digests of the words of the windows in `runs`.
+
+    Windows that a smaller document of the batch has too are repeats; these have hits 1 and digests of their own.
+    """
+    for b in batches:
+        found, docs, ats = [], [], []
+        for text, doc, runs in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
+            words = split(text)
+            line = b" ".join(words)
+            ends = np.cumsum([0] + [len(w) + 1 for w in words])
+            at = _positions(runs)
+            at = at[at + window <= len(words)]
+            found.extend(xxhash.xxh3_128_digest(line[x : y - 1]) for x, y in zip(ends[at].tolist(), ends[at + window].tolist()))
+            docs.append(np.full(len(at), doc, np.int64))
+            ats.append(at)
+        if not found:
+            continue
+        key, doc, at = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2), np.concatenate(docs), np.concatenate(ats)
+        order = np.lexsort((doc, key[:, 1], key[:, 0]))
+        key, doc, at = key[order].copy(), doc[order], at[order]
+        heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        known = doc > np.repeat(doc[heads], np.diff(np.r_[heads, len(doc)]))
+        key[known] = np.stack([doc[known], at[known]], axis=1)
+        columns = (key[:, 0].copy(), key[:, 1].copy(), doc, at.astype(np.int32), known.astype(np.int32))
+        yield pa.record_batch([pa.array(c) for c in columns], ["hi", "lo", "doc", "at", "hits"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, at, hits): of rows sorted by hits, digest and doc, the windows that a smaller document has."""
+    carried = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        hi, lo, doc, at, known = (b.column(k).to_numpy() for k in range(5))
+        heads = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (known[1:] != known[:-1])])
+        owner = np.repeat(doc[heads], np.diff(np.r_[heads, len(doc)]))
+        if carried and carried[:3] == (known[0], hi[0], lo[0]):
+            owner[: heads[1] if len(heads) > 1 else len(owner)] = carried[3]
+        carried = (known[-1], hi[-1], lo[-1], owner[-1])
+        hit = (doc > owner) | (known == 1)
+        yield pa.record_batch([pa.array(doc[hit]), pa.array(at[hit]), pa.array(np.ones(hit.sum(), np.int32))], ["doc", "at", "hits"])
+
+
+def _large_groups(rows: DataFrame, window: int) -> np.ndarray:
+    """The groups of more than LARGE rows by a sample; there are few, as each holds that many rows."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _suffixes(batches, window):
+            group, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+            yield pa.record_batch([pa.array(group), pa.array(n)], ["group", "n"])
+
+    part = rows.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).select("doc", "text")
+    counted = part.mapInArrow(sizes, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
+    return np.array([r["group"] for r in counted.where(F.col("n") * SAMPLED > LARGE).collect()], np.uint64)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and doc, the id or the largest long for null."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -121,13 +203,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not GROUP < window <= GROUP + 29:
         raise ValueError(f"a window has {GROUP + 1} to {GROUP + 29} words")
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
-    return runs_of(rows.mapInArrow(lambda batches: _suffixes(batches, window), SUFFIXES))
+    rows = _keyed(docs, id_col, text_col)
+    large = _large_groups(rows, window)
+    suffixes = rows.select("doc", "text").mapInArrow(lambda batches: _suffixes(batches, window, large), SUFFIXES)
+    likely = _runs_of(suffixes.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(_candidates, "doc long, at int, hits int"))
+    # with the columns of the join in with_kept, so that both take one exchange of the texts
+    joined = rows.join(likely, "doc").select("doc_id", "text", "doc", "runs")
+    digests = joined.mapInArrow(lambda batches: _digests(batches, window), "hi long, lo long, doc long, at int, hits int")
+    return _runs_of(digests.repartition("hi", "lo").sortWithinPartitions("hits", "hi", "lo", "doc").mapInArrow(_confirmed, "doc long, at int, hits int"))
 
 
-def runs_of(suffixes: DataFrame) -> DataFrame:
-    """doc, runs: of the output of _suffixes, what each document shares with one of a smaller id."""
-    found = suffixes.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(_repeats, "doc long, at int, hits int")
+def _runs_of(found: DataFrame) -> DataFrame:
     return found.groupBy("doc").agg(F.collect_list(F.struct("at", "hits")).alias("runs"))
 
 
@@ -151,8 +237,7 @@ def kept_words(words: list[bytes], runs: list[dict] | None, window: int = WINDOW
 def with_kept(docs: DataFrame, columns: Callable[[int, list[bytes]], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id and what `columns`, given the number of words and the kept words, makes of each document."""
     runs = repeated_windows(docs, id_col, text_col, window)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
-    joined = rows.join(runs, "doc", "left").select("doc_id", "text", "runs")
+    joined = _keyed(docs, id_col, text_col).join(runs, "doc", "left").select("doc_id", "text", "runs")
     out = f"doc_id long, {schema}"
     types = [f.dataType for f in docs.sparkSession.createDataFrame([], out).schema]
 

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -65,6 +66,40 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(order(found), order(expected), check_dtype=False)
 
 
+@pytest.mark.parametrize("large", [substring_dedup.LARGE, 3])
+def test_windows_are_confirmed_by_their_words(spark, monkeypatch, large):
+    """Hashes of windows that all collide within a group, large groups or not, take away only what words repeat."""
+    monkeypatch.setattr(substring_dedup, "LARGE", large)
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
+    whole = substring_dedup.rolling
+    monkeypatch.setattr(substring_dedup, "rolling", lambda words, n: whole(words, n) * np.uint64(n != 13))
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(20)]
+    rows, expected = [], {}
+    for k in range(12):
+        own = [f"d{k}x{i}" for i in range(8)] + ["same", "three", "words"] + [f"e{k}x{i}" for i in range(rng.randint(8, 12))]
+        rows.append((k, " ".join(own + passage * (k % 3 == 0))))
+        expected[k] = " ".join(own + passage * (k == 0))
+    batch = lambda docs: pa.record_batch([pa.array([k for k, _ in docs]), pa.array([t for _, t in docs])], ["doc", "text"])
+    heavy = np.array([], np.uint64) if large > 3 else np.unique(np.concatenate([b.column(0).to_numpy() for b in substring_dedup._suffixes([batch(rows)], 13)])).astype(np.uint64)
+    made = pa.Table.from_batches(list(substring_dedup._suffixes([batch(rows[:5]), batch(rows[5:])], 13, heavy))).sort_by([("group", "ascending"), ("doc", "ascending")])
+    runs = {}
+    for b in substring_dedup._candidates(made.to_batches(max_chunksize=3)):
+        for r in b.to_pylist():
+            runs.setdefault(r["doc"], []).append(r)
+    asked = pa.record_batch([pa.array(list(c)) for c in zip(*((k, t, k, runs[k]) for k, t in rows if k in runs))], ["doc_id", "text", "doc", "runs"])
+    digests = pa.Table.from_batches(list(substring_dedup._digests([asked.slice(0, 3), asked.slice(3)], 13)))
+    digests = digests.sort_by([(c, "ascending") for c in ("hits", "hi", "lo", "doc")])
+    hits = {}
+    for b in substring_dedup._confirmed(digests.to_batches(max_chunksize=4)):
+        for r in b.to_pylist():
+            hits.setdefault(r["doc"], []).append(r)
+    assert {k: b" ".join(substring_dedup.kept_words(substring_dedup.split(t), hits.get(k))).decode() for k, t in rows} == expected
+    monkeypatch.setattr(substring_dedup, "rolling", whole)
+    found = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == expected
+
+
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 300, 500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(4) for _ in range(3)]
