@@ -189,6 +189,16 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     assert 2 * hits >= 0.5 * (sum(a for a, _ in scored) + sum(b for _, b in scored))
 
 
+def test_each_language_with_toxic_rows_has_a_threshold():
+    rng = np.random.default_rng(2)
+    labels = np.r_[np.ones(12), np.zeros(200), np.ones(2), np.zeros(30), np.zeros(9)].astype(np.float32)
+    langs = ["en"] * 212 + ["es"] * 32 + ["xx"] * 9
+    net = toxicity.Network.fresh()
+    toxicity.calibrate(net, 3 * labels - 2 + rng.normal(0, 0.1, len(labels)), labels, langs)
+    assert set(net.thresholds) == {"en", "es"} and net.scale != 1.0
+    assert toxicity._sample_shares({"en": (100_000, 10.0), "es": (50, 10.0)}, 12_000, 40_000_000) == {"es": 1.0, "en": 0.1195}
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces(public_tokenizers.path(langid.VOCABULARY))
     rng = np.random.default_rng(0)
