@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,53 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. Where that is unset, as in tests, a local run gets one of its own; a cluster must name it."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
         context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="plexweave-checkpoint-"))
-    return df.checkpoint(eager=True)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = getattr(context, "_plexweave_folder", None) or tempfile.mkdtemp(prefix="plexweave-")
+        context._plexweave_folder = root
+    return f"{root.rstrip('/')}/plexweave-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Intermediate results as Parquet in the shared folder, so that lineage is cut and superseded ones can go at once.
+
+    What is still there when Spark ends is deleted then.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def _path(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df`, written and read again."""
+        folder = shared_folder(self.spark)
+        df.write.parquet(folder)
+        path, system = self._path(folder)
+        system.deleteOnExit(path)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders.append((out, folder))
+        return out
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Delete what these were read from; nothing may read them any more."""
+        for df in kept:
+            for pair in [x for x in self.folders if x[0] is df]:
+                self.folders.remove(pair)
+                path, system = self._path(pair[1])
+                system.delete(path, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    return Scratch(df.sparkSession).keep(df)
 
 
 def held_out(doc_id: Column) -> Column:
