@@ -1,11 +1,16 @@
 """Joins of read segments to reference sequences with at most one mismatch.
 
-All plans give the same result: for a distinct segment, the index of the reference sequence equal to it (the smallest of
-several), else the only one at distance one, else nothing. They differ in what is expanded:
+All plans give the same result: for a segment, the index of the reference sequence equal to it (the smallest of several),
+else the only one at distance one, else nothing. They differ in what is expanded:
 
 * variants: every reference with all its one-base changes is one broadcast table, for small references of checked size;
-* halves: a mismatch leaves one half intact, so segments meet references on either half, for large references;
-* misses: only segments without an exact partner are expanded.
+* parts: a mismatch leaves one half intact, so both halves of the references are broadcast, each with the sequences that
+  have it, up to a checked number of references;
+* halves: the same as two shuffled equi-joins of the distinct segments, for references of any size;
+* misses: distinct segments without an exact partner are expanded.
+
+The first two only add broadcast joins to the plan of the reads, one or two for each shift, so any chain of lookups
+reads its input once and moves no read.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ from pyspark.sql import functions as F
 
 from plexweave.functions.sequence import hamming, piece, variants
 
-#: Variant tables of up to so many rows are broadcast.
-BROADCAST_ROWS = 500_000
+#: Variant tables of up to so many rows are broadcast, and references of up to so many sequences in two halves.
+BROADCAST_ROWS, BROADCAST_SEQUENCES = 250_000, 2_000_000
 LETTERS = "ACGTN"
 
 
@@ -71,29 +76,86 @@ def match_by_misses(segments: DataFrame, reference: DataFrame, length: int) -> D
     return exact.select("seg", "idx").union(_resolved(near))
 
 
-def match(segments: DataFrame, reference: DataFrame, length: int, exact: bool = False, plan: str = "auto") -> DataFrame:
-    """seg, idx of distinct `segments` (seg); `exact` allows no mismatch. `plan`: variants, halves, misses, or auto by size."""
+def plan_for(n: int, length: int, exact: bool = False) -> str:
+    """The plan for a reference of `n` sequences of one length."""
+    if not exact and n * (1 + 4 * length) <= BROADCAST_ROWS:
+        return "variants"
+    return "parts" if n <= BROADCAST_SEQUENCES else "halves"
+
+
+def match(segments: DataFrame, reference: DataFrame, length: int, exact: bool = False, plan: str = "halves") -> DataFrame:
+    """seg, idx of distinct `segments` (seg); `exact` allows no mismatch. `plan`: halves or misses."""
     if exact:
         return segments.join(exact_keys(reference).withColumnRenamed("key", "seg"), "seg").select("seg", "idx")
-    if plan == "auto":
-        plan = "variants" if reference.count() * (1 + 4 * length) <= BROADCAST_ROWS else "halves"
-    if plan == "variants":
-        return segments.join(F.broadcast(variant_keys(reference, length).withColumnRenamed("key", "seg")), "seg").select("seg", "idx")
     return (match_by_halves if plan == "halves" else match_by_misses)(segments, reference, length)
 
 
+class Index:
+    """A reference of checked size, broadcast; `hits` adds its matches to rows."""
+
+    def __init__(self, reference: DataFrame, length: int, exact: bool, plan: str):
+        self.length, self.exact, self.half = length, exact, length // 2
+        self.parts = plan == "parts" and not exact
+        if not self.parts:
+            keys = exact_keys(reference) if exact else variant_keys(reference, length)
+            self.keys = F.broadcast(keys.select(F.col("key").alias("__key"), F.col("idx").alias("__hit")))
+            return
+        parents = exact_keys(reference)
+        own = lambda start, size, rest, rest_size, key, out: F.broadcast(
+            parents.groupBy(F.substring("key", start, size).alias(key)).agg(F.collect_list(F.struct(F.substring("key", rest, rest_size).alias("rest"), "idx")).alias(out))
+        )
+        h = self.half
+        self.left = own(1, h, h + 1, length - h, "__lkey", "__ls")
+        self.right = own(h + 1, length - h, 1, h, "__rkey", "__rs")
+
+    def hits(self, rows: DataFrame) -> DataFrame:
+        """`rows` with __hit, the match of the column __seg."""
+        if not self.parts:
+            return rows.join(self.keys, F.col("__seg") == F.col("__key"), "left").drop("__key")
+        h = self.half
+        left, right = F.substring("__seg", 1, h), F.substring("__seg", h + 1, self.length - h)
+        both = rows.join(self.left, left == F.col("__lkey"), "left").join(self.right, right == F.col("__rkey"), "left")
+        # strings of one length are one edit apart iff one letter differs
+        near = lambda c, rest: F.filter(c, lambda x: F.levenshtein(x["rest"], rest, 1) == 1)
+        same = F.array_min(F.transform(F.filter("__ls", lambda x: x["rest"] == right), lambda x: x["idx"]))
+        apart = F.concat(F.coalesce(near("__ls", right), F.array()), F.coalesce(near("__rs", left), F.array()))
+        found = F.when(F.col("__ls").isNotNull() | F.col("__rs").isNotNull(), F.coalesce(same, F.transform(apart, lambda x: F.when(F.size(apart) == 1, x["idx"]))[0]))
+        return both.withColumn("__hit", found).drop("__lkey", "__rkey", "__ls", "__rs")
+
+
 def offsets(window: int) -> list[int]:
     """Shifts in the order in which they are tried: 0, then one further on either side, to the right first."""
     return [0, *(s for d in range(1, window + 1) for s in (d, -d))]
 
 
-def lookup(reads: DataFrame, name: str, sequence: Column, start: Column | int, reference: DataFrame, length: int, window: int = 0, exact: bool = False, plan: str = "auto") -> DataFrame:
+def _searched(rows: DataFrame, name: str, start: Column, shifts: list[int], sequence: Column, length: int, hits) -> DataFrame:
+    """`rows` with `name` and `name`_shift from the first shift at which `hits` adds a __hit to the segment __seg.
+
+    Rows that have their match have no segment at later shifts, so these cost them nothing. The first hit is picked by
+    a function over an array, which also ends the stage of generated code: one for all lookups would be too long.
+    """
+    found = [f"__hit{k}" for k in range(len(shifts))]
+    for k, s in enumerate(shifts):
+        segment = piece(sequence, start + s, length)
+        rows = hits(rows.withColumn("__seg", F.when(F.coalesce(*found[:k]).isNull(), segment) if k else segment))
+        rows = rows.withColumnRenamed("__hit", found[k]).drop("__seg")
+    options = F.array(*(F.struct(F.lit(s).alias("shift"), F.col(c).alias("hit")) for s, c in zip(shifts, found)))
+    rows = rows.withColumn("__first", F.get(F.filter(options, lambda x: x["hit"].isNotNull()), F.lit(0))).drop(*found)
+    return rows.withColumns({name: F.col("__first.hit"), f"{name}_shift": F.col("__first.shift")}).drop("__first")
+
+
+def lookup(reads: DataFrame, name: str, sequence: Column, start: Column | int, reference: DataFrame, length: int, window: int = 0, exact: bool = False, plan: str = "auto", n: int | None = None) -> DataFrame:
     """`reads` with columns `name` (index or null) and `name`_shift: the match at the first shift that has one.
 
-    Distinct segments of all shifts are matched once, and each shift is one join with the result.
+    `n` is the number of sequences of the reference, counted where it is not given.
     """
     at = F.lit(start) if isinstance(start, int) else start
     shifts = offsets(window)
+    if plan == "auto":
+        plan = plan_for(reference.count() if n is None else n, length, exact)
+    if plan in ("variants", "parts"):
+        return _searched(reads, name, at, shifts, sequence, length, Index(reference, length, exact, plan).hits)
+    # distinct segments of all shifts are matched once, and each shift is one join with the result
     cuts = reads.select("*", *(piece(sequence, at + s, length).alias(f"__{name}_{k}") for k, s in enumerate(shifts)))
     segments = cuts.select(F.explode(F.array(*(f"__{name}_{k}" for k in range(len(shifts))))).alias("seg")).where("seg is not null").distinct()
     matched = match(segments, reference, length, exact, plan)
@@ -104,33 +166,35 @@ def lookup(reads: DataFrame, name: str, sequence: Column, start: Column | int, r
     return cuts.select(*reads.columns, F.coalesce(*hits).alias(name) if len(hits) > 1 else hits[0].alias(name), shift.alias(f"{name}_shift"))
 
 
-def split_match(reads: DataFrame, name: str, sequence: Column, start: int, reference: DataFrame, length: int, window: int = 0, budget: int = 3) -> DataFrame:
+def split_match(reads: DataFrame, name: str, sequence: Column, start: int, reference: DataFrame, length: int, window: int = 0, budget: int = 3, n: int | None = None) -> DataFrame:
     """`reads` with `name`: both halves of a long segment looked up on their own, each with at most one mismatch.
 
     Halves that agree are accepted and halves that disagree rejected. A half that matches alone is accepted if the other
-    half has no more mismatches than `budget` less its own. Shifts are tried in order; both halves lie at one shift.
+    half has no more mismatches than `budget` less its own. Shifts are tried in order; both halves lie at one shift. The
+    library is broadcast and must have no more than BROADCAST_SEQUENCES sequences.
     """
     half = length // 2
     lib = reference.where("seq is not null")
-    left = lib.select("idx", F.substring("seq", 1, half).alias("seq"))
-    right = lib.select("idx", F.substring("seq", half + 1, length - half).alias("seq"))
-    shifts = offsets(window)
-    cuts = reads.select("*", *(piece(sequence, F.lit(start + s), length).alias(f"__{name}_{k}") for k, s in enumerate(shifts)))
-    segments = cuts.select(F.explode(F.array(*(f"__{name}_{k}" for k in range(len(shifts))))).alias("seg")).where("seg is not null").distinct()
-    halves = segments.select("seg", F.substring("seg", 1, half).alias("l"), F.substring("seg", half + 1, length - half).alias("r"))
-    by_left = match(halves.select(F.col("l").alias("seg")).distinct(), left, half).select(F.col("seg").alias("l"), F.col("idx").alias("li"))
-    by_right = match(halves.select(F.col("r").alias("seg")).distinct(), right, length - half).select(F.col("seg").alias("r"), F.col("idx").alias("ri"))
-    whole = lib.groupBy("idx").agg(F.min("seq").alias("ref"))
-    both = halves.join(by_left, "l", "left").join(by_right, "r", "left").where("li is not null or ri is not null")
-    both = both.withColumn("one", F.coalesce("li", "ri")).where("li is null or ri is null or li = ri").join(whole.withColumnRenamed("idx", "one"), "one")
-    distance = hamming(F.col("seg"), F.col("ref"))
-    accepted = both.where((F.col("li").isNotNull() & F.col("ri").isNotNull()) | (distance <= budget)).select("seg", F.col("one").alias("idx"))
-    for k in range(len(shifts)):
-        cuts = cuts.join(accepted.select(F.col("seg").alias(f"__{name}_{k}"), F.col("idx").alias(f"__{name}_i{k}")), f"__{name}_{k}", "left")
-    return cuts.select(*reads.columns, F.coalesce(*(f"__{name}_i{k}" for k in range(len(shifts)))).alias(name) if len(shifts) > 1 else F.col(f"__{name}_i0").alias(name))
-
-
-def anchored_match(reads: DataFrame, name: str, sequence: Column, start: int, guides: DataFrame, length: int, window: int = 0, exact: bool = False) -> DataFrame:
+    n = lib.count() if n is None else n
+    if n > BROADCAST_SEQUENCES:
+        raise ValueError(f"a library of split sequences has {BROADCAST_SEQUENCES} at most, found {n}")
+    left = Index(lib.select("idx", F.substring("seq", 1, half).alias("seq")), half, False, plan_for(n, half))
+    right = Index(lib.select("idx", F.substring("seq", half + 1, length - half).alias("seq")), length - half, False, plan_for(n, length - half))
+    whole = F.broadcast(lib.groupBy(F.col("idx").alias("__one")).agg(F.min("seq").alias("__ref")))
+
+    def hits(rows: DataFrame) -> DataFrame:
+        segment = F.col("__segment")
+        rows = left.hits(rows.withColumnRenamed("__seg", "__segment").withColumn("__seg", F.substring(segment, 1, half))).withColumnRenamed("__hit", "__l").drop("__seg")
+        rows = right.hits(rows.withColumn("__seg", F.substring(segment, half + 1, length - half))).withColumnRenamed("__hit", "__r").drop("__seg")
+        single = F.when(F.col("__l").isNull() | F.col("__r").isNull(), F.coalesce("__l", "__r"))
+        rows = rows.withColumn("__single", single).join(whole, F.col("__single") == F.col("__one"), "left")
+        hit = F.when(F.col("__l") == F.col("__r"), F.col("__l")).when(F.col("__ref").isNotNull() & (hamming(segment, F.col("__ref")) <= budget), F.col("__single"))
+        return rows.withColumn("__hit", hit).drop("__single", "__one", "__ref", "__l", "__r", "__segment")
+
+    return _searched(reads, name, F.lit(start), offsets(window), sequence, length, hits).drop(f"{name}_shift")
+
+
+def anchored_match(reads: DataFrame, name: str, sequence: Column, start: int, guides: DataFrame, length: int, window: int = 0, exact: bool = False, n: int | None = None) -> DataFrame:
     """`reads` with `name` and `name`_end: a guide's protospacer after an anchor whose length may vary.
 
     The anchor is always matched with a mismatch; distinct anchors are tried in their order (anchor_idx), each at all its
@@ -138,13 +202,14 @@ def anchored_match(reads: DataFrame, name: str, sequence: Column, start: int, gu
     `guides` has idx, anchor, protospacer.
     """
     anchors = guides.groupBy("anchor").agg(F.min("idx").alias("idx")).withColumn("n", F.length("anchor"))
-    lengths = sorted(r["n"] for r in anchors.select("n").distinct().collect())
+    counted = {r["n"]: r["count"] for r in anchors.groupBy("n").count().collect()}
     found = reads
-    for n in lengths:
-        own = anchors.where(F.col("n") == n).select("idx", F.col("anchor").alias("seq"))
-        found = lookup(found, f"__a{n}", sequence, start, own, n, window)
+    for size in sorted(counted):
+        own = anchors.where(F.col("n") == size).select("idx", F.col("anchor").alias("seq"))
+        found = lookup(found, f"__a{size}", sequence, start, own, size, window, n=counted[size])
     # of several lengths that match, the anchor listed first
-    options = [F.when(F.col(f"__a{n}").isNotNull(), F.struct(F.col(f"__a{n}").alias("i"), (F.lit(start + n) + F.col(f"__a{n}_shift")).alias("at"))) for n in lengths]
-    found = found.withColumn("__after", (F.least(*options) if len(options) > 1 else options[0])["at"])
-    found = lookup(found, name, sequence, F.col("__after"), guides.select("idx", F.col("protospacer").alias("seq")), length, window, exact)
+    options = [F.when(F.col(f"__a{size}").isNotNull(), F.struct(F.col(f"__a{size}").alias("i"), (F.lit(start + size) + F.col(f"__a{size}_shift")).alias("at"))) for size in sorted(counted)]
+    after = (F.least(*options) if len(options) > 1 else options[0])["at"] if options else F.lit(None).cast("int")
+    found = found.withColumn("__after", after).drop(*(c for size in counted for c in (f"__a{size}", f"__a{size}_shift")))
+    found = lookup(found, name, sequence, F.col("__after"), guides.select("idx", F.col("protospacer").alias("seq")), length, window, exact, n=n)
     return found.select(*reads.columns, name, F.when(F.col(name).isNotNull(), F.col("__after") + length).alias(f"{name}_end"))

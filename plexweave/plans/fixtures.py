@@ -14,9 +14,12 @@ def dna(tag: str, key: str, n: int, text: str) -> str:
 
 
 def _changed(s: str, *places: int) -> str:
+    """`s` with each of the places changed, in ascending order."""
+    parts, at = [], 1
     for p in places:
-        s = f"concat(substr({s}, 1, {p - 1}), translate(substr({s}, {p}, 1), 'ACGT', 'CGTA'), substr({s}, {p + 1}))"
-    return s
+        parts += [f"substr({s}, {at}, {p - at})", f"translate(substr({s}, {p}, 1), 'ACGT', 'CGTA')"]
+        at = p + 1
+    return f"concat({', '.join(parts)}, substr({s}, {at}))"
 
 
 def _read_id(text: str) -> str:
