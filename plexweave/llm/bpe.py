@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from plexweave.llm.common import bound_batches
 #: The vocabulary that the pipeline uses: a file of the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 #: A worker remembers the ids of so many words; beyond that it starts anew.
-CACHE_WORDS = 500_000
-PAIRS = 2_000_000
+CACHE_WORDS = 150_000
+PAIRS = 300_000
 
 
 def _byte_letters() -> list[str]:
@@ -205,6 +206,7 @@ class _Words(dict):
         if len(self) >= CACHE_WORDS:
             for old in list(islice(self, CACHE_WORDS // 2)):
                 del self[old]
+        if len(self.pieces) >= CACHE_WORDS // 3:
             self.pieces.clear()
         bpe, ids, pieces = self.bpe, [], self.pieces
         for piece in (run,) if run.isascii() and run.isalpha() else bpe.pieces.findall(run):
@@ -230,36 +232,33 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode_texts(texts: pd.Series, path: str) -> list[np.ndarray]:
-    bpe = tokenizer(path)
-    return [bpe.encode(t) for t in texts]
-
-
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, ids array<int>: the ids of each whole text; null and empty texts have an empty list.
 
     One row for each row of `docs`, repeated ids and null ids included; other columns are not read. Texts that are
     spelled like a special token become that token, as in the library. An empty table gives an empty result.
     """
-    path = path or public_tokenizers.path(VOCABULARY)
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path or public_tokenizers.path(VOCABULARY))
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": encode_texts(b["text"], path)})
+            ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.record_batch([b.column(0), lists], ["doc_id", "ids"])
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decoded(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """doc_id, text: the ids of each row decoded; null ids give an empty text."""
-    path = path or public_tokenizers.path(VOCABULARY)
     bound_batches(tokens.sparkSession)
     rows = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(path or public_tokenizers.path(VOCABULARY))
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [bpe.decode(i if i is not None else []) for i in b["ids"]]})
 
@@ -268,14 +267,13 @@ def decoded(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, ids array<int>, text: encoding and decoding in one pass over the rows, so the ids cross to Python once."""
-    path = path or public_tokenizers.path(VOCABULARY)
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(path or public_tokenizers.path(VOCABULARY))
         for b in batches:
-            ids = encode_texts(b["text"], path)
+            ids = [bpe.encode(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "text": [bpe.decode(i) for i in ids]})
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

@@ -75,16 +75,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests are taken batch by batch where ids and decoded texts are made, so neither crosses to the JVM."""
-    from plexweave.llm.bpe import VOCABULARY, encode_texts, tokenizer
+    from plexweave.llm.bpe import VOCABULARY, tokenizer
 
-    path = public_tokenizers.path(VOCABULARY)
     bound_batches(spark)
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(public_tokenizers.path(VOCABULARY))
         names = [str(i) for i in range(len(bpe.tokens))]
         for b in batches:
-            ids = encode_texts(b["text"], path)
+            ids = [bpe.encode(t) for t in b["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": b["doc_id"],
