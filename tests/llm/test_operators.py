@@ -220,15 +220,6 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(langid.word_scores([word], pieces, probability)[0]), total(langid.START + word))
 
 
-def test_licences(spark):
-    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "nothing here"), (3, "a/b/d.py", "some code that goes on and on for more words than that\nLicensed under the Apache License, Version 2.0."), (4, "z/e.py", "text"), (5, None, None), (6, "a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (7, "ab/f", "")]
-    found = {r["doc_id"]: (r["licence"], r["origin"], r["from_path"]) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
-    assert found == {
-        1: ("MIT", "file", "a/LICENSE"), 2: ("GPL-3.0", "inherited", "a/b/LICENSE"), 3: ("Apache-2.0", "header", "a/b/d.py"), 4: (None, "none", None),
-        5: (None, "none", None), 6: ("GPL-3.0", "file", "a/b/LICENSE"), 7: (None, "none", None),
-    }
-
-
 def test_vectors_left_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (20, [2.0]), (None, [1.0, 1.0])]
     found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()
