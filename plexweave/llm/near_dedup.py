@@ -1,56 +1,48 @@
 """Near-duplicate documents by an inverted join over the coordinates of MinHash signatures.
 
-A document is posted under each of its coordinate-value pairs. Two signatures of K coordinates with at least T equal
-ones must share a pair among the K - T + 1 rarest of either, so only that prefix is posted; pairs that occur once
-take up places of the prefix but need no posting, and a document with fewer than T shared pairs is skipped. What many
-unlike documents have in common (a line, a passage) is frequent and so falls out of the prefixes. Documents with
-equal shingle sets are one class and are posted once.
+A signature is a bottom-k sketch: the K smallest hashes of a document's shingles, so that of two documents each of the
+K smallest of their union is in both signatures with their similarity for chance. Up to K shingles a signature holds
+the whole set by itself, and what is said of it is exact; that matters for short documents, of which a shared line can
+make up half, and needs no path of its own.
 
-Up to SHORT shingles, a document's signature is its shingle set itself, each shingle a coordinate: a shared line can
-make up half of a short document, which samples of it could not tell from a copy at so low a threshold. There the
-number of matches asked for follows from the set's size, and the search is exact. Documents of a size at which a
-partner may have the other kind of signature are posted in both ways.
+A document is posted under each of its coordinates. Two signatures with at least `need` coordinates in common must
+share one among the rarest of either, as many as its size less `need` plus one; so only that prefix is posted.
+Coordinates that occur once take up places of the prefix but need no posting, and a document with fewer than `need`
+shared ones is skipped. What many unlike documents have in common (a line, a passage) is frequent and so falls out of
+the prefixes. Documents with equal shingle sets are one node and are posted once.
 
 Large posting lists are not expanded: each list first links its members to one of them, its hub, another one in each
-list. What is then in one component needs no further comparison. Components that meet in a list are compared member
-by member where the pairs of components are linear in the postings, and otherwise after more rounds of hubs. Every candidate whose signatures
-agree often enough is confirmed on the full shingle sets.
+list. What is then in one component needs no further comparison. Members of a list in different components are
+compared with each other where such pairs are linear in the postings, and otherwise after more rounds of hubs. Every
+candidate whose signatures agree often enough is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import bound_batches, checkpointed
+from plexweave.llm.common import Scratch, bound_batches
 from plexweave.llm.components import components
 from plexweave.llm.words import hashes, mixed, rolling, split
 
 #: Words of a shingle, and the similarity that links two documents.
 SHINGLE, SIMILARITY = 5, Fraction(3, 4)
-#: Signature length and the number of equal coordinates asked for. At similarity 0.75, 48 are equal on average with a
-#: deviation of 3.5, so a pair is missed once in some 200,000.
-COORDINATES, MATCHES = 64, 32
-#: Up to so many shingles the set itself is the signature.
-SHORT = 256
+#: Signature length, and the coordinates in common that are asked for at most. At similarity 0.75 two long documents have
+#: 96 on average with a deviation of 4.9, so such a pair is missed about once in 8,000, and one at 0.8 practically never.
+COORDINATES, MATCHES = 128, 78
 #: Rounds of hubs end when the pairs left are at most so many times the postings, or after so many rounds.
 PAIRS_PER_POSTING, HUB_ROUNDS = 4, 6
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick out their texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 #: Hubs are the first members of their lists in one of so many orders, so lists alike mostly have one of as many hubs.
 HUB_ORDERS = 4
-_CHUNK = 4096
-_rng = np.random.default_rng(20240)
-_FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-_SALTS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-
-
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
     words = hashes().of(split(text, lower=True))
@@ -60,31 +52,30 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minimum over the shingles of each coordinate's hash, joined with the coordinate into one 64-bit key."""
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), _CHUNK):
-        np.minimum(low, (shingles[at : at + _CHUNK, None] * _FACTORS + _TERMS).min(axis=0), out=low)
-    return mixed(low ^ _SALTS)
+    """The COORDINATES smallest of sorted distinct hashes."""
+    return shingles[:COORDINATES]
+
+
+def need(n: Column) -> Column:
+    """Coordinates that a document of n shingles has in common with any similar one: of a whole set exactly, else MATCHES."""
+    return F.least(F.ceil(n * SIMILARITY.numerator / SIMILARITY.denominator), F.lit(MATCHES))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, whole, sampled, set1, set2): the signatures of either kind that a document needs."""
-    longs = pa.list_(pa.int64())
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_shingles, set1, set2, print, keys) of (doc_id, text, print): sizes, 128-bit digests of sets, signatures."""
     for b in batches:
-        sizes, whole, sampled, first, second = [], [], [], [], []
+        sizes, first, second, keys = [], [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text)
-            n = len(s)
-            sizes.append(n)
-            whole.append(s.view(np.int64) if 0 < n <= SHORT else None)
-            sampled.append(signature(s).view(np.int64) if n > similarity * SHORT else None)
-            # order-free digests of the set, two for 128 bits
-            first.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if n else None)
-            second.append(int(mixed(s + np.uint64(n)).sum(dtype=np.uint64).view(np.int64)) if n else None)
-        yield pa.record_batch(
-            [b.column(0), pa.array(sizes, pa.int64()), pa.array(whole, longs), pa.array(sampled, longs), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
-            ["doc_id", "n_shingles", "whole", "sampled", "set1", "set2"],
-        )
+            sizes.append(len(s))
+            # order-free digests of the set
+            first.append(mixed(s).sum(dtype=np.uint64))
+            second.append(mixed(s + np.uint64(len(s))).sum(dtype=np.uint64))
+            keys.append(signature(s).view(np.int64))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        digests = [pa.array(np.array(d, np.uint64).view(np.int64)) for d in (first, second)]
+        yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), *digests, b.column(2), lists], ["doc_id", "n_shingles", "set1", "set2", "print", "keys"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
@@ -113,14 +104,13 @@ def _confirmed(batches: Iterator[pa.RecordBatch], numerator: int, denominator: i
         yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def prefix_postings(signed: DataFrame) -> DataFrame:
-    """key, id, n: each signature (id, n, kind, need, keys) under the rarest of its shared keys, as many as its prefix has."""
-    # the array is left out, so that what is read again after the shuffle is narrow
-    posted = signed.select("id", "n", "kind", "need", F.explode("keys").alias("key")).repartition("key")
+def prefix_postings(heads: DataFrame) -> DataFrame:
+    """key, id, n: each signature of `heads` (id, n, keys) under the rarest of its shared keys, as many as its prefix has."""
+    posted = heads.select("id", "n", F.explode("keys").alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    shared = posted.join(often, "key").groupBy("id", "n", "kind", "need").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("shared"))
-    prefix = F.slice("shared", F.lit(1), (F.size("shared") - F.col("need") + 1).cast("int"))
-    return shared.where(F.size("shared") >= F.col("need")).select("id", "n", F.explode(prefix["key"]).alias("key"))
+    shared = posted.join(often, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("shared"))
+    prefix = F.slice("shared", F.lit(1), (F.size("shared") - need(F.col("n")) + 1).cast("int"))
+    return shared.where(F.size("shared") >= need(F.col("n"))).select("id", "n", F.explode(prefix["key"]).alias("key"))
 
 
 def _alike(n: str, m: str, similarity: Fraction):
@@ -128,55 +118,57 @@ def _alike(n: str, m: str, similarity: Fraction):
     return similarity.denominator * F.least(n, m) >= similarity.numerator * F.greatest(n, m)
 
 
-def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) that are similar enough: short ones by their signatures, which are whole sets; others by the
-    full sets of their texts, where MATCHES coordinates of the signatures are equal."""
-    of = lambda x: signed.select(F.col("id").alias(x), "kind", F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
-    counted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), ["b", "kind"]).withColumn("m", F.size(F.array_intersect("ka", "kb")))
+def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that are similar enough, as their coordinates in common tell where both signatures are whole
+    sets, and else the full sets of their texts."""
+    of = lambda x: signed.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
+    counted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("m", F.size(F.array_intersect("ka", "kb")))
     n, d = similarity.numerator, similarity.denominator
-    short = counted.where((F.col("kind") == 0) & (d * F.col("m") >= n * (F.col("na") + F.col("nb") - F.col("m")))).select("a", "b")
-    likely = counted.where((F.col("kind") == 1) & (F.col("m") >= MATCHES) & (F.greatest("na", "nb") > SHORT)).select("a", "b")
-    with_a = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    whole = F.greatest("na", "nb") <= COORDINATES
+    likely = F.when(whole, d * F.col("m") >= n * (F.col("na") + F.col("nb") - F.col("m"))).otherwise(F.col("m") >= F.least(need(F.col("na")), need(F.col("nb"))))
+    matched = scratch.keep(counted.where(likely).select("a", "b", whole.alias("whole")))
+    with_a = matched.where("not whole").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     rows = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return short.union(rows.mapInArrow(lambda batches: _confirmed(batches, n, d), "a long, b long"))
+    links = scratch.keep(matched.where("whole").select("a", "b").union(rows.mapInArrow(lambda batches: _confirmed(batches, n, d), "a long, b long")))
+    scratch.drop(matched)
+    return links
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: each row of `docs` with the smallest doc_id that links reach.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows that repeat a
-    doc_id are one node of the graph. A row with a null doc_id is linked with nothing (component_id null) and kept.
-    An empty table gives an empty result; other columns are not read.
+    doc_id are linked with each other, and each has the links of its own text. A row with a null doc_id is linked with
+    nothing (component_id null) and kept. An empty table gives an empty result; other columns are not read.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    share = float(similarity)
-    signed = checkpointed(
-        rows.mapInArrow(lambda batches: _signed(batches, share), "doc_id long, n_shingles long, whole array<long>, sampled array<long>, set1 long, set2 long")
-    )
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+    signed = scratch.keep(rows.mapInArrow(_signed, "doc_id long, n_shingles long, set1 long, set2 long, print long, keys array<long>"))
     sets = ["set1", "set2", "n_shingles"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min("doc_id").alias("class"))
-    classed = signed.select("doc_id", *sets).join(classes, sets, "left").withColumn("class", F.coalesce("class", "doc_id"))
-    heads = signed.where("n_shingles > 0 and doc_id is not null").join(classes, sets).where("doc_id = class").dropDuplicates(["doc_id"])
-    need = F.ceil(F.col("n_shingles") * similarity.numerator / similarity.denominator)
-    single = heads.select(
-        F.col("doc_id").alias("id"),
-        F.col("n_shingles").alias("n"),
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), need.alias("need"), F.col("whole").alias("keys")), F.struct(F.lit(1).alias("kind"), F.lit(MATCHES).cast("long").alias("need"), F.col("sampled").alias("keys")))).alias("s"),
-    ).select("id", "n", "s.*").where("keys is not null")
-    # rows of one doc_id with different texts are in several classes, which are linked through it
-    bridges = classed.where("doc_id is not null and doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-    doubled = classed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
-    posted = checkpointed(prefix_postings(single))
+    # nodes are equal shingle sets; the smallest row of each stands for it
+    nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "print")).alias("low"), F.first("keys").alias("keys"))
+    heads = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("id"), *sets, F.col("n_shingles").alias("n"), "low", "keys"))
+    placed = signed.select("doc_id", *sets).join(heads.select("id", *sets), sets, "left")
+    placed = scratch.keep(placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")))
+    scratch.drop(signed)
+    posted = prefix_postings(heads.select("id", "n", "keys"))
+    posted = scratch.keep(posted)
     # only documents in a list with others can have a partner; their signatures and texts are set apart once
     met = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    candidates = checkpointed(posted.join(met, "key", "left_semi").select("id").distinct())
+    candidates = scratch.keep(posted.join(met, "key", "left_semi").select("id").distinct())
     few = candidates.count() <= BROADCAST_IDS
     chosen = F.broadcast(candidates) if few else candidates
-    long_texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    single = checkpointed(single.join(chosen, "id", "left_semi"))
-    of_long = candidates.join(single.where(f"n > {share * SHORT}").select("id").distinct(), "id", "left_semi")
-    texts = checkpointed(long_texts.join(F.broadcast(of_long) if few else of_long, "id", "left_semi"))
+    single = scratch.keep(heads.select("id", "n", "low", "keys").join(chosen, "id", "left_semi"))
+    # partners of documents beyond COORDINATES may have fewer by the similarity
+    of_long = single.where(F.col("n") > float(similarity) * COORDINATES).select("id", "low.doc_id", "low.print")
+    texts = rows.join(F.broadcast(of_long) if few else of_long, ["doc_id", "print"]).select("id", "text")
+    texts = scratch.keep(texts)
+    narrow = scratch.keep(heads.select("id", F.col("low.doc_id").alias("low")))
+    scratch.drop(heads, candidates)
+    # rows of one doc_id with different texts are in several nodes, which are linked through it
+    ends = placed.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b <> z").select("doc_id", "b")
+    bridges = placed.join(ends, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
     def hub_pairs(lists: DataFrame, salt: int) -> DataFrame:
         hub = F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", F.pmod("key", F.lit(HUB_ORDERS)), F.lit(salt)), "id")).alias("hub")
@@ -184,38 +176,42 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = lists.join(hubs, "key").where((F.col("id") != F.col("b")) & _alike("n", "m", similarity))
         return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
-    links = checkpointed(_linked(hub_pairs(posted, 0), single, texts, similarity))
+    links = [scratch.keep(bridges), _linked(hub_pairs(posted, 0), single, texts, similarity, scratch)]
+    joined = lambda: reduce(DataFrame.union, links)
+    postings = posted.count()
     for salt in range(1, HUB_ROUNDS + 1):
-        found = components(links.union(bridges.join(doubled, "a", "left_semi")))
-        # lists whose members are not yet all in one component, as pairs of components
-        in_lists = posted.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = in_lists.groupBy("key", "component").agg(F.count("*").alias("m"))
-        open_lists = checkpointed(sizes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-        open_pairs, postings = open_lists.agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0] or 0, posted.count()
-        if not open_pairs:
-            break
-        if open_pairs <= PAIRS_PER_POSTING * postings + 100_000 or salt == HUB_ROUNDS:
-            parts = sizes.join(open_lists, "key").select("key", "component")
-            one, other = parts.alias("x"), parts.alias("y")
-            met = one.join(other, F.expr("x.key = y.key and x.component > y.component")).select(F.col("x.component").alias("c1"), F.col("y.component").alias("c2")).distinct()
-            members = checkpointed(in_lists.select("id", "n", "component").distinct())
-            first = met.join(members.select(F.col("id").alias("i"), "n", F.col("component").alias("c1")), "c1")
-            second = first.join(members.select(F.col("id").alias("j"), F.col("n").alias("m"), F.col("component").alias("c2")), "c2")
-            pairs = second.where(_alike("n", "m", similarity)).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"))
-            links = checkpointed(links.union(_linked(pairs, single, texts, similarity)))
-            found = components(links.union(bridges.join(doubled, "a", "left_semi")))
-            break
+        found = components(joined(), scratch)
+        in_lists = scratch.keep(posted.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+        # lists whose members are not all in one component, and the pairs of members in different ones
+        sizes = in_lists.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("c"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
+        open_lists = scratch.keep(sizes.where("c > 1").select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")))
+        open_pairs = open_lists.agg(F.sum("pairs")).first()[0] or 0
+        last = open_pairs <= PAIRS_PER_POSTING * postings + 100_000 or salt == HUB_ROUNDS
         left = in_lists.join(open_lists.select("key"), "key", "left_semi")
-        links = checkpointed(links.union(_linked(hub_pairs(left.select("key", "id", "n"), salt), single, texts, similarity)))
-    result = classed.join(found.withColumnRenamed("node", "class"), "class", "left")
-    reached = F.coalesce("component", "class")
+        if open_pairs and last:
+            one, other = left.alias("x"), left.alias("y")
+            pairs = one.join(other, F.expr("x.key = y.key and x.component > y.component")).where(_alike("x.n", "y.n", similarity))
+            links.append(_linked(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), single, texts, similarity, scratch))
+            scratch.drop(found)
+            found = components(joined(), scratch)
+        elif open_pairs:
+            links.append(_linked(hub_pairs(left, salt), single, texts, similarity, scratch))
+            scratch.drop(found)
+        scratch.drop(in_lists, open_lists)
+        if last:
+            break
+    scratch.drop(posted, single, texts, *links)
+    labels = narrow.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "low", F.coalesce("component", "id").alias("component"))
+    lows = labels.groupBy("component").agg(F.min("low").alias("reached"))
+    result = placed.join(labels.join(lows, "component").select("id", "reached"), "id", "left")
+    reached = F.coalesce("reached", "doc_id")
     return result.select("doc_id", "n_shingles", reached.alias("component_id"), F.coalesce(F.col("doc_id") == reached, F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each component, the one with the smallest doc_id; all columns as they were.
 
-    Rows with a null doc_id stay.
+    Rows with a null doc_id stay, and so do all rows that repeat the doc_id of one that stays.
     """
     stay = near_groups(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(stay, id_col, "left_semi")

@@ -5,6 +5,7 @@ import pytest
 
 from plexweave.llm import licences
 
+CODE = "\n".join(f"int value{k} = compute{k}(argument{k}, other{k});" for k in range(30))
 FILES = "doc_id long, path string, text string, key string"
 GPL2 = """/*
  * This program is free software; you can redistribute it
@@ -13,7 +14,8 @@ GPL2 = """/*
  * either version 2 of the License, or (at your option) any
  * later version.
  */
-int main() { return 0; }"""
+int main() { return 0; }
+""" + CODE
 APACHE = """# Copyright 2020 somebody
 #
 # Licensed under the Apache License, Version 2.0 (the "License");
@@ -22,7 +24,8 @@ APACHE = """# Copyright 2020 somebody
 #
 #     http://www.apache.org/licenses/LICENSE-2.0
 #
-import os"""
+import os
+""" + CODE
 ISC = """Permission to use, copy, modify, and/or distribute this
 software for any purpose with or without fee is hereby
 granted, provided that the above copyright notice and this
