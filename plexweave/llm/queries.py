@@ -53,9 +53,9 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plexweave.llm.substring_dedup import with_kept
+    from plexweave.llm.substring_dedup import kept_words, with_kept
 
-    digest = lambda n, kept: (n, n - len(kept), sha256(b" ".join(kept)).hexdigest())
+    digest = lambda words, gone: (len(words), int(gone.sum()), sha256(b" ".join(kept_words(words, gone))).hexdigest())
     return with_kept(table(spark, sf_dir, "documents"), digest, "n_words long, n_removed long, kept_sha256 string")
 
 

@@ -1,21 +1,25 @@
 """Removal of word runs that also occur in an earlier document.
 
-Suffixes are split into groups by a run of words that they all share, and each group is one subtree: its nodes at the
-depth of a whole window are the repeats. The run that names a suffix's group is not a fixed number of first words; it
-is the run of GROUP words in the window with the smallest hash, so the windows of a repeat meet in one group wherever
-they stand, and neighbouring windows mostly share it. Thus one row carries several suffixes, and far fewer rows move
-than there are suffixes. A group is streamed in the order of doc_id, and only the nodes of one group are held at a time.
-Groups that a sample shows to be large are split by all words of the window. Nodes tell only which windows may repeat;
-these are then compared by 128-bit digests of their words.
+Suffixes of texts are split into groups of a size that fits in memory, and each group is searched as one sparse suffix
+tree, cut at the depth of a window: its internal nodes at that depth are the repeats, and repeats that follow each other
+in a text make up a maximal one. What names the group of a suffix is not its first words but the run of GROUP words in
+its window with the smallest hash. So equal windows meet in one group wherever they stand, neighbouring suffixes mostly
+share their group, and one row carries the words of several suffixes once; under their own first words each suffix would
+carry all of its words. Groups that a sample shows to be large are split by all words of the window.
+
+Rows of a batch that fall into one group are packed together: where they stand, and their words, compressed. Nodes are
+found by hashes of their words and confirmed by the words themselves, so what is removed is a repeat in any case.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,167 +30,260 @@ from plexweave.llm.words import hashes, mixed, rolling, split
 WINDOW = 13
 #: Words of the run that names a group of suffixes.
 GROUP = 3
-#: Bits of the hash that names a group.
-GROUP_BITS = 40
-#: Bytes of a window's own hash within its group. Equal ones make candidates, which digests of the words confirm.
-DIGEST = 3
-#: Groups of more rows than this are split, as told from one document in so many.
-LARGE, SAMPLED = 200_000, 64
-SUFFIXES = "group long, doc long, at int, hits int, nodes binary"
+#: Suffixes of a group, about; runs that name more than a quarter of that are split.
+TARGET = 600_000
+#: Sizes are estimated from one document in so many; they only set how groups are split.
+SAMPLED = 64
+#: Fewest groups.
+LEAST_GROUPS = 8
 _LAST = (1 << 63) - 1
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], window: int, large: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """(group, doc, at, hits, nodes): windows from position `at` on that fall into one group, and their hashes end to end.
+def _planes(a: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next ones: small values then compress well."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
-    Rows that a smaller document of the batch has just so are known to be candidates. They have `hits` in place of nodes
-    and a group of their own, so a passage that very many documents share comes about once from each batch; the row
-    of the smallest document has both. Windows of the groups in `large` are rows of their own.
+
+class Places:
+    """Runs of `size` windows from word `at` on in documents, each told by its id and a checksum of its text."""
+
+    def __init__(self, doc: np.ndarray, tag: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.doc, self.tag, self.at, self.size = doc, tag, at, size
+
+    def take(self, some: np.ndarray) -> Places:
+        return Places(self.doc[some], self.tag[some], self.at[some], self.size[some])
+
+    def pack(self) -> bytes:
+        """As bytes; runs of a document should stand together, in order."""
+        n = len(self.doc)
+        heads = np.flatnonzero(np.r_[True, (self.doc[1:] != self.doc[:-1]) | (self.tag[1:] != self.tag[:-1])][:n])
+        gap = np.diff(self.at, prepend=0)
+        gap[heads] = self.at[heads]
+        parts = (self.doc[heads], self.tag[heads].astype(np.uint32), np.diff(np.r_[heads, n]).astype(np.uint32), gap.astype(np.int32), self.size.astype(np.uint8))
+        return np.array([n, len(heads)], np.uint32).tobytes() + b"".join(map(_planes, parts))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Places:
+        n, d = np.frombuffer(data, np.uint32, 2).tolist()
+        at, out = 8, []
+        for count, kind in ((d, np.int64), (d, np.uint32), (d, np.uint32), (n, np.int32), (n, np.uint8)):
+            width = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, count * width, at).reshape(width, count).T).view(kind).ravel())
+            at += count * width
+        doc, tag, runs, gap, size = out
+        place = np.cumsum(gap.astype(np.int64))
+        heads = np.cumsum(runs.astype(np.int64)) - runs
+        if d:
+            place -= np.repeat(place[heads] - gap[heads], runs)
+        return cls(np.repeat(doc, runs), np.repeat(tag, runs), place, size)
+
+    @classmethod
+    def join(cls, parts: list[Places]) -> Places:
+        return cls(*(np.concatenate([getattr(p, name) for p in parts]) for name in ("doc", "tag", "at", "size")))
+
+
+def _group_of(key: np.ndarray, groups: int) -> np.ndarray:
+    return ((key >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+
+
+def _bucket(doc: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
+    return _group_of(mixed(mixed(doc.astype(np.int64).view(np.uint64)) ^ tag.astype(np.uint64)), buckets)
+
+
+def _record(rows: list[tuple[int, int, bytes, bytes | None]]) -> pa.RecordBatch:
+    bucket, kind, places, words = zip(*rows) if rows else ((), (), (), ())
+    return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(places, pa.binary()), pa.array(words, pa.binary())], ["bucket", "kind", "places", "words"])
+
+
+def _hit_rows(hits: Places, buckets: int) -> list[tuple[int, int, bytes, None]]:
+    """`hits` by the bucket of their document, as rows of kind 0."""
+    bucket = _bucket(hits.doc, hits.tag, buckets)
+    order = np.lexsort((hits.at, hits.tag, hits.doc, bucket))
+    cuts = np.flatnonzero(np.r_[True, bucket[order[1:]] != bucket[order[:-1]]][: len(order)]).tolist()
+    return [(int(bucket[order[a]]), 0, hits.take(order[a:b]).pack(), None) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], window: int, groups: int, large: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(bucket, kind, places, words) of (doc, text): kind 1 has suffixes of group `bucket` with their words.
+
+    Suffixes whose words a smaller document of the batch has just so are hits already, so a passage that very many
+    documents share comes about once from each batch.
     """
     span = window - GROUP + 1
+    squeeze = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        groups, docs, starts, sizes, nodes = [], [], [], [], []
+        docs, tags, ats, sizes, keys, lines = [], [], [], [], [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words = hashes(7).of(split(text))
-            if len(words) < window:
+            words = split(text)
+            n = len(words) - window + 1
+            if n < 1:
                 continue
-            whole, runs = rolling(words, window), rolling(words, GROUP)
-            least = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(len(whole))
+            hashed = hashes(7).of(words)
+            runs = rolling(hashed, GROUP)
+            least = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(n)
             heads = np.r_[True, least[1:] != least[:-1]]
-            split_up = np.isin(mixed(runs[least]) >> np.uint64(64 - GROUP_BITS), large) if large is not None and len(large) else np.zeros(len(whole), bool)
-            first = np.flatnonzero(heads | split_up)
-            groups.append(mixed(np.where(split_up[first], runs[least[first]] ^ mixed(whole[first]), runs[least[first]])))
+            apart = np.isin(runs[least], large) if len(large) else np.zeros(n, bool)
+            first = np.flatnonzero(heads | apart)
+            keys.append(np.where(apart[first], mixed(rolling(hashed, window)[first]), mixed(runs[least[first]])))
+            line = b" ".join(words)
+            starts = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
+            ends = np.r_[first[1:], n]
+            lines += [line[x : y - 1] for x, y in zip(starts[first].tolist(), starts[ends + window - 1].tolist())]
             docs.append(np.full(len(first), doc, np.int64))
-            starts.append(first)
-            sizes.append(np.diff(np.r_[first, len(whole)]))
-            nodes.append(whole)
-        if not groups:
+            tags.append(np.full(len(first), zlib.crc32(text.encode()), np.uint32))
+            ats.append(first)
+            sizes.append(ends - first)
+        if not lines:
             continue
-        group, doc, at, size, node = map(np.concatenate, (groups, docs, starts, sizes, nodes))
-        same = mixed(np.add.reduceat(mixed(node), np.cumsum(size) - size) ^ group ^ size.astype(np.uint64))
-        order = np.lexsort((doc, same))
+        places = Places(*map(np.concatenate, (docs, tags, ats, sizes)))
+        group = _group_of(np.concatenate(keys), groups)
+        same = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+        order = np.lexsort((places.doc, same))
         heads = np.flatnonzero(np.r_[True, same[order[1:]] != same[order[:-1]]])
-        known = np.zeros(len(group), bool)
-        count = np.diff(np.r_[heads, len(order)])
-        known[order] = doc[order] > np.repeat(doc[order[heads]], count)
-        met = np.zeros(len(group), bool)
-        met[order] = np.repeat(np.logical_or.reduceat(known[order], heads), count)
-        group = np.where(known, mixed(doc.view(np.uint64) * np.uint64(1 << 20) + at.astype(np.uint64)), group) >> np.uint64(64 - GROUP_BITS)
-        hits = np.where(met, (1 << size) - 1, 0).astype(np.int32)
-        data = np.ascontiguousarray(node[np.repeat(~known, size)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :DIGEST])
-        ends = np.r_[0, np.cumsum(np.where(known, 0, size))].astype(np.int32) * DIGEST
-        packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
-        yield pa.record_batch([pa.array(group.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(hits), packed], ["group", "doc", "at", "hits", "nodes"])
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, at, hits): of rows sorted by group and doc, the windows whose node another document has; bit k is window at + k."""
-    group, owners = None, np.zeros(0, [("node", np.uint32), ("doc", np.int64), ("at", np.int32)])
+        owner = np.empty(len(lines), np.int64)
+        owner[order] = np.repeat(order[heads], np.diff(np.r_[heads, len(order)]))
+        known = np.zeros(len(lines), bool)
+        for k in np.flatnonzero(places.doc > places.doc[owner]).tolist():
+            known[k] = lines[k] == lines[owner[k]]
+        rows = _hit_rows(places.take(known), groups)
+        rest = np.flatnonzero(~known)
+        rest = rest[np.argsort(group[rest], kind="stable")]
+        cuts = np.flatnonzero(np.r_[True, group[rest[1:]] != group[rest[:-1]]][: len(rest)]).tolist()
+        for x, y in zip(cuts, [*cuts[1:], len(rest)]):
+            some = rest[x:y]
+            rows.append((int(group[some[0]]), 1, places.take(some).pack(), squeeze.compress(b"\n".join(lines[k] for k in some.tolist()))))
+        yield _record(rows)
+
+
+def _repeats(places: Places, texts: list[bytes], window: int) -> Places:
+    """The hits among the suffixes of one group, whose words are in `texts`: windows that a smaller document has too."""
+    data = b"\n".join(texts)
+    hashed = np.concatenate([hashes(7).of(t.split()) for t in texts])
+    raw = np.frombuffer(data, np.uint8)
+    gaps = np.flatnonzero((raw == 32) | (raw == 10))
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(raw)]
+    size = places.size.astype(np.int64)
+    lengths = size + window - 1
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    word = (np.cumsum(lengths) - lengths)[row] + place
+    node, doc = rolling(hashed, window)[word], places.doc[row]
+    order = np.lexsort((doc, node))
+    heads = np.flatnonzero(np.r_[True, node[order[1:]] != node[order[:-1]]][: len(order)])
+    counts = np.diff(np.r_[heads, len(order)])
+    owner = np.empty(len(order), np.int64)
+    owner[order] = np.repeat(order[heads], counts)
+    hit = doc > doc[owner]
+    # windows that follow each other, and so do their owners, are compared at once
+    likely = np.flatnonzero(hit)
+    if len(likely):
+        follows = (np.diff(likely) == 1) & (np.diff(row[likely]) == 0) & (np.diff(word[owner[likely]]) == 1) & (np.diff(row[owner[likely]]) == 0)
+        first = likely[np.r_[True, ~follows]]
+        last = likely[np.r_[~follows, True]]
+        words = lambda k: data[starts[word[k]] : ends[word[k] + window - 1]]
+        wrong = []
+        spans = (starts[word[first]], ends[word[last] + window - 1], starts[word[owner[first]]], ends[word[owner[last]] + window - 1])
+        for k, (a, b, c, d) in enumerate(zip(*(x.tolist() for x in spans))):
+            if data[a:b] != data[c:d]:
+                wrong += [i for i in range(first[k], last[k] + 1) if words(i) != words(owner[i])]
+        if wrong:  # hashes that collide: the leaves of these nodes are told apart by their words
+            number = np.empty(len(order), np.int64)
+            number[order] = np.repeat(np.arange(len(heads)), counts)
+            for k in np.unique(number[wrong]).tolist():
+                least: dict[bytes, int] = {}
+                for i in order[heads[k] : heads[k] + counts[k]].tolist():  # in the order of doc
+                    hit[i] = doc[i] > least.setdefault(words(i), int(doc[i]))
+    found = np.flatnonzero(hit)
+    if not len(found):
+        return places.take(found)
+    new = np.r_[True, (np.diff(found) != 1) | (np.diff(row[found]) != 0)]
+    first = found[new]
+    return Places(places.doc[row[first]], places.tag[row[first]], places.at[row[first]] + place[first], np.diff(np.r_[np.flatnonzero(new), len(found)]))
+
+
+def _trees(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 0 for the hits, of rows sorted by bucket; hits that are known already pass through."""
+    group, places, texts = None, [], []
+    expand = zstandard.ZstdDecompressor()
+
+    def solved() -> pa.RecordBatch:
+        hits = _repeats(Places.join(places), texts, window)
+        return _record(_hit_rows(hits, buckets))
+
     for b in batches:
-        if not b.num_rows:
-            continue
-        of_row = b.column(0).to_numpy()
-        doc, at, known, column = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4)
-        if column.type != pa.binary():
-            column = column.cast(pa.binary())
-        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-        data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, DIGEST)
-        node = np.zeros((len(data), 4), np.uint8)
-        node[:, :DIGEST] = data
-        node = node.view("<u4").ravel()
-        size = np.diff(ends) // DIGEST
-        row = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        # the group that goes on from the batch before comes with the nodes it has so far
-        number = np.cumsum(np.r_[0, of_row[1:] != of_row[:-1]])
-        carried = owners if of_row[0] == group else owners[:0]
-        keys = np.concatenate([carried["node"], node])
-        groups = np.concatenate([np.zeros(len(carried), np.int64), number[row]])
-        docs = np.concatenate([carried["doc"], doc[row]])
-        ats = np.concatenate([carried["at"], at[row] + place.astype(np.int32)])
-        order = np.lexsort((docs, (groups.astype(np.uint64) << np.uint64(32)) | keys))
-        keys, groups, docs, ats = keys[order], groups[order], docs[order], ats[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1])
-        heads = np.flatnonzero(new)
-        count = np.diff(np.r_[heads, len(keys)])
-        later = docs > np.repeat(docs[heads], count)
-        shared = np.repeat(np.logical_or.reduceat(later, heads), count) if len(heads) else later
-        hit = np.zeros(len(keys), bool)
-        hit[order] = shared
-        last = heads[groups[heads] == number[-1]]
-        held, hit = hit[: len(carried)], hit[len(carried) :]
-        again = carried[held]
-        group, owners = of_row[-1], np.zeros(len(last), owners.dtype)
-        owners["node"], owners["doc"], owners["at"] = keys[last], docs[last], ats[last]
-        bits = known.copy()
-        np.bitwise_or.at(bits, row[hit], np.int32(1) << place[hit].astype(np.int32))
-        some = bits != 0
-        columns = (np.r_[doc[some], again["doc"]], np.r_[at[some], again["at"]], np.r_[bits[some], np.ones(len(again), np.int32)].astype(np.int32))
-        yield pa.record_batch([pa.array(c) for c in columns], ["doc", "at", "hits"])
-
-
-def _positions(runs: list[dict]) -> np.ndarray:
-    """The windows that the bits of `runs` stand for."""
-    at, hits = (np.array([r[k] for r in runs], np.int64) for k in ("at", "hits"))
-    return np.unique(np.concatenate([at[(hits >> k) & 1 == 1] + k for k in range(int(hits.max()).bit_length())]))
-
-
-def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(hi, lo, doc, at, hits): of (doc_id, text, doc, runs), the digests of the words of the windows in `runs`.
-
-    Windows that a smaller document of the batch has too are repeats; these have hits 1 and digests of their own.
-    """
+        for bucket, kind, data, words in zip(*(c.to_pylist() for c in b.columns)):
+            if kind == 0:
+                yield _record([(bucket, 0, data, None)])
+                continue
+            if bucket != group and places:
+                yield solved()
+                places, texts = [], []
+            group = bucket
+            places.append(Places.unpack(data))
+            texts.append(expand.decompress(words))
+    if places:
+        yield solved()
+
+
+def _texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, kind 1, doc_id, places: none, words: the text) of (doc, text, doc_id)."""
+    squeeze = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        found, docs, ats = [], [], []
-        for text, doc, runs in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
-            words = split(text)
-            line = b" ".join(words)
-            ends = np.cumsum([0] + [len(w) + 1 for w in words])
-            at = _positions(runs)
-            at = at[at + window <= len(words)]
-            found.extend(xxhash.xxh3_128_digest(line[x : y - 1]) for x, y in zip(ends[at].tolist(), ends[at + window].tolist()))
-            docs.append(np.full(len(at), doc, np.int64))
-            ats.append(at)
-        if not found:
-            continue
-        key, doc, at = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2), np.concatenate(docs), np.concatenate(ats)
-        order = np.lexsort((doc, key[:, 1], key[:, 0]))
-        key, doc, at = key[order].copy(), doc[order], at[order]
-        heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        known = doc > np.repeat(doc[heads], np.diff(np.r_[heads, len(doc)]))
-        key[known] = np.stack([doc[known], at[known]], axis=1)
-        columns = (key[:, 0].copy(), key[:, 1].copy(), doc, at.astype(np.int32), known.astype(np.int32))
-        yield pa.record_batch([pa.array(c) for c in columns], ["hi", "lo", "doc", "at", "hits"])
-
-
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, at, hits): of rows sorted by hits, digest and doc, the windows that a smaller document has."""
-    carried = None
+        made = [(t or "").encode() for t in b.column(1).to_pylist()]
+        tags = np.array([zlib.crc32(t) for t in made], np.uint32)
+        bucket = _bucket(b.column(0).to_numpy(), tags, buckets).astype(np.int32)
+        arrays = [pa.array(bucket), pa.array(np.ones(len(made), np.int32)), b.column(2), pa.nulls(len(made), pa.binary()), pa.array([squeeze.compress(t) for t in made], pa.binary())]
+        yield pa.record_batch(arrays, ["bucket", "kind", "doc_id", "places", "words"])
+
+
+def covered(n: int, at: np.ndarray, size: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which of n words the windows from `at` on, `size` in a row each, cover."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + size + (window - 1), -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int | None, list[bytes], np.ndarray]]:
+    """Each document of rows sorted by bucket and kind: its id, its words, and which of them hits cover."""
+    group, found = None, {}
+    expand = zstandard.ZstdDecompressor()
     for b in batches:
-        if not b.num_rows:
-            continue
-        hi, lo, doc, at, known = (b.column(k).to_numpy() for k in range(5))
-        heads = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (known[1:] != known[:-1])])
-        owner = np.repeat(doc[heads], np.diff(np.r_[heads, len(doc)]))
-        if carried and carried[:3] == (known[0], hi[0], lo[0]):
-            owner[: heads[1] if len(heads) > 1 else len(owner)] = carried[3]
-        carried = (known[-1], hi[-1], lo[-1], owner[-1])
-        hit = (doc > owner) | (known == 1)
-        yield pa.record_batch([pa.array(doc[hit]), pa.array(at[hit]), pa.array(np.ones(hit.sum(), np.int32))], ["doc", "at", "hits"])
+        for bucket, kind, doc_id, data, text in zip(*(c.to_pylist() for c in b.columns)):
+            if bucket != group:
+                group, found = bucket, {}
+            if kind == 0:
+                p = Places.unpack(data)
+                heads = np.flatnonzero(np.r_[True, (p.doc[1:] != p.doc[:-1]) | (p.tag[1:] != p.tag[:-1])][: len(p.doc)]).tolist()
+                for x, y in zip(heads, [*heads[1:], len(p.doc)]):
+                    found.setdefault((int(p.doc[x]), int(p.tag[x])), []).append((p.at[x:y], p.size[x:y].astype(np.int64)))
+                continue
+            raw = expand.decompress(text) if text else b""
+            words = raw.split()
+            hits = found.get((_LAST if doc_id is None else doc_id, zlib.crc32(raw)))
+            gone = covered(len(words), *map(np.concatenate, zip(*hits)), window) if hits else np.zeros(len(words), bool)
+            yield doc_id, words, gone
 
 
-def _large_groups(rows: DataFrame, window: int) -> np.ndarray:
-    """The groups of more than LARGE rows by a sample; there are few, as each holds that many rows."""
+def _large_runs(rows: DataFrame, window: int) -> tuple[int, np.ndarray]:
+    """The number of windows, and the hashes of the runs that name more than TARGET / 4 of them, by a sample of documents."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _suffixes(batches, window):
-            group, n = np.unique(b.column(0).to_numpy(), return_counts=True)
-            yield pa.record_batch([pa.array(group), pa.array(n)], ["group", "n"])
+        span = window - GROUP + 1
+        for b in batches:
+            keys = [np.zeros(0, np.uint64)]
+            for text in b.column(1).to_pylist():
+                runs = rolling(hashes(7).of(split(text)), GROUP)
+                if len(runs) >= span:
+                    keys.append(np.lib.stride_tricks.sliding_window_view(runs, span).min(axis=1))
+            run, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.record_batch([pa.array(run.view(np.int64)), pa.array(n)], ["run", "n"])
 
     part = rows.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).select("doc", "text")
-    counted = part.mapInArrow(sizes, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
-    return np.array([r["group"] for r in counted.where(F.col("n") * SAMPLED > LARGE).collect()], np.uint64)
+    counted = part.mapInArrow(sizes, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    # there are few large runs, as each names so many windows
+    marked = counted.agg(F.sum("n").alias("total"), F.collect_list(F.when(F.col("n") * SAMPLED > TARGET // 4, F.col("run"))).alias("large")).first()
+    return (marked["total"] or 0) * SAMPLED, np.array(marked["large"], np.int64).view(np.uint64)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -194,72 +291,67 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc, runs array<struct<at, hits>>: the windows of each document that also start in one with a smaller id.
-
-    Bit k of `hits` stands for the window from word at + k. A null id counts as larger than all others and comes as
-    the largest long.
-    """
-    if not GROUP < window <= GROUP + 29:
-        raise ValueError(f"a window has {GROUP + 1} to {GROUP + 29} words")
+def with_kept(docs: DataFrame, columns: Callable[[list[bytes], np.ndarray], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id and what `columns`, given a document's words and which of them are repeats, makes of it."""
+    if not GROUP < window <= GROUP + 200:
+        raise ValueError(f"a window has {GROUP + 1} to {GROUP + 200} words")
     bound_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
-    large = _large_groups(rows, window)
-    suffixes = rows.select("doc", "text").mapInArrow(lambda batches: _suffixes(batches, window, large), SUFFIXES)
-    likely = _runs_of(suffixes.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(_candidates, "doc long, at int, hits int"))
-    # with the columns of the join in with_kept, so that both take one exchange of the texts
-    joined = rows.join(likely, "doc").select("doc_id", "text", "doc", "runs")
-    digests = joined.mapInArrow(lambda batches: _digests(batches, window), "hi long, lo long, doc long, at int, hits int")
-    return _runs_of(digests.repartition("hi", "lo").sortWithinPartitions("hits", "hi", "lo", "doc").mapInArrow(_confirmed, "doc long, at int, hits int"))
-
-
-def _runs_of(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc").agg(F.collect_list(F.struct("at", "hits")).alias("runs"))
-
-
-def kept_words(words: list[bytes], runs: list[dict] | None, window: int = WINDOW) -> list[bytes]:
-    """`words` without those that the windows in `runs` cover."""
-    if not runs:
-        return words
-    n = len(words)
-    edge = np.zeros(n + 1, np.int64)
-    at = np.array([r["at"] for r in runs], np.int64)
-    hits = np.array([r["hits"] for r in runs], np.int64)
-    for k in range(int(hits.max()).bit_length()):
-        start = at[(hits >> k) & 1 == 1] + k
-        start = start[start + window <= n]
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + window, -1)
-    keep = np.cumsum(edge[:n]) == 0
-    return [w for w, k in zip(words, keep.tolist()) if k]
-
-
-def with_kept(docs: DataFrame, columns: Callable[[int, list[bytes]], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id and what `columns`, given the number of words and the kept words, makes of each document."""
-    runs = repeated_windows(docs, id_col, text_col, window)
-    joined = _keyed(docs, id_col, text_col).join(runs, "doc", "left").select("doc_id", "text", "runs")
+    total, large = _large_runs(rows, window)
+    groups = max(LEAST_GROUPS, -(-total // TARGET))
+    columns_of = "bucket int, kind int, places binary, words binary"
+    suffixes = rows.select("doc", "text").mapInArrow(lambda batches: _suffixes(batches, window, groups, large), columns_of)
+    hits = suffixes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _trees(batches, window, groups), columns_of)
+    texts = rows.select("doc", "text", "doc_id").mapInArrow(lambda batches: _texts(batches, groups), "bucket int, kind int, doc_id long, places binary, words binary")
+    both = texts.unionByName(hits.withColumn("doc_id", F.lit(None).cast("long")))
     out = f"doc_id long, {schema}"
     types = [f.dataType for f in docs.sparkSession.createDataFrame([], out).schema]
+    names = [f.name for f in docs.sparkSession.createDataFrame([], out).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for b in batches:
-            made = []
-            for doc, text, found in zip(*(c.to_pylist() for c in b.columns)):
-                words = split(text)
-                made.append((doc, *columns(len(words), kept_words(words, found, window))))
-            arrays = [pa.array(list(c), to_arrow_type(t)) for c, t in zip(zip(*made), types)] if made else [pa.array([], to_arrow_type(t)) for t in types]
-            yield pa.record_batch(arrays, [x.split()[0] for x in out.split(", ")])
+        made: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(c), to_arrow_type(t)) for c, t in zip(zip(*made), types)], names)
+
+        held = 0
+        for doc_id, words, gone in _kept(batches, window):
+            made.append((doc_id, *columns(words, gone)))
+            held += len(words)
+            if len(made) >= 1000 or held > 500_000:
+                yield batch()
+                made, held = [], 0
+        if made:
+            yield batch()
+
+    return both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, out)
+
 
-    return joined.mapInArrow(run, out)
+def kept_words(words: list[bytes], gone: np.ndarray) -> list[bytes]:
+    return [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, text: each text without the words of windows that start in an earlier document too.
 
     Kept words are joined by one space. Null and empty texts have no words and give an empty text; texts shorter than
-    a window stay whole. Documents of one id do not count as earlier than each other, and windows found in one of them
-    are removed from all. Rows with a null id come after all others. An empty table gives an empty result.
+    a window stay whole. Documents of one id do not count as earlier than each other. Rows with a null id come after
+    all others. An empty table gives an empty result; other columns are not read.
     """
-    return with_kept(docs, lambda n, kept: (n, n - len(kept), b" ".join(kept).decode()), "n_words long, n_removed long, text string", id_col, text_col, window)
+
+    def columns(words: list[bytes], gone: np.ndarray) -> tuple:
+        return len(words), int(gone.sum()), b" ".join(kept_words(words, gone)).decode()
+
+    return with_kept(docs, columns, "n_words long, n_removed long, text string", id_col, text_col, window)
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, repeats array<struct<start, n_words>>: the stretches of each text that windows of earlier documents cover."""
+
+    def columns(words: list[bytes], gone: np.ndarray) -> tuple:
+        edges = np.diff(np.r_[0, gone.astype(np.int8), 0])
+        return ([{"start": a, "n_words": b - a} for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist())],)
+
+    return with_kept(docs, columns, "repeats array<struct<start: long, n_words: long>>", id_col, text_col, window)

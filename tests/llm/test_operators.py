@@ -66,13 +66,12 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(order(found), order(expected), check_dtype=False)
 
 
-@pytest.mark.parametrize("large", [substring_dedup.LARGE, 3])
-def test_windows_are_confirmed_by_their_words(spark, monkeypatch, large):
+@pytest.mark.parametrize("target", [substring_dedup.TARGET, 12])
+def test_windows_are_confirmed_by_their_words(spark, monkeypatch, target):
     """Hashes of windows that all collide within a group, large groups or not, take away only what words repeat."""
-    monkeypatch.setattr(substring_dedup, "LARGE", large)
+    monkeypatch.setattr(substring_dedup, "TARGET", target)
     monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
     whole = substring_dedup.rolling
-    monkeypatch.setattr(substring_dedup, "rolling", lambda words, n: whole(words, n) * np.uint64(n != 13))
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(20)]
     rows, expected = [], {}
@@ -80,24 +79,40 @@ def test_windows_are_confirmed_by_their_words(spark, monkeypatch, large):
         own = [f"d{k}x{i}" for i in range(8)] + ["same", "three", "words"] + [f"e{k}x{i}" for i in range(rng.randint(8, 12))]
         rows.append((k, " ".join(own + passage * (k % 3 == 0))))
         expected[k] = " ".join(own + passage * (k == 0))
-    batch = lambda docs: pa.record_batch([pa.array([k for k, _ in docs]), pa.array([t for _, t in docs])], ["doc", "text"])
-    heavy = np.array([], np.uint64) if large > 3 else np.unique(np.concatenate([b.column(0).to_numpy() for b in substring_dedup._suffixes([batch(rows)], 13)])).astype(np.uint64)
-    made = pa.Table.from_batches(list(substring_dedup._suffixes([batch(rows[:5]), batch(rows[5:])], 13, heavy))).sort_by([("group", "ascending"), ("doc", "ascending")])
-    runs = {}
-    for b in substring_dedup._candidates(made.to_batches(max_chunksize=3)):
-        for r in b.to_pylist():
-            runs.setdefault(r["doc"], []).append(r)
-    asked = pa.record_batch([pa.array(list(c)) for c in zip(*((k, t, k, runs[k]) for k, t in rows if k in runs))], ["doc_id", "text", "doc", "runs"])
-    digests = pa.Table.from_batches(list(substring_dedup._digests([asked.slice(0, 3), asked.slice(3)], 13)))
-    digests = digests.sort_by([(c, "ascending") for c in ("hits", "hi", "lo", "doc")])
-    hits = {}
-    for b in substring_dedup._confirmed(digests.to_batches(max_chunksize=4)):
-        for r in b.to_pylist():
-            hits.setdefault(r["doc"], []).append(r)
-    assert {k: b" ".join(substring_dedup.kept_words(substring_dedup.split(t), hits.get(k))).decode() for k, t in rows} == expected
+    batch = lambda docs: pa.record_batch([pa.array([k for k, _ in docs]), pa.array([t for _, t in docs]), pa.array([k for k, _ in docs])], ["doc", "text", "doc_id"])
+    shared = whole(substring_dedup.hashes(7).of([b"same", b"three", b"words"]), 3)
+    monkeypatch.setattr(substring_dedup, "rolling", lambda words, n: whole(words, n) * np.uint64(n != 13))
+    for groups in (1, 5):
+        made = pa.Table.from_batches(list(substring_dedup._suffixes(iter([batch(rows[:5]), batch(rows[5:])]), 13, groups, shared if target == 12 else shared[:0])))
+        hits = pa.Table.from_batches(list(substring_dedup._trees(iter(made.sort_by("bucket").to_batches(max_chunksize=3)), 13, groups)))
+        texts = pa.Table.from_batches(list(substring_dedup._texts(iter([batch(rows)]), groups)))
+        both = pa.concat_tables([texts, hits.append_column("doc_id", pa.nulls(len(hits), pa.int64())).select(texts.column_names)])
+        kept = substring_dedup._kept(iter(both.sort_by([("bucket", "ascending"), ("kind", "ascending")]).to_batches(max_chunksize=4)), 13)
+        assert {k: b" ".join(substring_dedup.kept_words(w, g)).decode() for k, w, g in kept} == expected
     monkeypatch.setattr(substring_dedup, "rolling", whole)
-    found = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.without_repeats(docs).collect()
     assert {r["doc_id"]: r["text"] for r in found} == expected
+    repeats = {r["doc_id"]: r["repeats"] for r in substring_dedup.maximal_repeats(docs).collect()}
+    sizes = {k: len(t.split()) for k, t in rows}
+    assert all([tuple(x) for x in repeats[k]] == ([(sizes[k] - 20, 20)] if k % 3 == 0 and k else []) for k in sizes)
+
+
+def test_repeats_of_rows_with_one_id_or_none(spark):
+    """Windows are judged by the words of rows with smaller ids; rows of one id and null ids keep their own places."""
+    rng = random.Random(6)
+    passages = [" ".join(f"q{k}x{i}" for i in range(16)) for k in range(4)]
+    rows = [(rng.choice([1, 2, 3, None]), " ".join([f"u{k}", *rng.sample(passages, rng.randint(0, 3)), f"v{k}"])) for k in range(60)] + [(1, ""), (2, None), (3, passages[0])] * 2
+    windows = lambda t: {tuple(t.split()[i : i + 13]) for i in range(len(t.split()) - 12)}
+    rank = lambda d: 10 if d is None else d
+    expected = []
+    for d, t in rows:
+        words = (t or "").split()
+        earlier = set().union(*(windows(u or "") for e, u in rows if rank(e) < rank(d)))
+        gone = {j for i in range(len(words) - 12) if tuple(words[i : i + 13]) in earlier for j in range(i, i + 13)}
+        expected.append((str(d), len(words), len(gone), " ".join(w for j, w in enumerate(words) if j not in gone)))
+    found = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["text"]) for r in found) == sorted(expected)
 
 
 def test_filters_merge_without_loss():
