@@ -2,8 +2,9 @@
 
 Scripts, styles, comments, menus, headers, footers, sidebars, forms, adverts, notices and reader comments are dropped
 by their elements and by the words in class, id and role. Where a page marks its article (article, main), its stream is
-the text of that, else of all blocks left. The streams of all pages of a host are searched for runs of words that stand
-on a share of the host's distinct pages; these are boilerplate, and what is left is the text. Marks guide the search:
+the text of that, else of all blocks left. The streams of all pages of a host are laid end to end in a suffix array, in
+which runs of words that stand on a share of the host's distinct pages lie side by side; these are boilerplate, and what
+is left is the text. Marks guide the search:
 within an article a run must stand on far more pages, and a run that makes up most of the article is the text itself,
 as copies of one article on a host share it.
 
@@ -46,7 +47,19 @@ BESIDE = (
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies",
     "consent", "disqus", "footer", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo",
     "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget", "complementary", "contentinfo", "search",
+    "teaser", "teasers", "recommended",
 )
+# Words that go with these in one name; a name with any other word marks nothing.
+PLACES = (
+    "area", "bar", "block", "bottom", "box", "buttons", "container", "form", "global", "group", "inner", "item", "left", "links", "list", "main", "mobile", "outer",
+    "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "stories", "top", "unit", "user", "wrap", "wrapper",
+)
+# Elements whose start ends an open paragraph, and elements that end with the next of their kind.
+ENDS_P = (
+    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
+    "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
+)
+SIBLINGS = ("li", "td", "th", "tr", "dt", "dd", "option")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
@@ -56,24 +69,32 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[^a-z]+")
-_BESIDE, _OUTSIDE, _INLINE, _VOID, _MARKED = map(frozenset, (BESIDE, OUTSIDE, INLINE, VOID, MARKED))
+_BESIDE, _OUTSIDE, _INLINE, _VOID, _MARKED, _PLACES, _ENDS_P, _SIBLINGS = map(frozenset, (BESIDE, OUTSIDE, INLINE, VOID, MARKED, PLACES, ENDS_P, SIBLINGS))
 
 
 def _is_beside(attributes: str) -> bool:
-    return any(w in _BESIDE for m in _NAMES.finditer(attributes) for w in _WORDS.split("".join(filter(None, m.groups())).lower()))
+    """Whether a name in class, id or role is made up of a word of BESIDE and others of BESIDE and PLACES."""
+    for m in _NAMES.finditer(attributes):
+        for name in "".join(filter(None, m.groups())).lower().split():
+            parts = {w for w in _WORDS.split(name) if len(w) > 1}
+            if parts & _BESIDE and parts <= _BESIDE | _PLACES:
+                return True
+    return False
 
 
 def blocks(page: str | None) -> tuple[list[str], bool]:
     """The blocks of text of a page in order, and whether they are those of marked articles.
 
-    References are decoded and white space in a block is one space; blocks without text are left out.
+    References are decoded and white space in a block is one space; blocks without text are left out. An article within
+    an article is a comment or teaser and left out, and so are articles within a main element that has more text outside
+    of them.
     """
     if not page:
         return [], False
-    #: open elements as (tag, beside the article, marks an article)
-    stack: list[tuple[str, bool, bool]] = []
-    beside = marked = 0
-    found: list[tuple[bool, str]] = []
+    #: open elements as (tag, beside the article, main element, article)
+    stack: list[tuple[str, bool, bool, bool]] = []
+    depth = [0, 0, 0]  # of the three marks
+    found: list[tuple[bool, bool, str]] = []
     line: list[str] = []
 
     def end_block() -> None:
@@ -81,41 +102,52 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             text = " ".join(entities.unescape("".join(line)).split())
             line.clear()
             if text:
-                found.append((marked > 0, text))
+                found.append((depth[1] > 0, depth[2] > 0, text))
+
+    def close(at: int) -> None:
+        for _, *marks in stack[at:]:
+            for k, mark in enumerate(marks):
+                depth[k] -= mark
+        del stack[at:]
 
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            if not beside:
+            if not depth[0]:
                 line.append(text)
             continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in _INLINE and not (m["attributes"] and not m["close"] and _is_beside(m["attributes"])):
-            if not (m["close"] and any(t == tag for t, *_ in stack)):
-                continue
+        beside = bool(m["attributes"] and not m["close"] and _is_beside(m["attributes"]))
+        if tag in _INLINE and not beside and not (m["close"] and any(x[0] == tag for x in stack)):
+            continue
         end_block()
         if m["close"]:
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if at is not None:
-                for _, was_beside, was_marked in stack[at:]:
-                    beside -= was_beside
-                    marked -= was_marked
-                del stack[at:]
-        elif tag not in _VOID and not m["attributes"].endswith("/"):
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and not _is_beside(m["attributes"]):
-                continue  # may stay open; nothing hangs on their end
-            is_marked = tag in _MARKED
-            # the header of an article holds its title
-            is_beside = not is_marked and (tag in _OUTSIDE and not (tag == "header" and marked) or _is_beside(m["attributes"]))
-            stack.append((tag, is_beside, is_marked))
-            beside += is_beside
-            marked += is_marked
+                close(at)
+            continue
+        # an open paragraph or list item ends here without a tag of its own
+        if stack and (stack[-1][0] == "p" and tag in _ENDS_P or stack[-1][0] == tag and tag in _SIBLINGS):
+            close(len(stack) - 1)
+        if tag in _VOID or m["attributes"].endswith("/"):
+            continue
+        if (tag == "p" or tag in _SIBLINGS) and not beside:
+            continue  # may stay open; nothing hangs on their end
+        article = tag == "article"
+        # the header of an article holds its title
+        outside = tag in _OUTSIDE and not (tag == "header" and depth[1] + depth[2]) or article and depth[2] > 0
+        entry = (tag, beside and tag not in _MARKED or outside, tag == "main", article)
+        stack.append(entry)
+        for k, mark in enumerate(entry[1:]):
+            depth[k] += mark
     end_block()
-    articles = [t for inside, t in found if inside]
-    return (articles, True) if articles else ([t for _, t in found], False)
+    size = lambda inside: sum(len(t) for main, article, t in found if main and article == inside)
+    teasers = size(False) > size(True)
+    articles = [t for main, article, t in found if (main or article) and not (main and article and teasers)]
+    return (articles, True) if articles else ([t for _, _, t in found], False)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +166,53 @@ def _windows(text: str) -> tuple[list[bytes], np.ndarray]:
     return words, rolling(hashes(11).of(words), RUN).view(np.int64)
 
 
+def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of the suffix at each place of `tokens` by its first `depth` tokens, a power of two; alike ones are equal.
+
+    Ranks by twice as many tokens follow from pairs of ranks, as in the building of a suffix array by doubling.
+    """
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    n, size = len(rank), 1
+    while size < depth:
+        after = np.zeros(n, np.int64)
+        after[: max(n - size, 0)] = rank[size:] + 1
+        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
+        size *= 2
+    return rank
+
+
+def shared_runs(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """page and place of one occurrence of each run of RUN tokens that several of the `pages` have, and how many have it."""
+    pages_of = np.repeat(np.arange(len(pages)), [len(p) + 1 for p in pages])
+    at = np.concatenate([np.arange(len(p) + 1) for p in pages])
+    # the end of each page is a token of its own, so no run that goes beyond it is shared
+    known, words = np.unique(np.concatenate(pages), return_inverse=True)
+    lengths = np.array([len(p) for p in pages])
+    tokens = np.empty(len(at), np.int64)
+    inside = at < lengths[pages_of]
+    tokens[inside], tokens[~inside] = words, len(known) + np.arange(len(pages))
+    rank = suffix_ranks(tokens, RUN)
+    order = np.lexsort((pages_of, rank))
+    order = order[at[order] + RUN <= lengths[pages_of[order]]]
+    if not len(order):
+        return order, order, order
+    r, p = rank[order], pages_of[order]
+    heads = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    distinct = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])].astype(np.int64)
+    n = np.add.reduceat(distinct, heads)
+    some = order[heads[n > 1]]
+    return pages_of[some], at[some], n[n > 1]
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (host, part, page, text) sorted by the first three, (host, win, n): the windows that n > 1 distinct pages of a
     part have; with a null for win, the number of distinct pages of a part."""
-    part, last, pages, seen = None, None, 0, []
+    part, last, pages = None, None, []
 
     def counted() -> pa.RecordBatch:
-        win, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        win, n = win[n > 1], n[n > 1]
-        arrays = [pa.array(np.full(len(n) + 1, part[0], np.int64)), pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(win)]), pa.array(np.r_[pages, n].astype(np.int64))]
+        page, at, n = shared_runs(pages)
+        win = np.array([rolling(pages[p][a : a + RUN], RUN)[0] for p, a in zip(page.tolist(), at.tolist())], np.uint64).view(np.int64)
+        arrays = [pa.array(np.full(len(n) + 1, part[0], np.int64)), pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(win)]), pa.array(np.r_[len(pages), n].astype(np.int64))]
         return pa.record_batch(arrays, ["host", "win", "n"])
 
     for b in batches:
@@ -150,10 +220,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (host, number) != part:
                 if part:
                     yield counted()
-                part, last, pages, seen = (host, number), None, 0, []
+                part, last, pages = (host, number), None, []
             if page != last:
-                last, pages = page, pages + 1
-                seen.append(np.unique(_windows(text)[1]))
+                last = page
+                pages.append(hashes(11).of(text.encode().split(b" ") if text else []))
     if part:
         yield counted()
 

@@ -186,6 +186,34 @@ def test_repeats_of_a_host_within_articles(spark, monkeypatch, part):
     assert [found[50 + k] for k in range(3)] == own[:3]
 
 
+def test_shared_runs_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(20):
+        pages = [np.array([rng.randint(0, 2) for _ in range(rng.randint(0, 40))], np.uint64) for _ in range(rng.randint(1, 7))]
+        runs = [{tuple(p[i : i + html_text.RUN].tolist()) for i in range(len(p) - html_text.RUN + 1)} for p in pages]
+        expected = {r: n for r, n in Counter(r for found in runs for r in found).items() if n > 1}
+        found = {tuple(pages[p][a : a + html_text.RUN].tolist()): n for p, a, n in zip(*(x.tolist() for x in html_text.shared_runs(pages)))}
+        assert found == expected
+
+
+@pytest.mark.parametrize("page, text, marked", [
+    ('<article><h1 class="article-header">Title here</h1><p>body</p></article>', ["Title here", "body"], True),
+    ('<article><div class="search-results-explained">how it works</div></article>', ["how it works"], True),
+    ('<article><p class="ad">buy<p>the rest<div>stays</div></article>', ["the rest", "stays"], True),
+    ("<main><p>a long text of the page itself</p><article>teaser</article></main>", ["a long text of the page itself"], True),
+    ("<main><h1>Title</h1><article>the long text of the article itself</article></main>", ["Title", "the long text of the article itself"], True),
+    ("<article>text<article>a reader says</article></article>", ["text"], True),
+    ("<script>var t = '<article>';</script><div>menu</div>", ["menu"], False),
+    ('<ul><li class="ad">buy<li>kept</ul><div id="cookie-bar">x</div><div class="related posts-list">y</div><div class="header_top-2">z</div>end', ["kept", "end"], False),
+])
+def test_blocks(page, text, marked):
+    assert html_text.blocks(page) == (text, marked)
+
+
+def test_no_pages(spark):
+    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 def test_pages_against_a_plain_reading(spark):
     found = {r["page_id"]: r["text"] for r in QUERIES["op5_html_text"](spark, DATA).collect()}
     for p in spark.read.parquet(f"{DATA}/pages.parquet").collect():
