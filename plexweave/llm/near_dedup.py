@@ -9,12 +9,15 @@ A document is posted under each of its coordinates. Two signatures with at least
 share one among the rarest of either, as many as its size less `need` plus one; so only that prefix is posted.
 Coordinates that occur once take up places of the prefix but need no posting, and a document with fewer than `need`
 shared ones is skipped. What many unlike documents have in common (a line, a passage) is frequent and so falls out of
-the prefixes. Documents with equal shingle sets are one node and are posted once.
-
-Large posting lists are not expanded: each list first links its members to one of them, its hub, another one in each
-list. What is then in one component needs no further comparison. Members of a list in different components are
-compared with each other where such pairs are linear in the postings, and otherwise after more rounds of hubs. Every
-candidate whose signatures agree often enough is confirmed on the full shingle sets.
+the prefixes. A posting tells how many rarer coordinates the document has: a pair that first meets in a list can have
+no more in common than what is left of either from there on, so what has been edited too much to meet any size in a
+list leaves it. Documents with equal shingle sets are one node and are posted once.
+
+Large posting lists are not expanded: each list first links its members to one of them, its hub, which is a member
+with few rarer coordinates, as an original has among its edited copies. What is then in one component needs no further
+comparison. Members of a list in different components are compared with each other where such pairs are linear in the
+postings, and otherwise after more rounds of hubs. Every candidate whose signatures agree often enough is confirmed on
+the full shingle sets.
 """
 
 from __future__ import annotations
@@ -34,15 +37,19 @@ from plexweave.llm.words import hashes, mixed, rolling, split
 
 #: Words of a shingle, and the similarity that links two documents.
 SHINGLE, SIMILARITY = 5, Fraction(3, 4)
-#: Signature length, and the coordinates in common that are asked for at most. At similarity 0.75 two long documents have
-#: 96 on average with a deviation of 4.9, so such a pair is missed about once in 8,000, and one at 0.8 practically never.
-COORDINATES, MATCHES = 128, 78
+#: Signature length.
+COORDINATES = 160
+#: Standard deviations that a similar pair of documents beyond COORDINATES shingles may have fewer coordinates in common
+#: than on average. At 4.2 a pair at 0.75 is missed less than once in 10,000.
+SLACK = 4.2
 #: Rounds of hubs end when the pairs left are at most so many times the postings, or after so many rounds.
-PAIRS_PER_POSTING, HUB_ROUNDS = 4, 6
+PAIRS_PER_POSTING, HUB_ROUNDS = 4, 4
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick out their texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
-#: Hubs are the first members of their lists in one of so many orders, so lists alike mostly have one of as many hubs.
+#: Hubs are the best members of their lists in one of so many orders, so lists alike mostly have one of as many hubs.
 HUB_ORDERS = 4
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
     words = hashes().of(split(text, lower=True))
@@ -56,9 +63,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return shingles[:COORDINATES]
 
 
-def need(n: Column) -> Column:
-    """Coordinates that a document of n shingles has in common with any similar one: of a whole set exactly, else MATCHES."""
-    return F.least(F.ceil(n * SIMILARITY.numerator / SIMILARITY.denominator), F.lit(MATCHES))
+def _slack(big: Column, similarity: Fraction) -> Column:
+    """What a sample of COORDINATES of `big` shingles may lack; nothing where it is all of them."""
+    s = float(similarity)
+    return SLACK * F.sqrt(COORDINATES * s * (1 - s) * F.greatest(F.lit(0.0), 1 - COORDINATES / big))
+
+
+def need_both(n: Column, m: Column, similarity: Fraction) -> Column:
+    """Coordinates that documents of n and m shingles have in common if they are similar: exact for whole sets."""
+    s, big = float(similarity), F.greatest(n, m)
+    return F.ceil(s / (1 + s) * (n + m) * F.least(F.lit(1.0), COORDINATES / big) - _slack(big, similarity) - 1e-6)
+
+
+def need(n: Column, similarity: Fraction) -> Column:
+    """Coordinates that a document of n shingles has in common with any similar one."""
+    s = float(similarity)
+    return F.ceil(F.least(s * n, s * COORDINATES - _slack(n / s, similarity)) - 1e-6)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,18 +124,33 @@ def _confirmed(batches: Iterator[pa.RecordBatch], numerator: int, denominator: i
         yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def prefix_postings(heads: DataFrame) -> DataFrame:
-    """key, id, n: each signature of `heads` (id, n, keys) under the rarest of its shared keys, as many as its prefix has."""
-    posted = heads.select("id", "n", F.explode("keys").alias("key"))
+def prefix_postings(heads: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """key, id, n, before: each signature of `heads` (id, n, keys) under the rarest of its shared keys, as many as its
+    prefix has, and how many of its keys are rarer."""
+    posted = heads.select("id", "n", F.explode("keys").alias("key")).repartition("key")  # one exchange for both uses
     often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     shared = posted.join(often, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("shared"))
-    prefix = F.slice("shared", F.lit(1), (F.size("shared") - need(F.col("n")) + 1).cast("int"))
-    return shared.where(F.size("shared") >= need(F.col("n"))).select("id", "n", F.explode(prefix["key"]).alias("key"))
+    least, lone = need(F.col("n"), similarity), F.least("n", F.lit(COORDINATES)) - F.size("shared")
+    prefix = F.slice("shared", F.lit(1), (F.size("shared") - least + 1).cast("int"))
+    found = shared.where(F.size("shared") >= least).select("id", "n", lone.alias("lone"), F.posexplode(prefix["key"]).alias("place", "key"))
+    return found.select("key", "id", "n", (F.col("lone") + F.col("place")).alias("before"))
+
+
+def _possible(n: Column, before: Column, m: Column, other_before: Column, similarity: Fraction) -> Column:
+    """Whether documents of n and m shingles that first meet after so many of their coordinates can be similar enough."""
+    left = F.least(F.least(n, F.lit(COORDINATES)) - before, F.least(m, F.lit(COORDINATES)) - other_before)
+    alike = similarity.denominator * F.least(n, m) >= similarity.numerator * F.greatest(n, m)
+    return alike & (left >= need_both(n, m, similarity))
 
 
-def _alike(n: str, m: str, similarity: Fraction):
-    """Whether sets of these sizes can be similar enough."""
-    return similarity.denominator * F.least(n, m) >= similarity.numerator * F.greatest(n, m)
+def with_partners(posted: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """The postings that have a member of a fitting size in their list."""
+    sizes = posted.groupBy("key").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")).where("members > 1")
+    n, s = F.col("n"), float(similarity)
+    left = F.least(n, F.lit(COORDINATES)) - F.col("before")
+    # what a partner needs is least for the smallest or the largest that there may be
+    least = F.least(need_both(n, F.greatest(F.col("low"), F.ceil(n * s)), similarity), need_both(n, F.least(F.col("high"), F.floor(n / s)), similarity))
+    return posted.join(sizes, "key").where(left >= least).select(*posted.columns)
 
 
 def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
@@ -125,7 +160,7 @@ def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: F
     counted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("m", F.size(F.array_intersect("ka", "kb")))
     n, d = similarity.numerator, similarity.denominator
     whole = F.greatest("na", "nb") <= COORDINATES
-    likely = F.when(whole, d * F.col("m") >= n * (F.col("na") + F.col("nb") - F.col("m"))).otherwise(F.col("m") >= F.least(need(F.col("na")), need(F.col("nb"))))
+    likely = F.when(whole, d * F.col("m") >= n * (F.col("na") + F.col("nb") - F.col("m"))).otherwise(F.col("m") >= need_both(F.col("na"), F.col("nb"), similarity))
     matched = scratch.keep(counted.where(likely).select("a", "b", whole.alias("whole")))
     with_a = matched.where("not whole").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     rows = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -152,11 +187,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = signed.select("doc_id", *sets).join(heads.select("id", *sets), sets, "left")
     placed = scratch.keep(placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")))
     scratch.drop(signed)
-    posted = prefix_postings(heads.select("id", "n", "keys"))
-    posted = scratch.keep(posted)
+    posted = scratch.keep(prefix_postings(heads.select("id", "n", "keys"), similarity))
+    for _ in range(2):  # who leaves a list may have been the only one of a fitting size
+        fewer = scratch.keep(with_partners(posted, similarity))
+        scratch.drop(posted)
+        posted = fewer
     # only documents in a list with others can have a partner; their signatures and texts are set apart once
-    met = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    candidates = scratch.keep(posted.join(met, "key", "left_semi").select("id").distinct())
+    candidates = scratch.keep(posted.select("id").distinct())
     few = candidates.count() <= BROADCAST_IDS
     chosen = F.broadcast(candidates) if few else candidates
     single = scratch.keep(heads.select("id", "n", "low", "keys").join(chosen, "id", "left_semi"))
@@ -171,9 +208,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bridges = placed.join(ends, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
     def hub_pairs(lists: DataFrame, salt: int) -> DataFrame:
-        hub = F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", F.pmod("key", F.lit(HUB_ORDERS)), F.lit(salt)), "id")).alias("hub")
-        hubs = lists.groupBy("key").agg(hub).select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("m"))
-        met = lists.join(hubs, "key").where((F.col("id") != F.col("b")) & _alike("n", "m", similarity))
+        order = F.xxhash64("id", F.pmod("key", F.lit(HUB_ORDERS)), F.lit(salt))
+        # later rounds look further among the members with few rarer coordinates
+        hub = F.min_by(F.struct("id", "n", "before"), F.struct(F.col("before") + F.pmod(order, F.lit(1 + 4 * salt)), order, "id")).alias("hub")
+        hubs = lists.groupBy("key").agg(hub).select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("m"), F.col("hub.before").alias("hub_before"))
+        met = lists.join(hubs, "key").where((F.col("id") != F.col("b")) & _possible(F.col("n"), F.col("before"), F.col("m"), F.col("hub_before"), similarity))
         return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
     links = [scratch.keep(bridges), _linked(hub_pairs(posted, 0), single, texts, similarity, scratch)]
@@ -181,7 +220,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     postings = posted.count()
     for salt in range(1, HUB_ROUNDS + 1):
         found = components(joined(), scratch)
-        in_lists = scratch.keep(posted.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+        in_lists = scratch.keep(posted.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", "before", F.coalesce("component", "id").alias("component")))
         # lists whose members are not all in one component, and the pairs of members in different ones
         sizes = in_lists.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("c"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
         open_lists = scratch.keep(sizes.where("c > 1").select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")))
@@ -190,7 +229,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = in_lists.join(open_lists.select("key"), "key", "left_semi")
         if open_pairs and last:
             one, other = left.alias("x"), left.alias("y")
-            pairs = one.join(other, F.expr("x.key = y.key and x.component > y.component")).where(_alike("x.n", "y.n", similarity))
+            pairs = one.join(other, F.expr("x.key = y.key and x.component > y.component")).where(_possible(F.col("x.n"), F.col("x.before"), F.col("y.n"), F.col("y.before"), similarity))
             links.append(_linked(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), single, texts, similarity, scratch))
             scratch.drop(found)
             found = components(joined(), scratch)
