@@ -5,10 +5,12 @@ All of them take further grouping columns (`by`), so one plan serves all aliases
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,52 +75,82 @@ def reads_per_barcode(weighted: DataFrame, whitelist: DataFrame | None = None, b
     return rows.groupBy(*by, "barcode", "umi").agg(F.sum("n_reads").alias("r")).groupBy(*by, "barcode").agg(F.count("*").alias("n_umis"), F.sum("r").cast("long").alias("n_reads"))
 
 
-def _clusters(group: pa.Table, keys: list[str]) -> pa.Table:
-    """Each UMI of a group with the representative of its component."""
-    umi, n = group["umi"].to_numpy(), group["n_reads"].to_numpy()
-    order = np.argsort(umi)
-    umi, n = umi[order], n[order]
-    parent = np.arange(len(umi))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    top = int(umi[-1]).bit_length()
-    for shift in range(0, top + (top & 1), 2):
-        for flip in (1, 2, 3):
-            other = umi ^ np.int64(flip << shift)
-            at = np.minimum(np.searchsorted(umi, other), len(umi) - 1)
-            for a in np.flatnonzero((umi[at] == other) & (other > umi)):
-                x, y = find(int(a)), find(int(at[a]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-    root = np.array([find(i) for i in range(len(umi))])
-    best = np.lexsort((umi, n, root))
-    last = np.flatnonzero(np.r_[root[best][1:] != root[best][:-1], True])
-    chosen = dict(zip(root[best][last].tolist(), umi[best][last].tolist()))
-    out = {k: group[k].take(pa.array(order)) for k in keys}
-    return pa.table(out | {"umi": pa.array(umi), "n_reads": pa.array(n), "corrected": pa.array([chosen[r] for r in root.tolist()], pa.int64())})
+def _clustered(table: pa.Table, group: np.ndarray) -> pa.Table:
+    """`table` (…, umi, n_reads) with `corrected`: the representative of each UMI's component within its group."""
+    umi, n = table["umi"].to_numpy(), table["n_reads"].to_numpy()
+    label = np.arange(len(umi))
+    if len(umi) > 1:
+        ends = []
+        top = int(umi.max()).bit_length()
+        for shift in range(0, top + (top & 1), 2):  # UMIs of a group that are alike but for one base
+            rest = umi & ~np.int64(3 << shift)
+            order = np.lexsort((rest, group))
+            same = (rest[order[1:]] == rest[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
+            ends.append(np.stack([order[:-1][same], order[1:][same]]))
+        a, b = np.concatenate(ends, axis=1)
+        while True:  # the smallest label spreads along links, and labels along themselves
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], low)
+            np.minimum.at(new, label[b], low)
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+    order = np.lexsort((umi, n, label))
+    last = np.flatnonzero(np.r_[label[order[1:]] != label[order[:-1]], True][: len(order)])
+    chosen = np.empty(len(umi), np.int64)
+    chosen[label[order[last]]] = umi[order[last]]
+    return table.append_column("corrected", pa.array(chosen[label], pa.int64()))
+
+
+def _clusters(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Clusters of rows sorted by `keys`, many groups at once; the last group of a batch waits for what follows."""
+
+    def groups(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        for k in keys:
+            codes = pc.fill_null(pc.dictionary_encode(table[k].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(new)
+
+    held: list[pa.Table] = []
+    held_key = None
+    solved = lambda tables, group: _clustered(pa.concat_tables(tables), group).combine_chunks().to_batches()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        first, last = (tuple(table[k][i].as_py() for k in keys) for i in (0, len(table) - 1))
+        if held and first != held_key:
+            yield from solved(held, np.zeros(sum(map(len, held)), np.int64))
+            held = []
+        group = groups(table)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            before = np.zeros(sum(map(len, held)), np.int64)
+            yield from solved([*held, table.slice(0, cut)], np.r_[before, group[:cut]])
+            held = []
+        held.append(table.slice(cut))
+        held_key = last
+    if held:
+        yield from solved(held, np.zeros(sum(map(len, held)), np.int64))
 
 
 def umi_clusters(weighted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """`weighted` with `corrected`: UMIs of one barcode and index that a chain of single mismatches connects become one.
 
-    The representative is the UMI with the most reads, of equal ones the largest. Groups of one UMI pass by; the rest
-    are clustered one group at a time, each with at most as many rows as there are UMIs.
+    The representative is the UMI with the most reads, of equal ones the largest. Rows are dealt and sorted by group, and
+    many groups are clustered at once in arrays; a group has at most as many rows as there are UMIs.
     """
     ship(weighted.sparkSession)
     keys = [*by, "barcode", "index"]
-    sized = weighted.withColumn("__m", F.count("*").over(Window.partitionBy(*keys)))
-    alone = sized.where("__m = 1").select(*keys, "umi", "n_reads", F.col("umi").alias("corrected"))
-    columns = [*keys, "umi", "n_reads"]
-    several = sized.where("__m > 1").select(*columns)
-    types = {f.name: f.dataType.simpleString() for f in several.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", corrected long"
-    joined = several.groupBy(*keys).applyInArrow(lambda g: _clusters(g, keys), schema)
-    return alone.unionByName(joined)
+    rows = weighted.select(*keys, "umi", "n_reads")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in rows.columns) + ", corrected long"
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _clusters(batches, keys), schema)
 
 
 def umi_correct(weighted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from plexweave.operators import ibu
@@ -57,6 +59,20 @@ def test_umi_clusters_against_brute_force(spark):
             assert {found[b, u] for u in group} == {best}
 
 
+def test_umi_clusters_of_groups_that_cross_batches():
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(b), int(u)) for b, u in zip(rng.integers(0, 9, 600), rng.integers(0, 4**5, 600))})
+    table = pa.table({"barcode": [b for b, _ in rows], "umi": [u for _, u in rows], "n_reads": rng.integers(1, 4, len(rows))})
+    whole = pa.Table.from_batches(list(ibu._clusters(iter(table.to_batches()), ["barcode"])))
+    for size in (1, 7, 100):
+        parts = pa.Table.from_batches(list(ibu._clusters(iter(table.to_batches(max_chunksize=size)), ["barcode"])))
+        assert parts.equals(whole)
+    near = lambda x, y: sum((x >> 2 * i & 3) != (y >> 2 * i & 3) for i in range(5)) == 1
+    found = {(r["barcode"], r["umi"]): r["corrected"] for r in whole.to_pylist()}
+    assert len(found) == len(rows)
+    assert all(found[b, u] == found[c, v] for b, u in rows for c, v in rows if b == c and near(u, v))
+
+
 def test_chain_and_weights(spark):
     rows = spark.createDataFrame([(1, 0b0000, 0, 1), (1, 0b0001, 0, 3), (1, 0b0101, 0, 1)], SCHEMA)
     assert [tuple(r) for r in ibu.umi_correct(rows).collect()] == [(1, 1, 0, 5)]
