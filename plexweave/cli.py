@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import shutil
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexweave.functions import geometry
-from plexweave.operators import assign, ibu
+from plexweave.operators import ibu
 from plexweave.operators.mapping import Libraries, flagged, records, statistics
 from plexweave.plans import workflow
 from plexweave.sources import download, libraries, sinks
@@ -86,50 +88,60 @@ def _map(spark: SparkSession, a: argparse.Namespace) -> None:
     folder = workflow.claim_folder(a.outdir, a.force)
     log, timings = workflow.dual_log(str(folder / "plexweave.log")), workflow.Timings()
     reads, shape, window, libs, features = _inputs(spark, a)
-    with timings.stage("Mapping"):
-        flags = flagged(reads, shape, libs, window, a.exact, not a.no_umi_qual_check)
-        sinks.write_records(ibu.keep_large(records(flags), at_least=a.min_ibu_records), str(folder / "ibu"))
-        found = sinks.write_json(statistics(flags), str(folder / "stats/mapping.json"))
-    log.info("mapped %s of %s reads", found["mapped_reads"], found["total_reads"])
     sinks.write_tsv(features.orderBy("index").select("unit", "gene"), str(folder / "metadata/features.tsv"))
-    if a.command == "workflow":
-        kept = spark.read.parquet(str(folder / "ibu"))
-        if kept.isEmpty():
-            raise ibu.EmptyStreamError("no alias has records enough")
-        corrected = kept
-        if not a.skip_umi:
-            with timings.stage("UmiCorrection"):
-                clusters = ibu.umi_clusters(kept, workflow.ALIAS)
-                sinks.write_json(ibu.umi_stats(clusters), str(folder / "stats/umi.json"))
-                ibu.umi_correct(kept, workflow.ALIAS).write.partitionBy("alias").parquet(str(folder / "corrected"))
-                corrected = spark.read.parquet(str(folder / "corrected"))
-        if not a.skip_reads:
-            with timings.stage("ReadsDump"):
-                sinks.write_tsv(ibu.reads_per_barcode(corrected, by=workflow.ALIAS), str(folder / "reads"), header=True)
-        with timings.stage("Counting"):
-            units = ibu.count(corrected, workflow.ALIAS)
-            counts = ibu.by_aggregate(units, features, "gene", workflow.ALIAS)
-            if a.format == "tsv":
-                sinks.write_tsv(workflow.suffixed(ibu_decoded(counts, 16)).select("barcode", "gene", "count"), str(folder / "counts"))
-            else:
-                for alias in [r["alias"] for r in kept.select("alias").distinct().collect()]:
-                    sinks.write_matrix(counts.where(F.col("alias") == alias), str(folder / "counts" / alias), suffix=None if alias == "output" else alias)
-        if a.kind == "gex" and not a.no_filter:
-            with timings.stage("DropletFilter"):
-                assign.droplet_filter(units, by=workflow.ALIAS).write.parquet(str(folder / "cells"))
-        if a.kind == "crispr" and not a.skip_assignment:
-            with timings.stage("GuideAssignment"):
-                found = assign.assign_guides(units, a.min_umi_cells, a.min_umi_guides, a.fdr_threshold, a.log_odds_ratio, workflow.ALIAS)
-                found.write.parquet(str(folder / "assignments"))
+
+    def save(name: str, rows: DataFrame) -> DataFrame:
+        with timings.stage(workflow.STAGES[name]):
+            sinks.write_records(rows, str(folder / name))
+        return spark.read.schema(rows.schema).parquet(str(folder / name))
+
+    if a.command == "map":
+        flags = flagged(reads, shape, libs, window, a.exact, not a.no_umi_qual_check)
+        save("ibu", ibu.keep_large(records(flags), at_least=a.min_ibu_records))
+        _write_statistics(flags, reads, shape, window, libs, a.exact, folder, log)
+        timings.write(folder)
+        return
+    crispr = a.kind == "crispr"
+    options = {"min_umi_cells": a.min_umi_cells, "min_umi_guides": a.min_umi_guides, "fdr": a.fdr_threshold, "min_log_odds": a.log_odds_ratio} if crispr else {}
+    skip_last = a.skip_assignment if crispr else a.no_filter
+    done = workflow.run(reads, shape, libs, features, window, a.exact, a.min_ibu_records, a.skip_umi, True, not skip_last, not a.no_umi_qual_check, save=save, **options)
+    found = _write_statistics(done.flags, reads, shape, window, libs, a.exact, folder, log)
+    if done.records.isEmpty():
+        raise ibu.EmptyStreamError(f"no alias has records enough; {found['mapped_reads']} reads are mapped")
+    if not a.skip_umi:
+        sinks.write_json(ibu.umi_stats(ibu.umi_clusters(done.records, workflow.ALIAS)), str(folder / "stats/umi.json"))
+    if not a.skip_reads:
+        with timings.stage(workflow.STAGES["reads"]):
+            sinks.write_tsv(ibu.reads_per_barcode(done.corrected, by=workflow.ALIAS), str(folder / "reads"), header=True)
+    with timings.stage(workflow.STAGES["units"]):
+        if a.format == "tsv":
+            sinks.write_tsv(workflow.suffixed(ibu_decoded(done.counts, 16)).select("barcode", "gene", "count"), str(folder / "counts"))
+        else:
+            for alias in [r["alias"] for r in done.records.select("alias").distinct().collect()]:  # as many as there are probes
+                sinks.write_matrix(done.counts.where(F.col("alias") == alias), str(folder / "counts" / alias), suffix=None if alias == "output" else alias)
+    if not a.keep_ibu:
+        for name in ("ibu", "corrected", "units"):
+            shutil.rmtree(folder / name, ignore_errors=True)
     timings.write(folder)
 
 
+def _write_statistics(flags: DataFrame, reads: DataFrame, shape: geometry.Geometry, window: int, libs: Libraries, exact: bool, folder: Path, log: logging.Logger) -> dict:
+    """stats/mapping.json, library.json and run.json: reasons of reads, what was searched and where, and reads by input."""
+    found = sinks.write_json(statistics(flags), str(folder / "stats/mapping.json"))
+    sinks.write_json_rows(libs.statistics(shape, window, exact), str(folder / "stats/library.json"))
+    inputs = reads.groupBy("input_id").agg(F.count("*").alias("reads")).orderBy("input_id") if "input_id" in reads.columns else reads.agg(F.count("*").alias("reads"))
+    sinks.write_json_rows([r.asDict() for r in inputs.collect()], str(folder / "stats/run.json"))  # a row for each pair of files
+    log.info("mapped %s of %s reads", found["mapped_reads"], found["total_reads"])
+    return found
+
+
 def _ibu(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = libraries.records(spark, a.input)
     features = libraries.features(spark, a.features, a.feature_col) if a.features else None
     if a.kind == "view":
         out = ibu.view(rows, a.decode, a.bc_len, a.umi_len, features, "feature")
-        sinks.write_tsv(out.limit(0) if a.header_only else out, a.output, header=not a.skip_header)
+        lines = out.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in out.columns)).alias("value"))
+        sinks.write_with_header([] if a.skip_header else ibu.header(a.bc_len, a.umi_len), None if a.header_only else lines, spark, a.output)
     elif a.kind == "cat":
         rows.write.parquet(a.output)
     elif a.kind == "sort":

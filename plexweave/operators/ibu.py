@@ -29,11 +29,6 @@ def weigh(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return records.groupBy(*by, "barcode", "umi", "index").agg(n.cast("long").alias("n_reads"))
 
 
-def expand(weighted: DataFrame) -> DataFrame:
-    """One row for each read again."""
-    return weighted.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("n_reads").cast("int")))).drop("__k", "n_reads")
-
-
 def view(records: DataFrame, decoded: bool = False, bc_len: int = 16, umi_len: int = 12, features: DataFrame | None = None, column: str = "unit") -> DataFrame:
     """barcode, umi, and index or the feature's name; `decoded` shows sequences."""
     out = records
@@ -61,13 +56,6 @@ def sort(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return records.orderBy(*by, "barcode", "umi", "index")
 
 
-def is_sorted(records: DataFrame, position: str) -> bool:
-    """Whether records numbered by `position` are in order. Neighbours meet by number, so no task holds all of them."""
-    here = records.select(F.col(position).alias("p"), F.struct("barcode", "umi", "index").alias("r"))
-    after = here.select((F.col("p") - 1).alias("p"), F.col("r").alias("next"))
-    return here.join(after, "p").where("next < r").isEmpty()
-
-
 def reads_per_barcode(weighted: DataFrame, whitelist: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """barcode, n_umis (distinct within the barcode), n_reads; only barcodes of `whitelist` (barcode), if given."""
     rows = weighted if whitelist is None else weighted.join(whitelist.select("barcode"), "barcode", "left_semi")
@@ -203,11 +191,6 @@ def with_suffix(rows: DataFrame, suffix: str | None, column: str = "barcode") ->
     return rows.withColumn(column, F.concat_ws("-", F.col(column).cast("string"), F.lit(suffix))) if suffix else rows
 
 
-def totals(counts: DataFrame) -> DataFrame:
-    """nnz and n_barcodes of a count table."""
-    return counts.agg(F.count("*").alias("nnz"), F.count_distinct("barcode").alias("n_barcodes"))
-
-
 def bijection(rows: DataFrame, value: str, position: str) -> DataFrame:
     """value, index: distinct values numbered in the order in which they first occur. Meant for reference tables."""
     first = rows.groupBy(value).agg(F.min(position).alias("__first"))

@@ -147,9 +147,24 @@ def count_suffix(spark, d):
     return sinks.count_table(count_by_gene(spark, d), suffix="S1")
 
 
+@query(f"select barcode, gene as feature, count from ({_GENES})")
+def count_encoded(spark, d):
+    return sinks.count_table(count_by_gene(spark, d), encoded=True, suffix="S1")
+
+
+@query(f"select {_unpack('barcode', 16)} as barcode, index, count from ({_count_sql(_ONE_PART)})")
+def count_units(spark, d):
+    return sinks.count_table(ibu.count(_ibu(spark, d, fx.IBU_PART_SQL)))
+
+
+@query(f"select {_unpack('barcode', 16)} as barcode, count, index from ({_count_sql(_ONE_PART)})")
+def count_units_swapped(spark, d):
+    return sinks.count_table(ibu.count(_ibu(spark, d, fx.IBU_PART_SQL)), swapped=True)
+
+
 @query(f"select count(distinct gene) as n_features, count(distinct barcode) as n_barcodes, count(*) as nnz from ({_GENES})")
 def mtx_header(spark, d):
-    return count_by_gene(spark, d).agg(F.count_distinct("gene").alias("n_features"), F.count_distinct("barcode").alias("n_barcodes"), F.count("*").alias("nnz"))
+    return sinks.matrix_size(count_by_gene(spark, d))
 
 
 @query(f"select dense_rank() over (order by gene) as feature_id, dense_rank() over (order by barcode) as barcode_id, count from ({_GENES})")
@@ -392,7 +407,12 @@ def bijection(spark, d):
 
 
 _GUIDE_COUNTS = f"select l_suppkey as barcode, p_size::bigint as index, count(*) as count from lineitem join part on p_partkey = l_partkey group by all"
-_TESTS = f"""gc as ({_GUIDE_COUNTS}), ok as (select * from gc where barcode in (select barcode from gc group by 1 having sum(count) >= 5)),
+#: The same with some pairs raised, so that tests have something to find.
+_RAISED = f"select barcode, index, (count * case when barcode % 10 = index % 10 then 6 else 1 end)::bigint as count from ({_GUIDE_COUNTS})"
+
+
+def _tests(counts: str) -> str:
+    return f"""gc as ({counts}), ok as (select * from gc where barcode in (select barcode from gc group by 1 having sum(count) >= 5)),
   og as (select * from ok where index in (select index from ok group by 1 having sum(count) >= 5)),
   tt as (select *, sum(count) over (partition by barcode)::double as n, sum(count) over (partition by index)::double as k, sum(count) over ()::double as m from og),
   ex as (select *, unnest(range(count, least(n, k)::bigint + 1)) as j from tt),
@@ -402,18 +422,32 @@ _TESTS = f"""gc as ({_GUIDE_COUNTS}), ok as (select * from gc where barcode in (
   bh as (select *, min(least(1, p * c / r)) over (order by p desc range unbounded preceding) as q from rk)"""
 
 
-def _guide_counts(spark, d):
+
+
+def _guide_counts(spark, d, raised=False):
     part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("index"))
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", F.col("l_suppkey").alias("barcode"))
-    return lines.join(part, "l_partkey").groupBy("barcode", "index").agg(F.count("*").alias("count"))
+    counts = lines.join(part, "l_partkey").groupBy("barcode", "index").agg(F.count("*").alias("count"))
+    return counts.withColumn("count", F.col("count") * F.when(F.col("barcode") % 10 == F.col("index") % 10, 6).otherwise(1)) if raised else counts
 
 
-@query(f"with {_TESTS} select barcode, index, count, round(p, 4) as p_value, round(q, 4) as fdr from bh where q <= 1")
+@query(f"with {_tests(_GUIDE_COUNTS)} select barcode, index, count, round(p, 4) as p_value, round(q, 4) as fdr from bh where q <= 1")
 def guide_assign(spark, d):
     found = assign.assign_guides(_guide_counts(spark, d), fdr=1.0)
     return found.withColumn("p_value", F.round("p_value", 4)).withColumn("fdr", F.round("fdr", 4))
 
 
+@query(f"with {_tests(_RAISED)} select barcode, index, count, round(p, 9) as p_value, round(q, 9) as fdr from bh where q <= 0.05")
+def guide_assign_cut(spark, d):
+    found = assign.assign_guides(_guide_counts(spark, d, True))
+    return found.withColumn("p_value", F.round("p_value", 9)).withColumn("fdr", F.round("fdr", 9))
+
+
+@query(f"with {_tests(_RAISED)} select bh.barcode, bh.index, bh.count from bh join tt using (barcode, index) where log2(bh.count / tt.n / (tt.k / tt.m)) >= 0.5")
+def guide_assign_odds(spark, d):
+    return assign.assign_guides(_guide_counts(spark, d, True), fdr=1.0, min_log_odds=0.5).select("barcode", "index", "count")
+
+
 @query()
 def droplet_filter(spark, d):
     return assign.droplet_filter(_guide_counts(spark, d))

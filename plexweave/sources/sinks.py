@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexweave.functions.sequence import decode
@@ -46,12 +46,21 @@ def count_table(counts: DataFrame, bc_len: int = 16, encoded: bool = False, feat
 
 
 def numbered(values: DataFrame, column: str, number: str) -> DataFrame:
-    """Distinct values with dense numbers from 1 in their order, by two levels: ranges of values, then places within."""
-    spark = values.sparkSession
-    ranged = values.select(column).distinct().repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), column)
-    parts = ranged.withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"), F.min(column).alias("__first"))
-    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    """Distinct values with dense numbers from 1 in their order, by two levels: ranges of values, then places within.
+
+    The ranges' ends are some hundred quantiles of the values, worked out once, so every use of the plan has the same.
+    """
+    distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
+    n = 16 * max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = distinct.select(F.col(column), F.xxhash64(column).alias("__h")).orderBy("__h").limit(n).select(column)
+    ends = sorted(r[0] for r in sample.collect())
+    part = F.lit(0)
+    if ends:
+        bounds = F.array(*map(F.lit, ends[16::16]))
+        part = F.size(F.filter(bounds, lambda x: x <= F.col(column))) if len(ends) > 16 else part
+    parts = distinct.withColumn("__p", part)
+    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
     starts = F.broadcast(sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__p", "__start"))
     inside = Window.partitionBy("__p").orderBy(column)
     return parts.join(starts, "__p").select(column, (F.row_number().over(inside) + F.col("__start")).cast("long").alias(number))
@@ -75,8 +84,7 @@ def write_matrix(counts: DataFrame, path: str, column: str = "gene", bc_len: int
     The header is the first part; entries follow in the order of barcodes and features.
     """
     barcodes, features, entries = matrix_parts(counts, column)
-    barcodes, features = barcodes.persist(), features.persist()
-    nnz, nb, nf = entries.count(), barcodes.count(), features.count()
+    nf, nb, nnz = matrix_size(counts, column).first()
     spark = counts.sparkSession
     head = spark.createDataFrame([(0, 0, "%%MatrixMarket matrix coordinate integer general\n" + f"{nf} {nb} {nnz}")], "b long, f long, value string")
     body = entries.select(F.col("barcode_id").alias("b"), F.col("feature_id").alias("f"), F.concat_ws(" ", "feature_id", "barcode_id", "count").alias("value"))
@@ -84,13 +92,26 @@ def write_matrix(counts: DataFrame, path: str, column: str = "gene", bc_len: int
     names = with_suffix(barcodes.select("barcode_id", decode(F.col("barcode"), bc_len).alias("barcode")), suffix)
     write_text(names.orderBy("barcode_id").select("barcode"), f"{path}/barcodes.tsv.gz", force)
     write_text(features.orderBy("feature_id").select(column), f"{path}/features.tsv.gz", force)
-    barcodes.unpersist()
-    features.unpersist()
+
+
+def write_with_header(header: list[str], lines: DataFrame | None, spark: SparkSession, path: str, force: bool = False) -> None:
+    """Text of `lines` (value) after `header`, which is the first part of the folder. Lines keep the order of their partitions."""
+    top = spark.createDataFrame([(line,) for line in header], "value string").coalesce(1)
+    write_text(top if lines is None else top.union(lines.select("value")), path, force)
 
 
 def write_json(row: DataFrame, path: str) -> dict:
     """A table of one row as a JSON file on the driver; the row is returned."""
     found = row.first().asDict()
+    write_json_rows(found, path)
+    return found
+
+
+def write_json_rows(found: dict | list[dict], path: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(found, indent=2))
-    return found
+
+
+def matrix_size(counts: DataFrame, column: str = "gene") -> DataFrame:
+    """n_features, n_barcodes, nnz: the numbers of a matrix's header, as one row."""
+    return counts.agg(F.count_distinct(column).alias("n_features"), F.count_distinct("barcode").alias("n_barcodes"), F.count("*").alias("nnz"))
