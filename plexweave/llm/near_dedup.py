@@ -15,9 +15,9 @@ list leaves it. Documents with equal shingle sets are one node and are posted on
 
 Large posting lists are not expanded: each list first links its members to one of them, its hub, which is a member
 with few rarer coordinates, as an original has among its edited copies. What is then in one component needs no further
-comparison. Members of a list in different components are compared with each other where such pairs are linear in the
-postings, and otherwise after more rounds of hubs. Every candidate whose signatures agree often enough is confirmed on
-the full shingle sets.
+comparison. Where many are left in different components there are more rounds of hubs. Then the members of all lists
+with one hub are compared in tiles of bounded size, which count the coordinates in common of all their pairs at once
+and put out only those that have enough. Every such candidate is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ COORDINATES = 160
 #: than on average. At 4.2 a pair at 0.75 is missed less than once in 10,000.
 SLACK = 4.2
 #: Rounds of hubs end when the pairs left are at most so many times the postings, or after so many rounds.
-PAIRS_PER_POSTING, HUB_ROUNDS = 4, 4
+PAIRS_PER_POSTING, HUB_ROUNDS = 1, 2
+#: Documents of a tile, about.
+TILE = 1024
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick out their texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 #: Hubs are the best members of their lists in one of so many orders, so lists alike mostly have one of as many hubs.
@@ -75,6 +77,38 @@ def need_both(n: Column, m: Column, similarity: Fraction) -> Column:
     return F.ceil(s / (1 + s) * (n + m) * F.least(F.lit(1.0), COORDINATES / big) - _slack(big, similarity) - 1e-6)
 
 
+def _enough(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """need_both of all pairs of sizes, and beyond reach where the sizes differ too much."""
+    big, small = np.maximum(n[:, None], m), np.minimum(n[:, None], m)
+    lacks = SLACK * np.sqrt(COORDINATES * similarity * (1 - similarity) * np.maximum(0.0, 1 - COORDINATES / big))
+    least = np.ceil(similarity / (1 + similarity) * (big + small) * np.minimum(1.0, COORDINATES / big) - lacks - 1e-6)
+    return np.where(small < similarity * big - 1e-6, np.inf, least)
+
+
+def _tile(rows: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): pairs of `rows` (…, side, id, n, component, keys) in different components, with enough coordinates in common.
+
+    Pairs are of both sides, or of all rows where there is one side only.
+    """
+    side, ids, n, component = (rows[c].to_numpy() for c in ("side", "id", "n", "component"))
+    lists = rows["keys"].combine_chunks()
+    owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    known, key, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = count[key] > 1
+    owner, key = owner[several], (np.cumsum(count > 1) - 1)[key[several]]
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = int((count > 1).sum())
+    for at in range(0, width, 2048):
+        some = (key >= at) & (key < at + 2048)
+        has = np.zeros((len(ids), 2048), np.float32)
+        has[owner[some], key[some] - at] = 1
+        common += has[left] @ has[right].T
+    hit = (common >= _enough(n[left], n[right], similarity)) & (component[left][:, None] != component[right])
+    x, y = (ids[k[w]] for k, w in zip((left, right), np.nonzero(hit)))
+    return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+
 def need(n: Column, similarity: Fraction) -> Column:
     """Coordinates that a document of n shingles has in common with any similar one."""
     s = float(similarity)
@@ -215,6 +249,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = lists.join(hubs, "key").where((F.col("id") != F.col("b")) & _possible(F.col("n"), F.col("before"), F.col("m"), F.col("hub_before"), similarity))
         return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
+    def tile_pairs(lists: DataFrame) -> DataFrame:
+        # lists of one hub mostly have the same members, which are compared once
+        hubs = lists.groupBy("key").agg(F.min_by("id", F.struct("before", "id")).alias("hub"))
+        members = lists.join(hubs, "key").groupBy("hub", "id").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+        members = scratch.keep(members)
+        sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"), F.count_distinct("component").alias("c")).where("c > 1")
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        dealt = members.join(sizes.drop("c"), "hub").join(single.select("id", "keys"), "id").withColumn("block", block)
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = dealt.select("hub", "id", "n", "component", "keys", "block", other.alias("other"))
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        dealt = dealt.select("hub", low.alias("low"), high.alias("high"), (F.col("block") > low).cast("int").alias("side"), "id", "n", "component", "keys")
+        share = float(similarity)
+        return dealt.groupBy("hub", "low", "high").applyInArrow(lambda rows: _tile(rows, share), "a long, b long").distinct()
+
     links = [scratch.keep(bridges), _linked(hub_pairs(posted, 0), single, texts, similarity, scratch)]
     joined = lambda: reduce(DataFrame.union, links)
     postings = posted.count()
@@ -228,9 +277,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         last = open_pairs <= PAIRS_PER_POSTING * postings + 100_000 or salt == HUB_ROUNDS
         left = in_lists.join(open_lists.select("key"), "key", "left_semi")
         if open_pairs and last:
-            one, other = left.alias("x"), left.alias("y")
-            pairs = one.join(other, F.expr("x.key = y.key and x.component > y.component")).where(_possible(F.col("x.n"), F.col("x.before"), F.col("y.n"), F.col("y.before"), similarity))
-            links.append(_linked(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), single, texts, similarity, scratch))
+            links.append(_linked(tile_pairs(left), single, texts, similarity, scratch))
             scratch.drop(found)
             found = components(joined(), scratch)
         elif open_pairs:

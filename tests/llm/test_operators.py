@@ -123,7 +123,10 @@ def test_filters_merge_without_loss():
     assert dict(zip(whole.prints.tolist(), whole.counts.tolist())) == Counter(np.concatenate(parts).tolist())
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("tile, rounds", [(near_dedup.TILE, near_dedup.HUB_ROUNDS), (3, 1)])
+def test_near_copies_against_brute_force(spark, monkeypatch, tile, rounds):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     rows, line = [], [rng.choice(words) for _ in range(40)]
@@ -149,6 +152,47 @@ def test_near_copies_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: find(i) for i in sets}
 
 
+def test_tiles_count_coordinates_in_common():
+    rng = random.Random(12)
+    rows = []
+    base = rng.sample(range(10**6), 400)
+    for k in range(60):
+        n = rng.choice([90, 150, 155, 160, 300])
+        keys = [x if rng.random() > 0.04 else rng.randrange(10**6) for x in base[:n]]
+        rows.append({"side": k % 2, "id": k, "n": len(set(keys)), "component": rng.randrange(30), "keys": sorted(set(keys))[: near_dedup.COORDINATES]})
+    for sides in (1, 2):
+        table = pa.Table.from_pylist([r | {"side": r["side"] * (sides - 1)} for r in rows])
+        expected = set()
+        for x in rows:
+            for y in rows:
+                if x["id"] > y["id"] and x["component"] != y["component"] and (sides == 1 or x["side"] != y["side"]):
+                    least = near_dedup._enough(np.array([x["n"]]), np.array([y["n"]]), 0.75)[0, 0]
+                    if len(set(x["keys"]) & set(y["keys"])) >= least:
+                        expected.add((x["id"], y["id"]))
+        found = near_dedup._tile(table, 0.75)
+        assert {(r["a"], r["b"]) for r in found.to_pylist()} == expected and expected
+
+
+def test_recall_of_pairs_at_the_threshold():
+    """Signatures of pairs at similarities from 0.75 to 0.8, of few and of many shingles, pass the counts that are asked for."""
+    rng = np.random.default_rng(5)
+    missed = total = 0
+    for n in (20, 100, 150, 170, 250, 600, 3000):
+        for _ in range(150):
+            share = rng.uniform(0.75, 0.8)
+            m = int(rng.integers(int(np.ceil(share * n)), n + 1))
+            both = int(np.ceil(share * (n + m) / (1 + share)))
+            if both > m:
+                continue
+            pool = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+            rng.shuffle(pool)
+            x, y = np.sort(pool[:n]), np.sort(np.r_[pool[:both], pool[n : n + m - both]])
+            common = len(np.intersect1d(near_dedup.signature(x), near_dedup.signature(y)))
+            total += 1
+            missed += common < near_dedup._enough(np.array([len(x)]), np.array([len(y)]), 0.75)[0, 0]
+    assert total > 900 and missed <= 1
+
+
 def test_bpe_equals_the_library():
     path = public_tokenizers.path(bpe.VOCABULARY)
     library, own = Tokenizer.from_file(path), bpe.tokenizer(path)
