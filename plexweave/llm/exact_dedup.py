@@ -2,8 +2,9 @@
 
 Every partition packs the 64-bit fingerprints of its texts into counting quotient filters, one for each
 block of the fingerprint space. The filters of a block merge without loss, as each is a sorted list of
-remainders by quotient. Only rows whose fingerprint was counted more than once go on to verification over
-the whole bytes (SHA-256 and byte length); all others are known to be unique already.
+remainders by quotient. Only texts whose fingerprint was counted more than once go on to verification: they are grouped
+by fingerprint and by their bytes, partition by partition first, so that a text is shuffled about once from each. All
+others are known to be unique already.
 """
 
 from __future__ import annotations
@@ -16,19 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import bound_batches
+from plexweave.llm.common import bound_batches, checkpointed
 
 #: A block's filters hold about so many fingerprints, so that one task merges them in little memory.
 BLOCK_ROWS = 1 << 20
 #: A partition closes its filters after so many fingerprints.
 FLUSH_ROWS = 1 << 20
+#: Up to so many repeated fingerprints are broadcast to the texts.
+BROADCAST_PRINTS = 1_000_000
 
 
 class CountingQuotientFilter:
     """A multiset of fingerprints of `bits` bits, stored as quotients in unary, packed remainders and counters.
 
     The quotient is the fingerprint's upper `q` bits. `runs` has, for each quotient, a one for each of its
-    remainders and then a zero. A remainder has `bits - q` bits. Counts over one lie apart, behind a bitmap.
+    remainders and then a zero. A remainder has `bits - q` bits, in whole bytes. Counts over one lie apart, behind a
+    bitmap.
     """
 
     def __init__(self, prints: np.ndarray, counts: np.ndarray, bits: int):
@@ -41,42 +45,53 @@ class CountingQuotientFilter:
     def pack(self) -> bytes:
         n = len(self.prints)
         q = min(max(n - 1, 1).bit_length(), self.bits)
+        width = -(-(self.bits - q) // 8)
+        q = max(self.bits - 8 * width, 0)
         r = self.bits - q
         quotient = (self.prints >> np.uint64(r)).astype(np.int64) if r < 64 else np.zeros(n, np.int64)
         runs = np.zeros(n + (1 << q), np.uint8)
         runs[np.arange(n) + quotient] = 1
-        shifts = np.arange(r, dtype=np.uint64)
-        remainders = ((self.prints[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
+        remainders = np.ascontiguousarray(self.prints).astype("<u8").view(np.uint8).reshape(n, 8)[:, :width]
         many = self.counts > 1
-        parts = [np.packbits(runs), np.packbits(remainders.ravel()), np.packbits(many), self.counts[many].astype("<u8")]
+        parts = [np.packbits(runs), np.ascontiguousarray(remainders), np.packbits(many), self.counts[many].astype("<u8")]
         return struct.pack("<BBI", self.bits, q, n) + b"".join(p.tobytes() for p in parts)
 
     @classmethod
     def unpack(cls, data: bytes) -> CountingQuotientFilter:
         bits, q, n = struct.unpack_from("<BBI", data)
         r, at = bits - q, 6
-        take = lambda size: np.unpackbits(np.frombuffer(data, np.uint8, -(-size // 8), at), count=size)
-        runs = take(n + (1 << q))
-        at += -(-(n + (1 << q)) // 8)
-        remainders = take(n * r).reshape(n, r).astype(np.uint64)
-        at += -(-n * r // 8)
-        many = take(n).astype(bool)
+        width = -(-r // 8)
+        size = -(-(n + (1 << q)) // 8)
+        runs = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n + (1 << q))
+        at += size
+        low = np.zeros((n, 8), np.uint8)
+        low[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+        at += n * width
+        remainder = low.view("<u8").ravel() & np.uint64((1 << r) - 1)
+        many = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool)
         at += -(-n // 8)
         counts = np.ones(n, np.int64)
         counts[many] = np.frombuffer(data, "<u8", int(many.sum()), at)
         quotient = (np.flatnonzero(runs) - np.arange(n)).astype(np.uint64)
-        low = (remainders << np.arange(r, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if r else np.zeros(n, np.uint64)
-        return cls((quotient << np.uint64(r)) | low if r < 64 else low, counts, bits)
+        return cls((quotient << np.uint64(r)) | remainder if r < 64 else remainder, counts, bits)
+
+    def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """The sum of two multisets: both are in the order of quotient and remainder, so each goes where it belongs in the other."""
+        place = np.arange(len(self.prints)) + np.searchsorted(other.prints, self.prints, "left")
+        total = len(self.prints) + len(other.prints)
+        prints, counts, own = np.empty(total, np.uint64), np.empty(total, np.int64), np.zeros(total, bool)
+        own[place] = True
+        prints[own], prints[~own] = self.prints, other.prints
+        counts[own], counts[~own] = self.counts, other.counts
+        first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]][:total])
+        return CountingQuotientFilter(prints[first], np.add.reduceat(counts, first) if total else counts, self.bits)
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """The sum of the multisets; nothing is lost, as each is in the order of quotient and remainder."""
-        prints = np.concatenate([f.prints for f in filters])
-        counts = np.concatenate([f.counts for f in filters])
-        order = np.argsort(prints, kind="stable")
-        prints, counts = prints[order], counts[order]
-        first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])[: len(prints)]
-        return cls(prints[first], np.add.reduceat(counts, first) if len(first) else counts, filters[0].bits)
+        """The sum of the multisets, two by two; nothing is lost."""
+        while len(filters) > 1:
+            filters = [a.merged(b) for a, b in zip(filters[::2], filters[1::2])] + filters[len(filters) // 2 * 2 :]
+        return filters[0]
 
 
 def _block_bits(rows: int) -> int:
@@ -87,10 +102,11 @@ def _packed(batches: Iterator[pa.RecordBatch], block_bits: int) -> Iterator[pa.R
     bits = 64 - block_bits
 
     def close(prints: np.ndarray) -> pa.RecordBatch:
+        prints = np.sort(prints)
         block = (prints >> np.uint64(bits)).astype(np.int64) if block_bits else np.zeros(len(prints), np.int64)
         low = prints & np.uint64((1 << bits) - 1)
-        ids = np.unique(block)
-        packed = [CountingQuotientFilter.of(low[block == b], bits).pack() for b in ids]
+        ids, starts = np.unique(block, return_index=True)
+        packed = [CountingQuotientFilter.of(low[a:b], bits).pack() for a, b in zip(starts, np.r_[starts[1:], len(low)])]
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["block", "filter"])
 
     held: list[np.ndarray] = []
@@ -131,20 +147,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count one by one and share their fate. An empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(text).alias("fp"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"),
-        F.octet_length(text).alias("n_bytes"),
-    )
-    often = repeated_fingerprints(docs.select(F.xxhash64(text).alias("fp")), docs.count())
+    sha = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("fp"), sha(text).alias("sha"))
+    often = checkpointed(repeated_fingerprints(docs.select(F.xxhash64(text).alias("fp")), docs.count()).select("fp"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    candidates = texts.join(F.broadcast(often) if often.count() <= BROADCAST_PRINTS else often, "fp", "left_semi")
+    # the bytes are the key, so what falls into one group is equal; the digest only names the group to its rows
     groups = (
-        rows.join(often.select("fp"), "fp", "left_semi")
-        .groupBy("fp", "sha", "n_bytes")
+        candidates.groupBy("fp", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
+        .select("fp", sha(F.col("text")).alias("sha"), "keep_id", "group_size")
     )
-    return rows.join(groups, ["fp", "sha", "n_bytes"], "left").select(
+    return rows.join(groups, ["fp", "sha"], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -115,6 +115,23 @@ def test_repeats_of_rows_with_one_id_or_none(spark):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["text"]) for r in found) == sorted(expected)
 
 
+@pytest.mark.parametrize("bits, n", [(64, 1), (64, 3), (60, 700), (44, 5000), (9, 400), (3, 5)])
+def test_filters_come_back_as_they_were(bits, n):
+    rng = np.random.default_rng(bits)
+    prints = rng.integers(0, 1 << bits, n, dtype=np.uint64)
+    prints = np.r_[prints, prints[: n // 3]]
+    found = exact_dedup.CountingQuotientFilter.unpack(exact_dedup.CountingQuotientFilter.of(prints, bits).pack())
+    assert dict(zip(found.prints.tolist(), found.counts.tolist())) == Counter(prints.tolist()) and found.bits == bits
+
+
+def test_texts_of_one_fingerprint_are_told_apart(spark, monkeypatch):
+    """Where all texts share a fingerprint, only equal bytes make a group."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: exact_dedup.F.lit(5).cast("long"))
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, "c"), (5, None), (6, ""), (7, "A")]
+    found = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in found} == {1: (3, 2), 3: (3, 2), 2: (2, 1), 4: (4, 1), 5: (6, 2), 6: (6, 2), 7: (7, 1)}
+
+
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 300, 500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(4) for _ in range(3)]
