@@ -17,15 +17,22 @@ def write_records(records: DataFrame, path: str, force: bool = False) -> None:
     records.write.mode("overwrite" if force else "errorifexists").partitionBy("alias").parquet(path)
 
 
+#: Codecs of text by extension. Zstandard is Hadoop's, which needs its native library on the cluster.
+CODECS = {"gz": "gzip", "gzip": "gzip", "zst": "org.apache.hadoop.io.compress.ZStandardCodec", "zstd": "org.apache.hadoop.io.compress.ZStandardCodec"}
+
+
+def _codec(path: str) -> str:
+    return CODECS.get(path.rsplit(".", 1)[-1], "none")
+
+
 def write_text(lines: DataFrame, path: str, force: bool = False, compression: str | None = None) -> None:
     """A folder of text files, in the order of the partitions. Compression follows the path's extension unless given."""
-    found = compression or {"gz": "gzip", "gzip": "gzip", "zst": "zstd", "zstd": "zstd"}.get(path.rsplit(".", 1)[-1], "none")
+    found = compression or _codec(path)
     lines.write.mode("overwrite" if force else "errorifexists").option("compression", found).text(path)
 
 
 def write_tsv(rows: DataFrame, path: str, header: bool = False, force: bool = False) -> None:
-    found = {"gz": "gzip", "gzip": "gzip", "zst": "zstd", "zstd": "zstd"}.get(path.rsplit(".", 1)[-1], "none")
-    rows.write.mode("overwrite" if force else "errorifexists").option("compression", found).csv(path, sep="\t", header=header)
+    rows.write.mode("overwrite" if force else "errorifexists").option("compression", _codec(path)).csv(path, sep="\t", header=header)
 
 
 def count_table(counts: DataFrame, bc_len: int = 16, encoded: bool = False, features: DataFrame | None = None, column: str = "gene", suffix: str | None = None, swapped: bool = False) -> DataFrame:
