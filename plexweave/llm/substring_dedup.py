@@ -34,6 +34,8 @@ GROUP = 3
 TARGET = 600_000
 #: Sizes are estimated from one document in so many; they only set how groups are split.
 SAMPLED = 64
+#: Words that a worker remembers.
+CACHE_WORDS = 400_000
 #: Fewest groups.
 LEAST_GROUPS = 8
 _LAST = (1 << 63) - 1
@@ -118,7 +120,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, groups: int, large
             n = len(words) - window + 1
             if n < 1:
                 continue
-            hashed = hashes(7).of(words)
+            hashed = hashes(7, CACHE_WORDS).of(words)
             runs = rolling(hashed, GROUP)
             least = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(n)
             heads = np.r_[True, least[1:] != least[:-1]]
@@ -158,7 +160,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, groups: int, large
 def _repeats(places: Places, texts: list[bytes], window: int) -> Places:
     """The hits among the suffixes of one group, whose words are in `texts`: windows that a smaller document has too."""
     data = b"\n".join(texts)
-    hashed = np.concatenate([hashes(7).of(t.split()) for t in texts])
+    hashed = np.concatenate([hashes(7, CACHE_WORDS).of(t.split()) for t in texts])
     raw = np.frombuffer(data, np.uint8)
     gaps = np.flatnonzero((raw == 32) | (raw == 10))
     starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(raw)]
@@ -273,7 +275,7 @@ def _large_runs(rows: DataFrame, window: int) -> tuple[int, np.ndarray]:
         for b in batches:
             keys = [np.zeros(0, np.uint64)]
             for text in b.column(1).to_pylist():
-                runs = rolling(hashes(7).of(split(text)), GROUP)
+                runs = rolling(hashes(7, CACHE_WORDS).of(split(text)), GROUP)
                 if len(runs) >= span:
                     keys.append(np.lib.stride_tricks.sliding_window_view(runs, span).min(axis=1))
             run, n = np.unique(np.concatenate(keys), return_counts=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words that a worker remembers; beyond that it starts anew.
+#: Words that a worker remembers for each seed; beyond that it starts anew.
 CACHE_WORDS = 120_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -14,11 +14,11 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 class WordHashes(dict):
     """64-bit hash by word, for one seed."""
 
-    def __init__(self, seed: int = 0):
-        self.seed = seed
+    def __init__(self, seed: int = 0, most: int = CACHE_WORDS):
+        self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(word) <= 64:
@@ -32,9 +32,9 @@ class WordHashes(dict):
 _caches: dict[int, WordHashes] = {}
 
 
-def hashes(seed: int = 0) -> WordHashes:
+def hashes(seed: int = 0, most: int = CACHE_WORDS) -> WordHashes:
     """The worker's own cache for a seed."""
-    return _caches.setdefault(seed, WordHashes(seed))
+    return _caches.setdefault(seed, WordHashes(seed, most))
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:
