@@ -119,7 +119,7 @@ class Index:
         near = lambda c, rest: F.filter(c, lambda x: F.levenshtein(x["rest"], rest, 1) == 1)
         same = F.array_min(F.transform(F.filter("__ls", lambda x: x["rest"] == right), lambda x: x["idx"]))
         apart = F.concat(F.coalesce(near("__ls", right), F.array()), F.coalesce(near("__rs", left), F.array()))
-        found = F.when(F.col("__ls").isNotNull() | F.col("__rs").isNotNull(), F.coalesce(same, F.transform(apart, lambda x: F.when(F.size(apart) == 1, x["idx"]))[0]))
+        found = F.when(F.col("__ls").isNotNull() | F.col("__rs").isNotNull(), F.coalesce(same, F.when(F.size(apart) == 1, F.get(apart, F.lit(0))["idx"])))
         return both.withColumn("__hit", found).drop("__lkey", "__rkey", "__ls", "__rs")
 
 

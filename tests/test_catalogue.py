@@ -6,7 +6,7 @@ from plexweave.plans.catalogue import ORACLES, QUERIES
 from tests.conftest import DATA
 
 TABLES = "lineitem supplier part"
-NAMES = ["ibu_count", "ibu_count_strict", "count_by_gene", "mtx_entries", "umi_correct", "whitelist_remap", "whitelist_hd1_halves", "whitelist_hd1_misses", "seq_variants", "map_gex"]
+NAMES = ["ibu_count", "ibu_count_strict", "count_by_gene", "mtx_entries", "umi_correct", "whitelist_remap", "whitelist_hd1_halves", "whitelist_hd1_misses", "seq_variants", "map_gex", "map_crispr", "probe_dynamic", "guide_assign_cut"]
 
 
 @pytest.mark.parametrize("name", NAMES)
