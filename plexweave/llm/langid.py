@@ -21,29 +21,28 @@ from plexweave.llm.common import bound_batches, held_out
 
 #: The vocabulary: pieces of a public tokenizer. Only the strings are used.
 VOCABULARY = "piece_bpe_32k.model"
-#: Characters learned from for each language, about: documents are taken by a hash until the bound is met.
-SAMPLE_CHARS = 2_000_000
+#: Characters learned from for each language and for all together, about: documents are taken by a hash until the bound is met.
+SAMPLE_CHARS, SAMPLE_TOTAL = 2_000_000, 20_000_000
 #: Documents longer than this are not learned from.
 SAMPLE_LONGEST = 200_000
 ROUNDS = 3
 #: Probability mass kept for each piece before the data, and for a letter outside the vocabulary.
 SMOOTHING, UNKNOWN = 0.01, 1e-7
-#: Longer runs of letters are cut.
+#: Runs of up to so many letters are swept whole; longer ones in parts, each of which goes on from the sums of the one
+#: before. They are learned from in parts of that length.
 LONGEST = 40
 #: Words that a worker remembers.
 CACHE_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-
-
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _codes(words: list[str], mark: str = START) -> tuple[np.ndarray, np.ndarray]:
     """The letters of words as a matrix, padded with 0, each with the mark of a word's start; and the lengths."""
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
+    lengths = np.array([len(w) + len(mark) for w in words], np.int64)
     width = int(lengths.max(initial=1))
-    flat = "".join((START + w).ljust(width, "\0") for w in words).encode("utf-32-le")
+    flat = "".join((mark + w).ljust(width, "\0") for w in words).encode("utf-32-le")
     return np.frombuffer(flat, np.uint32).reshape(len(words), width).astype(np.uint64), lengths
 
 
@@ -67,12 +66,12 @@ class Pieces:
             order = np.argsort(value)
             self.by_length[n] = value[order], ids[order]
 
-    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, words: list[str], mark: str = START) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """word, start, end, piece of each match, in the order of end and word; and the words' lengths.
 
         A letter without a piece of its own has the piece -1, so every word has a segmentation.
         """
-        codes, lengths = _codes(words)
+        codes, lengths = _codes(words, mark)
         found = []
         value = np.zeros_like(codes)
         for n in range(1, min(max(self.by_length), codes.shape[1]) + 1):
@@ -117,9 +116,39 @@ def forward(places, probability: np.ndarray) -> np.ndarray:
 
 
 def word_scores(words: list[str], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language."""
-    places = pieces.places(words)
-    return np.log(np.maximum(forward(places, probability)[np.arange(len(words)), places[4]], 1e-300))
+    """Log probability of each word in each language, summed over all segmentations."""
+    long = np.array([len(w) > LONGEST for w in words], bool)
+    out = np.zeros((len(words), probability.shape[1]))
+    short = [w for w, x in zip(words, long) if not x]
+    if short:
+        places = pieces.places(short)
+        out[~long] = np.log(np.maximum(forward(places, probability)[np.arange(len(short)), places[4]], 1e-300))
+    if long.any():
+        out[long] = _long_scores([w for w, x in zip(words, long) if x], pieces, probability)
+    return out
+
+
+def _long_scores(words: list[str], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
+    """word_scores of words of any length: the sums of the last places, as many as a piece is long, go on to the next part."""
+    texts, tail, langs = [START + w for w in words], max(pieces.by_length), probability.shape[1]
+    lengths = np.array([len(t) for t in texts])
+    alpha, scale, out = np.zeros((len(texts), tail, langs)), np.zeros((len(texts), langs)), np.zeros((len(texts), langs))
+    alpha[:, -1] = 1.0
+    rows, done = np.arange(len(texts)), 0
+    while len(rows):
+        # each part begins with the letters between the places that are known; the first has none before it
+        parts = [("\0" * max(0, tail - 1 - done) + texts[i][max(0, done - tail + 1) : done + LONGEST]) for i in rows]
+        word, start, end, piece, _ = pieces.places(parts, "")
+        table = np.zeros((len(rows), tail + LONGEST, langs))
+        table[:, :tail] = alpha[rows]
+        _sweep(table, end, word, end, start, probability[piece], range(tail, tail + LONGEST))
+        last = lengths[rows] - done + tail - 1
+        ends = last < tail + LONGEST
+        out[rows[ends]] = np.log(np.maximum(table[np.flatnonzero(ends), last[ends]], 1e-300)) + scale[rows[ends]]
+        top = np.maximum(table[:, LONGEST:].max(axis=1), 1e-300)
+        alpha[rows], scale[rows] = table[:, LONGEST:] / top[:, None], scale[rows] + np.log(top)
+        rows, done = rows[~ends], done + LONGEST
+    return out
 
 
 def learn(counts: Counter, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
@@ -149,7 +178,7 @@ def learn(counts: Counter, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
 
 def runs(token: str) -> list[str]:
     """A token's runs of letters, lower-cased."""
-    return [r[k : k + LONGEST] for r in _LETTERS.findall(token.lower()) for k in range(0, len(r), LONGEST)]
+    return _LETTERS.findall(token.lower())
 
 
 class Identifier:
@@ -219,10 +248,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return Identifier([], np.zeros((1, 0)), path)
     part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) / 1e6
+    sample_chars = min(sample_chars, SAMPLE_TOTAL / len(sizes))
     bound = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_chars / max(n, 1))))), F.col("lang"))
     words: dict[str, Counter] = {lang: Counter() for lang in sorted(sizes)}
     for r in rows.where(part < bound).select("text", "lang").toLocalIterator():
-        words[r["lang"]].update(w for t in r["text"].split() for w in runs(t))
+        words[r["lang"]].update(w[k : k + LONGEST] for t in r["text"].split() for w in runs(t) for k in range(0, len(w), LONGEST))
     words = {lang: c for lang, c in words.items() if c}
     pieces = Pieces(path)
     learned = [learn(c, pieces) for c in words.values()]

@@ -2,6 +2,7 @@ import html
 import random
 import re
 from collections import Counter
+from hashlib import sha256
 
 import duckdb
 import numpy as np
@@ -222,6 +223,65 @@ def test_bpe_equals_the_library():
         assert ids.tolist() == expected and own.decode(ids) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_bpe_query_against_the_library(spark):
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    found = {r["doc_id"]: r for r in QUERIES["op10_bpe"](spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert len(found) == len(docs)
+    for r in docs:
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        expected = (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
+        assert tuple(found[r["doc_id"]])[1:] == expected
+
+
+def test_convolution_and_pooling_against_plain_loops():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network.fresh(3)
+    buckets = np.r_[np.zeros((1, toxicity.FEATURES), np.int32), rng.integers(1, toxicity.BUCKETS, (9, toxicity.FEATURES)).astype(np.int32)]
+    texts = [rng.integers(1, 10, n).astype(np.int32) for n in (5, 1, 0, 2, 12)]
+    found = toxicity._outputs(net, net.shares(buckets), texts)
+    for t, out in zip(texts, found):
+        x = np.concatenate([net.embeddings[buckets[t]].sum(axis=1), np.zeros((2, toxicity.DIMS))])
+        pooled = []
+        for f, bias in zip(net.filters, net.biases):
+            places = [sum(x[i + j] @ f[j] for j in range(len(f)) if i + j < len(x)) for i in range(len(x))]
+            pooled.append(np.maximum(np.max(places, axis=0) + bias, 0))
+        assert out == pytest.approx(np.concatenate(pooled) @ net.out + net.out_bias, abs=1e-4)
+
+
+def test_one_step_of_training_follows_the_gradient(monkeypatch):
+    """After one batch each weight has moved against the numeric gradient of the loss, by the rate (Adagrad's first step)."""
+    rng = np.random.default_rng(6)
+    buckets = np.r_[np.zeros((1, toxicity.FEATURES), np.int32), rng.integers(1, 50, (7, toxicity.FEATURES)).astype(np.int32)]
+    texts, labels = [rng.integers(1, 8, n).astype(np.int32) for n in (6, 3, 9, 4)], np.array([1, 0, 1, 0], np.float32)
+    monkeypatch.setattr(toxicity, "L2", 0.0)
+    start = toxicity.Network.fresh(0)
+    start.out_bias = float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
+
+    def loss(net):
+        p = toxicity._sigmoid(toxicity._outputs(net, net.shares(buckets), texts))
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    moved = toxicity.train(texts, labels, buckets, epochs=1, seed=0)
+    checked = 0
+    for get in (lambda n: n.out, lambda n: n.filters[1], lambda n: n.filters[2], lambda n: n.embeddings[1:50]):
+        before, after = get(start), get(moved)
+        for at in rng.permutation(before.size)[:40].tolist():
+            place = np.unravel_index(at, before.shape)
+            old, d = float(before[place]), 2e-2
+            values = []
+            for v in (old + d, old - d):
+                before[place] = v
+                values.append(loss(start))
+            before[place] = old
+            slope = (values[0] - values[1]) / (2 * d)
+            if abs(slope) > 2e-3:
+                checked += 1
+                assert np.sign(after[place] - old) == -np.sign(slope), (before.shape, place, slope)
+    assert checked > 20
+
+
 def test_marked_articles_and_repeated_runs(spark):
     shared = "<div>one two three four five six seven eight nine</div>"
     pages = [(k, "http://h.org/x", f"<nav>home</nav>{shared}<p>page {k} says &amp; <b>t</b>hat</p><form>mail</form><div class='user comments'>no</div>") for k in range(3)]
@@ -321,9 +381,57 @@ def test_forward_sums_all_segmentations():
         return out
 
     for word in ("an", "there", "über", "q中x"):
+        assert np.allclose(np.exp(langid._long_scores([word], pieces, probability)[0]), total(langid.START + word))
         assert np.allclose(np.exp(langid.word_scores([word], pieces, probability)[0]), total(langid.START + word))
 
 
+@pytest.mark.parametrize("longest", [1, 7, 40])
+def test_long_runs_are_summed_whole(monkeypatch, longest):
+    """Runs of any length have the sums over all segmentations, with nothing cut and no start mark inside."""
+    monkeypatch.setattr(langid, "LONGEST", longest)
+    pieces = langid.Pieces(public_tokenizers.path(langid.VOCABULARY))
+    rng = np.random.default_rng(1)
+    probability = rng.random((len(pieces.names) + 1, 2)) * 1e-3
+    ids = {p: i for i, p in enumerate(pieces.names)}
+    most = max(pieces.by_length)
+    words = ["".join(rng.choice(list("aeinrst"), n)) for n in (1, 39, 40, 41, 81, 1500)]
+    found = langid.word_scores(words, pieces, probability)
+    for w, scores in zip(words, found):
+        text, alpha, scale = langid.START + w, [np.ones(2)], [np.zeros(2)]
+        for end in range(1, len(text) + 1):
+            value = sum((alpha[s] * np.exp(scale[s] - scale[-1]) * probability[ids.get(text[s:end], -1)] for s in range(max(0, end - most), end) if text[s:end] in ids or end - s == 1), np.zeros(2))
+            alpha.append(value / value.max())
+            scale.append(scale[-1] + np.log(value.max()))
+        assert np.allclose(scores, np.log(alpha[-1]) + scale[-1])
+
+
+def test_language_query_against_plain_segmentation(spark):
+    """The registered query names for every document the language that plain sums over segmentations name."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(docs)
+    pieces = langid.Pieces(model.path)
+    ids, most = {p: i for i, p in enumerate(pieces.names)}, max(pieces.by_length)
+    known = {}
+
+    def score(run):
+        if run not in known:
+            text = langid.START + run
+            alpha = [np.ones(len(model.languages))]
+            for end in range(1, len(text) + 1):
+                starts = [s for s in range(max(0, end - most), end) if text[s:end] in ids or end - s == 1]
+                alpha.append(sum(alpha[s] * model.probability[ids.get(text[s:end], -1)] for s in starts))
+            known[run] = np.log(np.maximum(alpha[-1], 1e-300))
+        return known[run]
+
+    found = {r["doc_id"]: r for r in QUERIES["op4_language"](spark, DATA).collect()}
+    some = [r for r in docs.collect() if len(r["text"] or "") < 1500][:60]
+    assert len(some) > 30 and len(found) == docs.count()
+    for r in some:
+        words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        total = sum((score(w) for w in words), np.zeros(len(model.languages)))
+        assert found[r["doc_id"]]["lang_pred"] == (model.languages[int(np.argmax(total))] if words else "und")
+
+
 def test_vectors_left_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (20, [2.0]), (None, [1.0, 1.0])]
     found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()
