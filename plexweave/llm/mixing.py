@@ -79,7 +79,7 @@ def due_time(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position (and middle, rank): how the mix takes each row of `docs`.
+    """doc_id, size, source_size, target, taken, copies, position (and middle, rank, source, print, a hash of the text): how the mix takes each row of `docs`.
 
     A source with target t and size s takes every document floor(t / s) times, and then documents in the order of
     a hash of their ids as long as they fit into the rest; one more document, the one nearest in size to what is
@@ -93,7 +93,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("print")
     ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, repeats)
@@ -141,23 +141,41 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             F.when(F.col("copies") > 0, due_time(F.col("middle") / F.col("target"), F.col("rank"), schedules)).alias("position"),
             "middle",
             "rank",
+            "source",
+            "print",
         )
     )
 
 
-def training_order(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """`docs`, each row as often as the mix takes it, range-sorted by the position of each copy; columns as they were.
 
-    Copies of a document lie one source length apart. Rows that repeat an id are taken as the first of them is.
+    Copies of a document lie one source length apart. Rows are told by id, text and source; rows that are alike in these
+    are numbered, so that each is taken as often as one of them is.
     """
-    each = (
-        mixed(docs, id_col=id_col, **options)
-        .where("copies > 0")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("position", "copies", "middle", "source_size", "target", "rank")).alias("p"))
-        .select(F.col("doc_id").alias("__mix_id"), "p.*")
-    )
+    mark = next(f"mix{'_' * k}" for k in range(1, len(docs.columns) + 2) if not any(c.lower().startswith(f"mix{'_' * k}") for c in docs.columns))
+    id_, print_, source, at, number = (f"{mark}{c}" for c in ("id", "print", "source", "at", "number"))
+    keys = [id_, print_, source]
+    plan = mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).withColumnsRenamed({"doc_id": id_, "print": print_, "source": source})
     due = lambda k: due_time((F.col("middle") + k * F.col("source_size")) / F.col("target"), F.col("rank"), options.get("schedules", SCHEDULES))
-    timed = each.select("__mix_id", F.explode(F.transform(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")), due)).alias("__mix_at"))
+    times = F.transform(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")), due)
+    # all rows of a key, with the times of each that is taken
+    timed = plan.groupBy(*keys).agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.when(F.col("copies") > 0, times))).alias("times")).where(F.size("times") > 0)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(timed, F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id"))).orderBy("__mix_at", "__mix_id").select(*columns)
+    rows = docs.select("*", F.col(f"`{id_col}`").alias(id_), F.xxhash64(F.col(f"`{text_col}`")).alias(print_), F.col(f"`{source_col}`").alias(source))
+
+    def joined(left: DataFrame, right: DataFrame, more: list[str]) -> DataFrame:
+        right = right.withColumnsRenamed({k: f"{k}2" for k in [*keys, *more]})
+        same = F.lit(True)
+        for k in [*keys, *more]:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}2"))
+        return left.join(right, same).select(*columns, id_, at)
+
+    once = joined(rows, timed.where("rows = 1").select(*keys, F.explode(F.element_at("times", 1)).alias(at)), [])
+    again = timed.where("rows > 1").select(*keys, F.posexplode("times").alias(number, "each")).select(*keys, number, F.explode("each").alias(at))
+    few = timed.where("rows > 1").select(*keys).withColumnsRenamed({k: f"{k}2" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}2"))
+    alike = rows.join(few, same, "left_semi").withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - 1)
+    return once.unionByName(joined(alike, again, [number])).orderBy(at, id_).select(*columns)
