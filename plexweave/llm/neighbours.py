@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from plexweave.llm.common import bound_batches
 
-#: Vectors of a block at most, on average over a hash: queries, candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: Bytes of a block of queries and of candidates, about, over a hash: every block of one kind is copied to each of the other.
+QUERY_BYTES, CANDIDATE_BYTES = 16 << 20, 64 << 20
+#: Smaller tables are cut into up to so many blocks of either kind, of at least so many vectors.
+LEAST_BLOCKS, LEAST_QUERIES, LEAST_CANDIDATES = 8, 512, 4096
 #: Candidates multiplied at once within a tile.
 STRIP = 1024
 #: Sums of products of int8 values are exact in float32 over so many dimensions.
@@ -58,7 +60,7 @@ def best_of_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     q_norm = np.linalg.norm(q_codes * q_scale[:, None], axis=1)
     heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
     for at in range(0, len(ids), STRIP):
-        own, strip = ids[at : at + STRIP], x[at : at + STRIP]
+        own, strip = ids[at : at + STRIP], x[at : at + STRIP].astype(np.float64)
         codes, scale, rest = quantised(strip)
         near = tile_product(q_codes, codes) * q_scale[:, None] * scale
         norm = np.linalg.norm(codes * scale[:, None], axis=1)
@@ -99,7 +101,7 @@ def _tile(group: pa.Table, k: int) -> pa.Table:
     vectors = group["vector"].combine_chunks()
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     x = flat.reshape(len(ids), -1)
-    rows = list(best_of_tile(ids[asks], x[asks], ids[~asks], x[~asks], k)) if asks.any() and not asks.all() else []
+    rows = list(best_of_tile(ids[asks], x[asks].astype(np.float64), ids[~asks], x[~asks], k)) if asks.any() and not asks.all() else []
     q, s, c = zip(*rows) if rows else ((), (), ())
     return pa.table({"query_id": pa.array(q, pa.int64()), "score": pa.array(s, pa.float64()), "vec_id": pa.array(c, pa.int64())})
 
@@ -121,14 +123,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     returned; an empty table gives an empty result.
     """
     bound_batches(vectors.sparkSession)
+    # single precision is sent as it is; products are taken in double precision
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     rows = (
         vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+        .select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
         .where(_usable("vector"))
     )
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n_queries, n_rows = queries.count(), rows.count()
-    q_blocks, c_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK)), max(1, math.ceil(n_rows / CANDIDATE_BLOCK))
+    n_rows, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    n_queries, width = queries.count(), dims * (4 if single else 8)
+    blocks = lambda n, most, least: max(1, math.ceil(n * width / most), min(LEAST_BLOCKS, n // least))
+    q_blocks, c_blocks = blocks(n_queries, QUERY_BYTES, LEAST_QUERIES), blocks(n_rows, CANDIDATE_BYTES, LEAST_CANDIDATES)
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select("vec_id", "vector", F.lit(True).alias("asks"), block(q_blocks).alias("i"), every_block(c_blocks).alias("j"))

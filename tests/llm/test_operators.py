@@ -432,6 +432,23 @@ def test_language_query_against_plain_segmentation(spark):
         assert found[r["doc_id"]]["lang_pred"] == (model.languages[int(np.argmax(total))] if words else "und")
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_with_ties_beyond_k_over_several_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "LEAST_QUERIES", 2)
+    monkeypatch.setattr(neighbours, "LEAST_CANDIDATES", 30)
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else rng.integers(-3, 4, 3).astype(float).tolist()) for i in range(200)]
+    usable = {i: np.array(v) for i, v in rows if any(v)}
+    found = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {i for i in usable if i % 20 == 0}
+    for q, near in found.items():
+        expected = sorted((-float(usable[q] @ v), i) for i, v in usable.items() if i != q)[:20]
+        assert sorted(near) == [(k + 1, i, -s) for k, (s, i) in enumerate(expected)]
+    assert neighbours.nearest(spark.createDataFrame([], f"vec_id long, embedding array<{kind}>, asks string, i int")).count() == 0
+
+
 def test_vectors_left_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (20, [2.0]), (None, [1.0, 1.0])]
     found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()
