@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession
 
 from plexweave.plans.catalogue import QUERIES
 
-HEADLINE = ("ibu_sort", "ibu_reads", "ibu_count", "count_by_gene", "umi_correct", "whitelist_hd1", "whitelist_remap", "map_gex", "pipeline_gex", "guide_assign")
-LLM = ("op5_html_text", "op6_mix", "op7_substring_dedup", "op9_exact_dedup", "op10_bpe")
+HEADLINE = ("ibu_sort", "ibu_reads", "ibu_count", "count_by_gene", "umi_correct", "whitelist_hd1", "whitelist_remap", "map_gex", "map_crispr", "pipeline_gex", "pipeline_crispr", "guide_assign", "droplet_filter")
+LLM = ("op1_toxicity", "op2_near_dedup", "op3_neighbours", "op4_language", "op5_html_text", "op6_mix", "op7_substring_dedup", "op8_licences", "op9_exact_dedup", "op10_bpe")
 
 
 def main() -> None:

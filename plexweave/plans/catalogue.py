@@ -448,9 +448,36 @@ def guide_assign_odds(spark, d):
     return assign.assign_guides(_guide_counts(spark, d, True), fdr=1.0, min_log_odds=0.5).select("barcode", "index", "count")
 
 
-@query()
+def _droplets_oracle(ambient_most: int) -> str:
+    """The deviance from the ambient profile, its chi-square tail by the same normal form, and false discovery rates."""
+    return f"""with gc as ({_GUIDE_COUNTS}), t as (select barcode, sum(count)::bigint as total from gc group by 1),
+      low as (select index, sum(count) as a from gc join t using (barcode) where total <= {ambient_most} group by 1),
+      pr as (select g.index, coalesce(a, 0) + 1 as a from (select distinct index from gc) g left join low using (index)),
+      w as (select sum(a)::double as whole, count(*) as n_genes from pr),
+      dv as (select barcode, total, sum(2 * count * ln(count / (total * a / whole))) as deviance, greatest(1, least(total, any_value(n_genes)) - 1)::double as free
+        from gc join t using (barcode) join pr using (index), w where total > {ambient_most} group by barcode, total),
+      zs as (select *, (cbrt(greatest(0, deviance) / free) - (1 - 2 / (9 * free))) / sqrt(2 / (9 * free)) as z from dv),
+      ts as (select *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as u from zs),
+      hs as (select *, 0.5 * u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-z * z / 2) as half from ts),
+      pv as (select barcode, total, deviance, case when z >= 0 then half else 1 - half end as p from hs),
+      rk as (select *, count(*) over (order by p range unbounded preceding) as r, count(*) over () as c from pv),
+      bh as (select *, min(least(1, p * c / r)) over (order by p desc range unbounded preceding) as q from rk)
+      select barcode, total, round(deviance, 6) as deviance, round(p, 9) as p_value, round(q, 9) as fdr, q <= 0.01 as is_cell from bh"""
+
+
+def _droplets(spark, d, **options):
+    found = assign.droplet_filter(_guide_counts(spark, d), **options)
+    return found.withColumns({"deviance": F.round("deviance", 6), "p_value": F.round("p_value", 9), "fdr": F.round("fdr", 9)})
+
+
+@query(_droplets_oracle(100))
 def droplet_filter(spark, d):
-    return assign.droplet_filter(_guide_counts(spark, d))
+    return _droplets(spark, d)
+
+
+@query(_droplets_oracle(600))
+def droplet_filter_ambient(spark, d):
+    return _droplets(spark, d, ambient_most=600)
 
 
 def _pipeline_oracle(kind: str) -> str:
