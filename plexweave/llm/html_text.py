@@ -151,13 +151,10 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column, HTML, becomes the stream of the page, and `marked` tells whether that is of marked articles."""
+    """The last column, HTML, becomes the stream of the page."""
     for b in batches:
-        made = [blocks(page) for page in b.column(b.num_columns - 1).to_pylist()]
-        yield pa.record_batch(
-            [*b.columns[:-1], pa.array([" ".join(t) for t, _ in made], pa.string()), pa.array([m for _, m in made], pa.bool_())],
-            [*b.schema.names[:-1], "text", "marked"],
-        )
+        texts = [" ".join(blocks(page)[0]) for page in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.record_batch([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
 
 
 def _windows(text: str) -> tuple[list[bytes], np.ndarray]:
@@ -229,10 +226,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (page_id, url, text, marked, pages of the host, windows, their pages), the words that no boilerplate covers."""
+    """Of (page_id, url, html, pages of the host, windows, their pages), the words that no boilerplate covers."""
     for b in batches:
         texts = []
-        for text, marked, pages, known, on in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
+        for html, pages, known, on in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+            parts, marked = blocks(html)
+            text = " ".join(parts)
             words, windows = _windows(text)
             if not known or not len(windows):
                 texts.append(text)
@@ -270,7 +269,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.xxhash64(F.coalesce(F.parse_url(F.when(F.col("url").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://[^\\s]*$"), F.col("url")), F.lit("HOST")), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.select("page_id", "url", host.alias("host"), "html")
-    texts = rows.mapInArrow(_texts, "page_id long, url string, host long, text string, marked boolean")
+    texts = rows.mapInArrow(_texts, "page_id long, url string, host long, text string")
     large = checkpointed(rows.groupBy("host").count().where(F.col("count") > 2 * PART).select("host", F.ceil(F.col("count") / PART).alias("parts")))
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     page = F.xxhash64("page_id", "url", "text")
@@ -283,5 +282,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     common = common.groupBy("host", "pages").agg(F.collect_list(F.struct("win", "n")).alias("found"))
     common = checkpointed(common.select("host", "pages", F.col("found.win").alias("known"), F.col("found.n").alias("on")))
     few = (common.agg(F.sum(F.size("known"))).first()[0] or 0) <= BROADCAST_ROWS
-    joined = texts.join(F.broadcast(common) if few else common, "host", "left").select("page_id", "url", "text", "marked", "pages", "known", "on")
+    # pages are read again for this, so that no task keeps two Python workers and no text has to be written
+    joined = rows.join(F.broadcast(common) if few else common, "host", "left").select("page_id", "url", "html", "pages", "known", "on")
     return joined.mapInArrow(_without_runs, "page_id long, url string, text string")
