@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexweave.llm.common import bound_batches
-from plexweave.llm.words import hashes, mixed, rolling, split
+from plexweave.llm.words import line_hashes, mixed, rolling, split
 
 #: Words of a window.
 WINDOW = 13
@@ -34,8 +34,6 @@ GROUP = 3
 TARGET = 600_000
 #: Sizes are estimated from one document in so many; they only set how groups are split.
 SAMPLED = 64
-#: Words that a worker remembers.
-CACHE_WORDS = 400_000
 #: Fewest groups.
 LEAST_GROUPS = 8
 _LAST = (1 << 63) - 1
@@ -120,17 +118,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, groups: int, large
             n = len(words) - window + 1
             if n < 1:
                 continue
-            hashed = hashes(7, CACHE_WORDS).of(words)
+            line = b" ".join(words)
+            hashed, starts, stops = line_hashes(line)
             runs = rolling(hashed, GROUP)
             least = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(n)
             heads = np.r_[True, least[1:] != least[:-1]]
             apart = np.isin(runs[least], large) if len(large) else np.zeros(n, bool)
             first = np.flatnonzero(heads | apart)
             keys.append(np.where(apart[first], mixed(rolling(hashed, window)[first]), mixed(runs[least[first]])))
-            line = b" ".join(words)
-            starts = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
             ends = np.r_[first[1:], n]
-            lines += [line[x : y - 1] for x, y in zip(starts[first].tolist(), starts[ends + window - 1].tolist())]
+            lines += [line[x:y] for x, y in zip(starts[first].tolist(), stops[ends + window - 2].tolist())]
             docs.append(np.full(len(first), doc, np.int64))
             tags.append(np.full(len(first), zlib.crc32(text.encode()), np.uint32))
             ats.append(first)
@@ -160,10 +157,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, groups: int, large
 def _repeats(places: Places, texts: list[bytes], window: int) -> Places:
     """The hits among the suffixes of one group, whose words are in `texts`: windows that a smaller document has too."""
     data = b"\n".join(texts)
-    hashed = np.concatenate([hashes(7, CACHE_WORDS).of(t.split()) for t in texts])
-    raw = np.frombuffer(data, np.uint8)
-    gaps = np.flatnonzero((raw == 32) | (raw == 10))
-    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(raw)]
+    hashed, starts, ends = line_hashes(data)
     size = places.size.astype(np.int64)
     lengths = size + window - 1
     row = np.repeat(np.arange(len(size)), size)
@@ -275,8 +269,9 @@ def _large_runs(rows: DataFrame, window: int) -> tuple[int, np.ndarray]:
         for b in batches:
             keys = [np.zeros(0, np.uint64)]
             for text in b.column(1).to_pylist():
-                runs = rolling(hashes(7, CACHE_WORDS).of(split(text)), GROUP)
-                if len(runs) >= span:
+                words = split(text)
+                if len(words) >= window:
+                    runs = rolling(line_hashes(b" ".join(words))[0], GROUP)
                     keys.append(np.lib.stride_tricks.sliding_window_view(runs, span).min(axis=1))
             run, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.record_batch([pa.array(run.view(np.int64)), pa.array(n)], ["run", "n"])

@@ -14,11 +14,11 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 class WordHashes(dict):
     """64-bit hash by word, for one seed."""
 
-    def __init__(self, seed: int = 0, most: int = CACHE_WORDS):
-        self.seed, self.most = seed, most
+    def __init__(self, seed: int = 0):
+        self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(word) <= 64:
@@ -32,9 +32,9 @@ class WordHashes(dict):
 _caches: dict[int, WordHashes] = {}
 
 
-def hashes(seed: int = 0, most: int = CACHE_WORDS) -> WordHashes:
+def hashes(seed: int = 0) -> WordHashes:
     """The worker's own cache for a seed."""
-    return _caches.setdefault(seed, WordHashes(seed, most))
+    return _caches.setdefault(seed, WordHashes(seed))
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:
@@ -55,6 +55,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Powers of an odd number and of its inverse, for hashes of words by differences of sums over a stretch of so many bytes.
+_STRETCH = 1 << 17
+_POWERS = np.cumprod(np.r_[np.uint64(1), np.full(_STRETCH, 0xD6E8FEB86659FD93, np.uint64)])
+_INVERSES = np.cumprod(np.r_[np.uint64(1), np.full(_STRETCH, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64)])
+
+
+def line_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, start, end of each word of a line in which single blanks or line feeds stand between words.
+
+    A word's hash is a polynomial of its bytes, taken for all words at once as differences of running sums.
+    """
+    raw = np.frombuffer(line, np.uint8)
+    gaps = np.flatnonzero((raw == 32) | (raw == 10))
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(raw)]
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        base = starts[first]
+        last = int(np.searchsorted(ends, base + _STRETCH, "right"))
+        if last == first:  # a word beyond the stretch
+            out[first] = xxhash.xxh3_64_intdigest(line[starts[first] : ends[first]])
+            first += 1
+            continue
+        piece = raw[base : ends[last - 1]]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(piece)], out=sums[1:])
+        a, b = starts[first:last] - base, ends[first:last] - base
+        out[first:last] = mixed((sums[b] - sums[a]) * _INVERSES[a] + (b - a).astype(np.uint64) * _STEP)
+        first = last
+    return out, starts, ends
+
+
 def rolling(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of `n` words; none for a shorter sequence."""
     size = len(words) - n + 1

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from plexweave.llm import bpe, exact_dedup, html_text, langid, licences, mixing, near_dedup, neighbours, substring_dedup, toxicity
+from plexweave.llm import bpe, exact_dedup, html_text, langid, mixing, near_dedup, neighbours, substring_dedup, toxicity, words
 from plexweave.llm.oracles import ORACLES
 from plexweave.llm.queries import QUERIES
 from tests.conftest import DATA
@@ -81,7 +81,7 @@ def test_windows_are_confirmed_by_their_words(spark, monkeypatch, target):
         rows.append((k, " ".join(own + passage * (k % 3 == 0))))
         expected[k] = " ".join(own + passage * (k == 0))
     batch = lambda docs: pa.record_batch([pa.array([k for k, _ in docs]), pa.array([t for _, t in docs]), pa.array([k for k, _ in docs])], ["doc", "text", "doc_id"])
-    shared = whole(substring_dedup.hashes(7).of([b"same", b"three", b"words"]), 3)
+    shared = whole(substring_dedup.line_hashes(b"same three words")[0], 3)
     monkeypatch.setattr(substring_dedup, "rolling", lambda words, n: whole(words, n) * np.uint64(n != 13))
     for groups in (1, 5):
         made = pa.Table.from_batches(list(substring_dedup._suffixes(iter([batch(rows[:5]), batch(rows[5:])]), 13, groups, shared if target == 12 else shared[:0])))
@@ -307,6 +307,18 @@ def test_repeats_of_a_host_within_articles(spark, monkeypatch, part):
     assert [found[50 + k] for k in range(3)] == own[:3]
 
 
+def test_hashes_of_lines_are_those_of_their_words(monkeypatch):
+    """Equal words have equal hashes and others other ones, wherever they stand and however long they are."""
+    monkeypatch.setattr(words, "_STRETCH", 40)
+    rng = random.Random(3)
+    line = [bytes(rng.choice(b"ab\xc3\xa4") for _ in range(rng.choice([1, 2, 3, 5, 39, 40, 41, 90]))) for _ in range(500)]
+    data = b"".join(w + rng.choice([b" ", b"\n"]) for w in line)[:-1]
+    found, starts, ends = words.line_hashes(data)
+    assert [data[a:b] for a, b in zip(starts, ends)] == line
+    by_word = dict(zip(line, found.tolist()))
+    assert [by_word[w] for w in line] == found.tolist() and len(set(by_word.values())) == len(by_word)
+
+
 def test_shared_runs_against_brute_force():
     rng = random.Random(9)
     for _ in range(20):
