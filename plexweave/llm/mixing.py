@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import n_words
+from plexweave.llm.common import checkpointed, n_words
 
 #: No document is taken more often than this.
 MAX_REPEATS = 3
@@ -95,6 +95,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("print")
     ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    sized = checkpointed(sized)  # words are counted once, and texts read once
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, repeats)
     starts = buckets.withColumn(

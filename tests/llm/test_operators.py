@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from plexweave.llm import bpe, exact_dedup, html_text, langid, mixing, near_dedup, neighbours, substring_dedup, toxicity, words
+from plexweave.llm import bpe, exact_dedup, html_text, langid, licences, mixing, near_dedup, neighbours, substring_dedup, toxicity, words
 from plexweave.llm.oracles import ORACLES
 from plexweave.llm.queries import QUERIES
 from tests.conftest import DATA
