@@ -1,23 +1,51 @@
-"""Reference files and record tables as DataFrames. Compressed text is read by its extension."""
+"""Reference files and record tables as DataFrames. Compressed text is told by its first bytes, whatever its name."""
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plexweave.session import ship
+
+
+def plain(data: bytes) -> bytes:
+    """The bytes of a file that may be gzip or Zstandard, also of several members."""
+    if data[:2] == b"\x1f\x8b":
+        return gzip.decompress(data)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
+    return data
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lines = [plain(data).decode().splitlines() for data in b.column(1).to_pylist()]
+        yield pa.record_batch([b.column(0), pa.array(lines, pa.list_(pa.string()))], ["path", "lines"])
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, at, value: the lines that are not blank of a reference file, or of a folder of them. A file is one task's."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    split = files.mapInArrow(_split, "path string, lines array<string>")
+    return split.select("path", F.posexplode("lines").alias("at", "value")).where(F.trim("value") != "")
+
 
 def _tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=False, schema=", ".join(f"{c} string" for c in columns))
+    parts = F.split("value", "\t")
+    return _lines(spark, path).select("path", "at", *(F.nullif(F.get(parts, F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(columns)))
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:
-    """Reference rows numbered from 0 by their place in the file; these files are small, and their order is their meaning."""
-    from pyspark.sql import Window
-
-    placed = rows.select("*", F.monotonically_increasing_id().alias("__at"))
-    return placed.withColumn("idx", (F.row_number().over(Window.orderBy("__at")) - 1).cast("long")).drop("__at")
+    """Reference rows (path, at, …) numbered from 0 by their place; these files are small, and their order is their meaning."""
+    return rows.withColumn("idx", (F.row_number().over(Window.orderBy("path", "at")) - 1).cast("long")).drop("path", "at")
 
 
 def gex_library(spark: SparkSession, path: str) -> DataFrame:
@@ -38,14 +66,14 @@ def probe_barcodes(spark: SparkSession, path: str, pattern: str | None = None) -
 
 def whitelist(spark: SparkSession, path: str) -> DataFrame:
     """seq: the first column."""
-    return _tsv(spark, path, ["seq"]).where("seq is not null")
+    return _tsv(spark, path, ["seq"]).select("seq").where("seq is not null")
 
 
 def strict_whitelist(spark: SparkSession, path: str) -> DataFrame:
     """barcode (packed): one key a line, all of one length and of ACGT, else an error."""
     from plexweave.functions.sequence import encode
 
-    rows = spark.read.text(path).select(F.trim("value").alias("seq")).where("seq <> ''")
+    rows = _lines(spark, path).select(F.trim("value").alias("seq"))
     low, high, bad = rows.agg(F.min(F.length("seq")), F.max(F.length("seq")), F.sum((~F.col("seq").rlike("^[ACGT]+$")).cast("int"))).first()
     if low != high or bad:
         raise ValueError(f"whitelist keys of one length and of ACGT are needed: lengths {low} to {high}, {bad or 0} with other letters")
@@ -55,7 +83,7 @@ def strict_whitelist(spark: SparkSession, path: str) -> DataFrame:
 def features(spark: SparkSession, path: str, column: int = 1) -> DataFrame:
     """index, feature: the `column`-th word of each line; a line without it is an error."""
     words = F.split(F.trim("value"), r"\s+")
-    rows = in_file_order(spark.read.text(path))
+    rows = in_file_order(_lines(spark, path))
     name = F.when(F.size(words) > column, F.get(words, F.lit(column))).otherwise(F.raise_error(F.concat(F.lit("no such column: "), F.col("value"))).cast("string"))
     return rows.select(F.col("idx").alias("index"), name.alias("feature"))
 

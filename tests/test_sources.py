@@ -2,6 +2,7 @@ import gzip
 import tarfile
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from plexweave.functions import sequence
@@ -28,6 +29,18 @@ def test_libraries(spark, tmp_path):
         libraries.strict_whitelist(spark, str(tmp_path / "w.txt"))
 
 
+@pytest.mark.parametrize("name", ["plain.tsv", "hidden_gzip.tsv", "hidden_zstd.tsv", "named.gz"])
+def test_compression_is_told_by_content(spark, tmp_path, name):
+    data = "p1\tg1\tACGT\n\np2\tg2\t\np3\tg1\tTTTT\n".encode()
+    if "gz" in name:
+        data = gzip.compress(data[:9]) + gzip.compress(data[9:])
+    elif "zstd" in name:
+        data = zstandard.compress(data[:9]) + zstandard.compress(data[9:])
+    (tmp_path / name).write_bytes(data)
+    found = libraries.gex_library(spark, str(tmp_path / name)).orderBy("idx").select("idx", "probe_name", "gene_name", "seq").collect()
+    assert [tuple(r) for r in found] == [(0, "p1", "g1", "ACGT"), (1, "p2", "g2", None), (2, "p3", "g1", "TTTT")]
+
+
 def test_matrix(spark, tmp_path):
     counts = spark.createDataFrame([(0, "g1", 2), (5, "g2", 3), (5, "g1", 1)], "barcode long, gene string, count long")
     sinks.write_matrix(counts, str(tmp_path / "m"), bc_len=4, suffix="X")
