@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import itertools
 import logging
 import shutil
 from pathlib import Path
@@ -50,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     for kind in ("view", "cat", "sort", "count", "umi", "reads"):
         p = kinds.add_parser(kind)
         p.add_argument("-i", "--input", nargs="+", required=True)
-        p.add_argument("-o", "--output", required=True)
+        p.add_argument("-o", "--output", required=kind != "view", help="a folder; a view without one goes to standard output")
         p.add_argument("-f", "--features")
         p.add_argument("-C", "--feature-col", type=int, default=1 if kind == "count" else 0)
         p.add_argument("--bc-len", type=int, default=16)
@@ -141,7 +142,12 @@ def _ibu(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.kind == "view":
         out = ibu.view(rows, a.decode, a.bc_len, a.umi_len, features, "feature")
         lines = out.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in out.columns)).alias("value"))
-        sinks.write_with_header([] if a.skip_header else ibu.header(a.bc_len, a.umi_len), None if a.header_only else lines, spark, a.output)
+        top, lines = [] if a.skip_header else ibu.header(a.bc_len, a.umi_len), None if a.header_only else lines
+        if a.output:
+            sinks.write_with_header(top, lines, spark, a.output)
+        else:  # line by line, a partition at a time
+            for line in itertools.chain(top, (r["value"] for r in lines.toLocalIterator()) if lines is not None else ()):
+                print(line)
     elif a.kind == "cat":
         rows.write.parquet(a.output)
     elif a.kind == "sort":

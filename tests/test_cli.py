@@ -95,7 +95,7 @@ def test_gex_workflow(spark, files):
         cli.main(["workflow", "gex", *inputs, *flags, "--min-ibu-records", "100000", "-o", str(d / "none")])
 
 
-def test_crispr_workflow_and_records(spark, files):
+def test_crispr_workflow_and_records(spark, files, capsys):
     d, _, crispr = files
     flags = ["-c", str(d / "guides.tsv"), "-w", str(d / "white.txt"), "-p", str(d / "probes.txt"), "--probe-regex", "1$", "--min-ibu-records", "1"]
     inputs = [str(d / "c_R1.fastq"), str(d / "c_R2.fastq")]
@@ -110,6 +110,9 @@ def test_crispr_workflow_and_records(spark, files):
     cli.main(["ibu", "view", "-i", *one, "-o", str(d / "v"), "--decode"])
     lines = text(d / "v")
     assert lines[:5] == ibu.header(16, 12) and {tuple(x.split("\t")[:2]) for x in lines[5:]} == set(kept)
+    capsys.readouterr()
+    cli.main(["ibu", "view", "-i", *one, "--decode", "--skip-header"])
+    assert sorted(capsys.readouterr().out.splitlines()) == sorted(lines[5:])
     cli.main(["ibu", "view", "-i", *one, "-o", str(d / "h"), "--header-only"])
     assert text(d / "h") == ibu.header(16, 12)
     cli.main(["ibu", "sort", "-i", *one, "-o", str(d / "s")])
