@@ -241,6 +241,7 @@ def test_convolution_and_pooling_against_plain_loops():
     buckets = np.r_[np.zeros((1, toxicity.FEATURES), np.int32), rng.integers(1, toxicity.BUCKETS, (9, toxicity.FEATURES)).astype(np.int32)]
     texts = [rng.integers(1, 10, n).astype(np.int32) for n in (5, 1, 0, 2, 12)]
     found = toxicity._outputs(net, net.shares(buckets), texts)
+    assert np.allclose(found, toxicity._outputs_of(net, buckets, texts))
     for t, out in zip(texts, found):
         x = np.concatenate([net.embeddings[buckets[t]].sum(axis=1), np.zeros((2, toxicity.DIMS))])
         pooled = []
