@@ -87,4 +87,59 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_neighbours": OP3, "op7_substring_dedup": OP7, "op2_near_dedup": OP2, "op6_mix": OP6, "op9_exact_dedup": OP9}
+#: CRC-32 by its table, over the UTF-8 bytes of letters up to U+00FF; near words by what is left without one letter:
+#: words of one length leave the same at the same place, and of others the shorter word is what is left.
+OP12 = """
+with recursive tab as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i::ubigint, list_transform(range(8), lambda k: 0::ubigint)),
+      lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as c from range(256) r(i))),
+low as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) as run from low),
+own as (select doc_id, run, count(*) as c, coalesce(doc_id::varchar, '') || ':' || run as s from runs where length(run) >= 7 group by all),
+bytes as (
+  select *, flatten(list_transform(string_split(s, ''), lambda x: case when unicode(x) < 128 then [unicode(x)] else [195, unicode(x) - 64] end)) as b from own),
+hashed as (
+  select run, c, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(b, lambda x: x::ubigint)),
+    lambda h, x: xor(h >> 8, t[(xor(h, x) & 255)::int + 1]))) as h from bytes, tab),
+words as (
+  select word, sum(c)::bigint as n from (
+    select c, case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed)
+  where length(word) >= 7 group by word having sum(c) >= 2),
+less as (select distinct word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)),
+pairs as (
+  select a.word as a, b.word as b, b.n from less a join less b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select l.word, w.word, w.n from less l join words w on l.rest = w.word
+  union select w.word, l.word, l.n from less l join words w on l.rest = w.word),
+best as (select a as word, count(*) as n_near, max(n) as top, arg_min(b, struct_pack(n := -n, w := encode(b))) as b from pairs group by a),
+f as (select word, n, coalesce(n_near, 0) as n_near, case when top >= 10 * n then b end as form, case when top >= 10 * n then top end as form_n from words left join best using (word)),
+r as (select word, word as root, 0 as k from f union all select r.word, f.form, k + 1 from r join f on f.word = r.root where f.form is not null)
+select f.word, form, e.root, n, n_near::bigint as n_near, form_n::bigint as form_n from f join (select word, arg_max(root, k) as root from r group by word) e using (word)
+"""
+
+OP13 = """
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+m as (
+  select doc_id, part, (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+    + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask from d),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+c as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from m left join l using (doc_id) group by part, mask),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit),
+o as (
+  select a.f || b.f || x.f || y.f || z.f as filter_order, [a.bit, b.bit, x.bit, y.bit, z.bit] as bits from f a, f b, f x, f y, f z
+  where a.bit + b.bit + x.bit + y.bit + z.bit = 31 and a.bit | b.bit | x.bit | y.bit | z.bit = 31),
+s as (select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from o, range(1, 6) r(step)),
+t as (
+  select part, filter_order, step::int as step, bit, sum(case when mask & (before | bit) = 0 then n else 0 end)::bigint as kept,
+    sum(case when mask & bit > 0 and mask & before = 0 then n else 0 end)::bigint as removed,
+    sum(case when mask & bit > 0 and mask & before > 0 then n else 0 end)::bigint as redundant,
+    sum(case when mask = bit then n else 0 end)::bigint as unique_fails,
+    sum(case when mask & bit > 0 and mask & before = 0 then good else 0 end)::bigint as good_lost,
+    sum(case when mask & bit > 0 and mask & before = 0 then toxic else 0 end)::bigint as toxic_lost
+  from c, s group by all)
+select * exclude (bit), sum(removed) over (partition by part, bit)::bigint as shapley from t
+"""
+
+ORACLES: dict[str, str] = {"op3_neighbours": OP3, "op7_substring_dedup": OP7, "op2_near_dedup": OP2, "op6_mix": OP6, "op9_exact_dedup": OP9, "op12_spelling": OP12, "op13_filter_audit": OP13}

@@ -97,6 +97,42 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInPandas(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests are taken where ids and decoded bytes are made, as for op10."""
+    from plexweave.llm.byte_bpe import tokenizer
+
+    bound_batches(spark)
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = tokenizer()
+        names = [str(i) for i in range(len(bpe.size))]
+        for b in batches:
+            ids = bpe.encode_all(b["text"].tolist())
+            yield pd.DataFrame(
+                {
+                    "doc_id": b["doc_id"],
+                    "n_tokens": [len(i) for i in ids],
+                    "ids_sha256": [sha256(" ".join(map(names.__getitem__, i.tolist())).encode()).hexdigest() for i in ids],
+                    "decoded_sha256": [sha256(bpe.decode(i, bpe.offsets(i))).hexdigest() for i in ids],
+                }
+            )
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInPandas(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexweave.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexweave.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -108,4 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_spelling": op12_spelling,
+    "op13_filter_audit": op13_filter_audit,
 }
