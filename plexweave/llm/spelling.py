@@ -1,11 +1,13 @@
-"""Spelling variants: words that differ by one code point, found in shards of a trie, and the form that each stands for.
-
-Runs of letters are counted by document and then by task, so only sums are shuffled. The words are dealt out by
-ranges and written as shards: each is a trie of a bounded number of words in which a word that no longer shares its
-begin with another is a leaf with the rest of its letters. Shards are broadcast, so many at a time as fit a bounded
-number of bytes; each task takes its words through every shard, depth first, with the automaton that accepts what is
-one edit away. What the rounds find is summed, and the best form is the least of a pair of keys. At last forms are
-followed to their ends by joins that double their reach.
+"""Spelling variants: words that differ by one code point, found in shards of tries, and the form that each stands for.
+
+Runs of letters are counted by document and then by task, so only sums are shuffled. The words are dealt out by ranges
+and written as shards of a bounded number of words: a trie of these and a trie of the same words read backwards, in
+which a word that no longer shares its begin with another is a leaf with the rest of its letters. Shards are broadcast,
+so many at a time as fit a bounded number of bytes; each task takes its words through every shard, depth first, with
+the automaton that accepts what is one edit away. An edit leaves one half of a word as it is: so the automaton takes
+the first half without an edit in the forward trie, and the second half in the other, and branches only beyond. What
+the rounds find is summed, and the best form is the least of a pair of keys. At last forms are followed to their ends
+by joins that double their reach.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +37,9 @@ DAMAGE = 31
 #: A task sends its counts on when it holds so many words or letters.
 HELD_WORDS, HELD_LETTERS = 200_000, 4_000_000
 #: A shard has at most so many words, and so many letters but for one word; a round broadcasts at most so many bytes of
-#: shards, but for one shard.
-SHARD_WORDS, SHARD_LETTERS, ROUND_BYTES = 100_000, 1_000_000, 48_000_000
+#: shards, but for one shard. A task searches about so many words.
+SHARD_WORDS, SHARD_LETTERS, ROUND_BYTES = 250_000, 4_000_000, 48_000_000
+TASK_WORDS = 20_000
 
 
 def damaged(doc_id: str, run: str) -> str:
@@ -88,17 +92,22 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Trie:
-    """Words in their order, their counts, and a trie over them.
+    """A trie over sorted words.
 
     A node stands for a begin that two words share at least. Its children lie at first[node] to first[node + 1] in
     `labels` (a byte each) and `child`: a node, or -1 - k where only word k goes on that way. `ends` has the word that
     ends at a node, or -1. Letters of a leaf beyond its label are read from the word itself.
     """
 
-    def __init__(self, words: list[bytes], counts: list[int]):
-        first, labels, child, ends = [], bytearray(), [], []
-        ranges = [(0, len(words), 0)]
-        for low, high, depth in ranges:  # grows while it is read
+    KINDS = "Iiii"
+
+    def __init__(self, words: list[bytes]):
+        first, labels, child, ends = array("i"), bytearray(), array("i"), array("i")
+        lows, highs, depths = array("i", [0]), array("i", [len(words)]), array("i", [0])
+        node = 0
+        while node < len(lows):  # nodes by their depth
+            low, high, depth = lows[node], highs[node], depths[node]
+            node += 1
             first.append(len(labels))
             own = low < high and len(words[low]) == depth
             ends.append(low if own else -1)
@@ -111,49 +120,56 @@ class Trie:
                 if top - low == 1:
                     child.append(-1 - low)
                 else:
-                    child.append(len(ranges))
-                    ranges.append((low, top, depth + 1))
+                    child.append(len(lows))
+                    lows.append(low)
+                    highs.append(top)
+                    depths.append(depth + 1)
                 low = top
         first.append(len(labels))
-        offsets = [0]
+        offsets = array("I", [0])
         for w in words:
             offsets.append(offsets[-1] + len(w))
-        self._set(b"".join(words), offsets, counts, first, bytes(labels), child, ends)
-
-    def _set(self, *parts) -> None:
-        self.blob, self.offsets, self.counts, self.first, self.labels, self.child, self.ends = parts
+        self.numbers, self.labels, self.blob = (offsets, first, child, ends), bytes(labels), b"".join(words)
+        self.offsets, self.first, self.child, self.ends = self.numbers
 
     def pack(self) -> bytes:
-        numbers = [(self.offsets, "q"), (self.counts, "q"), (self.first, "i"), (self.child, "i"), (self.ends, "i")]
-        head = struct.pack("<7q", len(self.blob), len(self.labels), *(len(x) for x, _ in numbers))
-        return head + b"".join(struct.pack(f"<{len(x)}{kind}", *x) for x, kind in numbers) + self.labels + self.blob
+        head = struct.pack("<6q", len(self.blob), len(self.labels), *map(len, self.numbers))
+        return b"".join((head, *(x.tobytes() for x in self.numbers), self.labels, self.blob))
 
     @classmethod
     def unpack(cls, data: bytes) -> Trie:
-        n_blob, n_labels, *sizes = struct.unpack_from("<7q", data)
-        view, at, parts = memoryview(data), 56, []
-        for n, kind in zip(sizes, "qqiii"):
-            width = 8 if kind == "q" else 4
-            parts.append(view[at : at + n * width].cast(kind))
-            at += n * width
-        trie = cls.__new__(cls)
-        offsets, counts, first, child, ends = parts
-        trie._set(data[at + n_labels : at + n_labels + n_blob], offsets, counts, first, data[at : at + n_labels], child, ends)
+        n_blob, n_labels, *sizes = struct.unpack_from("<6q", data)
+        view, at, trie = memoryview(data), 48, cls.__new__(cls)
+        trie.numbers = []
+        for n, kind in zip(sizes, cls.KINDS):
+            trie.numbers.append(view[at : at + 4 * n].cast(kind))
+            at += 4 * n
+        trie.offsets, trie.first, trie.child, trie.ends = trie.numbers
+        trie.labels, trie.blob = data[at : at + n_labels], data[at + n_labels : at + n_labels + n_blob]
         return trie
 
     def word(self, k: int) -> bytes:
         return self.blob[self.offsets[k] : self.offsets[k + 1]]
 
-    def near(self, word: bytes) -> list[int]:
-        """The words one edit away from `word`, which may be in the trie itself or not.
+    def near(self, word: bytes, exact: int = 0) -> list[int]:
+        """The words one edit away from `word` that have its first `exact` letters; it may be in the trie itself or not.
 
         The automaton's state after `depth` letters of the trie is a set of places in `word`, as bits: 1 stands for
         place `depth` with no edit yet; 2, 4 and 8 for places depth - 1, depth and depth + 1 after an inserted, a
         replaced and a deleted letter.
         """
         first, labels, child, ends, offsets, blob = self.first, self.labels, self.child, self.ends, self.offsets, self.blob
+        node = 0
+        for depth in range(exact):
+            k = labels.find(word[depth], first[node], first[node + 1])
+            if k < 0:
+                return []
+            node = child[k]
+            if node < 0:
+                only = self.word(-1 - node)
+                return [-1 - node] if only.startswith(word[:exact]) and one_edit(only, word) else []
         m, found = len(word), []
-        stack = [(0, 0, 1)]
+        stack = [(node, exact, 1)]
         while stack:
             node, depth, state = stack.pop()
             rest = m - depth
@@ -187,20 +203,51 @@ class Trie:
                 to = child[k]
                 if to >= 0:
                     stack.append((to, depth + 1, new))
-                elif new:
-                    leaf = -1 - to
-                    start = offsets[leaf] + depth + 1
-                    left = offsets[leaf + 1] - start - (m - depth - 1)  # letters of the leaf beyond those of the word
-                    if left > 1 or left < -1:
-                        continue
-                    tail = blob[start : offsets[leaf + 1]]
+                    continue
+                start, end = offsets[-1 - to] + depth + 1, offsets[-to]
+                longer = end - start - (m - depth - 1)  # letters of the leaf beyond those of the word
+                if -2 < longer < 2:
+                    tail = blob[start:end]
                     if (
                         new & 1 and one_edit(tail, word[depth + 1 :])
-                        or new & 2 and left == 1 and tail == word[depth:]
-                        or new & 4 and left == 0 and tail == word[depth + 1 :]
-                        or new & 8 and left == -1 and tail == word[depth + 2 :]
+                        or new & 2 and longer == 1 and tail == word[depth:]
+                        or new & 4 and longer == 0 and tail == word[depth + 1 :]
+                        or new & 8 and longer == -1 and tail == word[depth + 2 :]
                     ):
-                        found.append(leaf)
+                        found.append(-1 - to)
+        return found
+
+
+class Shard:
+    """Sorted words with their counts, in a trie forwards and one backwards."""
+
+    def __init__(self, words: list[bytes], counts: list[int]):
+        backwards = [w[::-1] for w in words]
+        self.order = array("i", sorted(range(len(words)), key=backwards.__getitem__))
+        self.ahead, self.back = Trie(words), Trie([backwards[k] for k in self.order])
+        self.counts = array("q", counts)
+
+    def pack(self) -> bytes:
+        parts = [self.counts.tobytes(), self.order.tobytes(), self.ahead.pack(), self.back.pack()]
+        return struct.pack("<4q", *map(len, parts)) + b"".join(parts)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Shard:
+        shard, at, parts = cls.__new__(cls), 32, []
+        for n in struct.unpack_from("<4q", data):
+            parts.append(data[at : at + n])
+            at += n
+        shard.counts, shard.order = memoryview(parts[0]).cast("q"), memoryview(parts[1]).cast("i")
+        shard.ahead, shard.back = map(Trie.unpack, parts[2:])
+        return shard
+
+    def near(self, word: bytes) -> list[int]:
+        """Places of the words one edit away: those with its first half, and those with its second half only."""
+        half = len(word) // 2
+        found, ahead = self.ahead.near(word, half), self.ahead
+        for k in self.back.near(word[::-1], len(word) - half):
+            if not ahead.word(self.order[k]).startswith(word[:half]):
+                found.append(self.order[k])
         return found
 
 
@@ -221,8 +268,8 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = 0
 
     def shard() -> pa.RecordBatch:
-        packed = Trie(words, counts).pack()
-        return pa.record_batch([pa.array([words[0].decode("latin-1")]), pa.array([len(packed)], pa.int64()), pa.array([packed], pa.binary())], ["first", "size", "trie"])
+        packed = Shard(words, counts).pack()
+        return pa.record_batch([pa.array([words[0].decode("latin-1")]), pa.array([len(packed)], pa.int64()), pa.array([packed], pa.binary())], ["first", "size", "shard"])
 
     for b in batches:
         for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -238,17 +285,18 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _searched(batches: Iterator[pa.RecordBatch], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
     """word, n_near, best_n, best: of the shards' words near each word, their number and the best one."""
-    tries = [Trie.unpack(p) for p in packed]
+    shards = [Shard.unpack(p) for p in packed]
     for b in batches:
         rows = []
         for word in b.column(0).to_pylist():
             own, near, best = word.encode("latin-1"), 0, None
-            for trie in tries:
-                found = trie.near(own)
+            for shard in shards:
+                found = shard.near(own)
                 near += len(found)
                 for k in found:
-                    if best is None or (n := trie.counts[k]) > best[0] or n == best[0] and trie.word(k) < best[1]:
-                        best = trie.counts[k], trie.word(k)
+                    n = shard.counts[k]
+                    if best is None or n > best[0] or n == best[0] and shard.ahead.word(k) < best[1]:
+                        best = n, shard.ahead.word(k)
             if best:
                 rows.append((word, near, best[0], best[1].decode("latin-1")))
         columns = list(zip(*rows)) or [()] * 4
@@ -261,10 +309,11 @@ def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
     frequent of them, of equal ones the first; no row for a word without any."""
     spark = words.sparkSession
     bound_batches(spark)
-    shards = scratch.keep(words.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_sharded, "first string, size long, trie binary"))
+    n = words.count()
+    shards = scratch.keep(words.repartitionByRange(max(1, -(-n // SHARD_WORDS)), "word").sortWithinPartitions("word").mapInArrow(_sharded, "first string, size long, shard binary"))
     rounds: list[list[str]] = []
     room = 0
-    for r in shards.select("first", "size").orderBy("first").collect():  # a row for each 100,000 words
+    for r in shards.select("first", "size").orderBy("first").collect():  # about a row for each 250,000 words
         if not rounds or r["size"] > room:
             rounds.append([])
             room = ROUND_BYTES
@@ -272,10 +321,10 @@ def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
         room -= r["size"]
     found = []
     for firsts in rounds:
-        own = shards.where((F.col("first") >= firsts[0]) & (F.col("first") <= firsts[-1])).select("trie")
-        shared = spark.sparkContext.broadcast([bytes(r["trie"]) for r in own.collect()])
+        own = shards.where((F.col("first") >= firsts[0]) & (F.col("first") <= firsts[-1])).select("shard")
+        shared = spark.sparkContext.broadcast([bytes(r["shard"]) for r in own.collect()])
         # dealt out by a hash, as words that lie together take alike long
-        part = words.select("word").repartition(F.xxhash64("word")).mapInArrow(lambda batches: _searched(batches, shared.value), "word string, n_near long, best_n long, best string")  # noqa: B023
+        part = words.select("word").repartition(max(1, -(-n // TASK_WORDS)), F.xxhash64("word")).mapInArrow(lambda batches: _searched(batches, shared.value), "word string, n_near long, best_n long, best string")  # noqa: B023
         found.append(scratch.keep(part))
         shared.destroy()
     if not found:
