@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexweave.functions import geometry, sequence
-from plexweave.operators import assign, fuzzy, ibu, mapping
+from plexweave.operators import assign, droplets, fuzzy, ibu, mapping
 from plexweave.plans import fixtures as fx
 from plexweave.plans import workflow
 from plexweave.sources import sinks
@@ -481,6 +481,117 @@ def droplet_filter_ambient(spark, d):
     return _droplets(spark, d, ambient_most=600)
 
 
+#: Each step works out both parts of every guide anew from its bins; the last step's are the fit.
+_MIXTURE = f"""mc as ({_RAISED}), mk as (select * from mc where barcode in (select barcode from mc group by 1 having sum(count) >= 3)),
+  mo as (select * from mk where index in (select index from mk group by 1 having sum(count) >= 5)),
+  mb as (select index, ln(count) as x, count(*)::double as n from mo group by index, count),
+  m0 as (select index, sum(n) as cells, min(x) as low, max(x) as high, sum(n * x) / sum(n) as mean from mb group by 1 having count(*) > 1),
+  em as (select m.index, 0 as k, 0.5::double as s, any_value(low) as l, any_value(high) as h, sum(n * (x - mean) ** 2) / any_value(cells) + 0.001 as vl, sum(n * (x - mean) ** 2) / any_value(cells) + 0.001 as vh
+      from m0 m join mb using (index) group by m.index
+    union all select index, k + 1, u / (u + d), dx / d, ux / u, (dxx - dx * dx / d) / d + 0.001, (uxx - ux * ux / u) / u + 0.001 from (
+      select index, any_value(k) as k, sum(n * p) as u, sum(n * (1 - p)) as d, sum(n * p * x) as ux, sum(n * (1 - p) * x) as dx, sum(n * p * x * x) as uxx, sum(n * (1 - p) * x * x) as dxx
+      from (select e.index, k, x, n, 1 / (1 + exp(-(ln(s / (1 - s)) + ln(vl / vh) / 2 - (x - h) ** 2 / (2 * vh) + (x - l) ** 2 / (2 * vl)))) as p from em e join mb on mb.index = e.index where k < 300) group by index)),
+  fit as (select * from em where k = 300)"""
+
+
+@query(f"with recursive {_MIXTURE} select index, round(s, 6) as share, round(l, 6) as mean_low, round(h, 6) as mean_high, round(vl, 6) as var_low, round(vh, 6) as var_high from fit")
+def guide_mixtures(spark, d):
+    rows = assign._frequent(_guide_counts(spark, d, True), 3, 5, [])
+    return assign.guide_mixtures(rows).select("index", *(F.round(c, 6).alias(c) for c in ("share", "mean_low", "mean_high", "var_low", "var_high")))
+
+
+@query(
+    f"""with recursive {_MIXTURE}, pp as (select barcode, index, count, l, 1 / (1 + exp(-(ln(s / (1 - s)) + ln(vl / vh) / 2 - (ln(count) - h) ** 2 / (2 * vh) + (ln(count) - l) ** 2 / (2 * vl)))) as p
+      from mo join fit using (index)) select barcode, index, count, round(p, 6) as posterior from pp where p > 0.5 and ln(count) > l"""
+)
+def guide_assign_mixture(spark, d):
+    return assign.assign_by_mixture(_guide_counts(spark, d, True)).withColumn("posterior", F.round("posterior", 6))
+
+
+def _good_turing(counts: str, lower: int) -> str:
+    """CTEs ending in `share` (index, share): simple Good-Turing estimates over windows, the line by a regression."""
+    return f"""gc as ({counts}), t as (select barcode, sum(count)::bigint as total from gc group by 1),
+      am as (select g.index, coalesce(sum(case when total <= {lower} then count end), 0) as a from gc g join t using (barcode) group by g.index),
+      ff as (select a as r, count(*)::double as n from am where a > 0 group by 1),
+      sp as (select r, n, coalesce(lag(r) over w, 0) as b, lead(r) over w as e from ff window w as (order by r)),
+      zz as (select r, n, ln(r) as x, ln(2 * n / (coalesce(e, 2 * r - b) - b)) as y from sp),
+      ln as (select coalesce(regr_slope(y, x), -1) as slope from zz),
+      cl as (select z.r, z.n, z.r * (1 + 1 / z.r) ** (slope + 1) as smooth, (z.r + 1) * coalesce(f.n, 0) / z.n as raw, coalesce(f.n, 0) as n1 from zz z cross join ln left join ff f on f.r = z.r + 1),
+      st as (select *, min((n1 > 0 and abs(smooth - raw) > 1.96 * sqrt((r + 1) ** 2 * n1 / n ** 2 * (1 + n1 / n)))::int) over (order by r) as as_is from cl),
+      ad as (select r, n, case when as_is = 1 then raw else smooth end as rs from st),
+      tw as (select sum(r * n) as whole, sum(rs * n) as norm, coalesce(sum(case when r = 1 then n end), 0) / sum(r * n) as p1, (select count(*) from am where a = 0) as zeros from ad),
+      un as (select *, case when zeros = 0 then 0 when p1 > 0 and p1 < 1 then p1 else 1 / (1 + whole) end as unseen from tw),
+      share as (select am.index, case when am.a = 0 then unseen / zeros else (1 - unseen) * rs / norm end as share from am cross join un left join ad on ad.r = am.a)"""
+
+
+@query(f"with {_good_turing(_GUIDE_COUNTS, 600)} select index, round(share, 9) as share from share")
+def ambient_profile(spark, d):
+    return droplets.ambient_profile(_guide_counts(spark, d), lower=600).withColumn("share", F.round("share", 9))
+
+
+#: A profile with genes that no ambient barcode has, and others seen once.
+_RARE = f"select barcode, index, count from ({_GUIDE_COUNTS}) where (barcode * 31 + index * index) % 7 < index % 8"
+
+
+@query(f"with {_good_turing(_RARE, 350)} select index, round(share, 9) as share from share")
+def ambient_profile_rare(spark, d):
+    rows = _guide_counts(spark, d).where("(barcode * 31 + index * index) % 7 < index % 8")
+    return droplets.ambient_profile(rows, lower=350).withColumn("share", F.round("share", 9))
+
+
+@query(
+    f"""with {_good_turing(_GUIDE_COUNTS, 600)} select barcode, sum(count)::bigint as total,
+      round(sum(lgamma(count + 50 * share) - lgamma(50 * share) - lgamma(count + 1)), 6) as loglik from gc join share using (index) group by barcode"""
+)
+def droplet_likelihoods(spark, d):
+    counts = _guide_counts(spark, d)
+    return droplets.likelihoods(counts, droplets.ambient_profile(counts, lower=600), 50.0).withColumn("loglik", F.round("loglik", 6))
+
+
+@query(
+    """with n as (select total, count(*)::double as n from (select l_suppkey, l_linenumber, count(*) as total from lineitem where l_suppkey % 7 > l_linenumber % 3 group by all) where total > 10 group by total),
+      c as (select total, log10(sum(n) over (order by total desc) - (n - 1) / 2) as x, log10(total) as y, row_number() over (order by total desc) as i from n),
+      s as (select i, (lead(y) over w - y) / (lead(x) over w - x) as slope from c window w as (order by i)),
+      e as (select arg_min(i, struct_pack(s := slope, i := i)) + 1 as stop from s where slope is not null),
+      a as (select * from c where i = 1), z as (select c.* from c, e where i = stop),
+      h as (select c.total, c.i, (c.y - a.y) * (z.x - a.x) - (z.y - a.y) * (c.x - a.x) as height from c, a, z, e where c.i <= stop)
+      select arg_max(total, struct_pack(h := height, i := -i))::bigint as knee from h"""
+)
+def droplet_knee(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey % 7 > l_linenumber % 3")
+    totals = lines.groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("total")).withColumnRenamed("l_suppkey", "barcode")
+    return droplets.knee_points(totals, lower=10)
+
+
+#: Two genes: then a droplet is the number of its molecules of the second, and all droplets of a total can be listed.
+_TWO = f"select barcode, index % 2 as index, sum(count * case when barcode % 10 = 3 and index % 2 = 1 then 8 else 1 end)::bigint as count from ({_GUIDE_COUNTS}) group by all"
+
+
+@query(
+    f"""with {_good_turing(_TWO, 600)}, sh as (select max(case when index = 1 then share end) * 200 as a1, max(case when index = 0 then share end) * 200 as a0 from share),
+      ob as (select barcode, total, coalesce(max(case when index = 1 then count end), 0) as k from gc join t using (barcode) where total > 600 group by all),
+      dm as (select total, j, lgamma(j + a1) - lgamma(a1) - lgamma(j + 1) + lgamma(total - j + a0) - lgamma(a0) - lgamma(total - j + 1) as l, a0, a1
+        from (select total, unnest(range(total + 1)) as j from (select distinct total from ob)), sh),
+      pr as (select *, exp(l + lgamma(total + 1) + lgamma(200) - lgamma(total + 200)) as p from dm),
+      ex as (select ob.barcode, ob.total, sum(case when x.l <= o.l + 1e-9 * abs(o.l) then x.p else 0 end) as p from ob join pr o on o.total = ob.total and o.j = ob.k join pr x on x.total = ob.total group by all),
+      rk as (select *, count(*) over (order by p range unbounded preceding) as r, count(*) over () as c from ex),
+      bh as (select *, min(least(1, p * c / r)) over (order by p desc range unbounded preceding) as q from rk)
+      select barcode, total, q <= 0.01 as is_cell from bh"""
+)
+def empty_drops_two(spark, d):
+    """Cells by simulation; the SQL lists all droplets of each total."""
+    counts = _guide_counts(spark, d)
+    raised = F.when((F.col("barcode") % 10 == 3) & (F.col("index") % 2 == 1), 8).otherwise(1)
+    two = counts.groupBy("barcode", (F.col("index") % 2).alias("index")).agg(F.sum(F.col("count") * raised).cast("long").alias("count"))
+    return droplets.empty_drops(two, lower=600, retain=None, alpha=200.0).select("barcode", "total", "is_cell")
+
+
+@query()
+def empty_drops(spark, d):
+    """Without SQL: the overdispersion is fitted, and p values are simulated; tests hold both against exact values."""
+    return droplets.empty_drops(_guide_counts(spark, d, True), lower=700)
+
+
 def _pipeline_oracle(kind: str) -> str:
     fixed = f"select alias, barcode, index, corrected as umi, n from uc"
     return f"""with recursive {_flags_oracle(kind)}, rc as ({_RECORDS}), big as (select alias from rc group by alias having sum(n_reads) >= 1000),

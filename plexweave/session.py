@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +25,24 @@ def ship(spark: SparkSession) -> None:
             out.write(source, str(source.relative_to(package.parent)))
     context.addPyFile(str(target))
     context._plexweave_shipped = True
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet and read again, so that what follows does not work it out anew for each use.
+
+    It goes to the folder that spark.checkpoint.dir names, which the driver and all executors share, and is deleted when
+    Spark ends. A local run without that setting uses a folder of its own; on a cluster the setting must be there.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = getattr(context, "_plexweave_folder", None) or tempfile.mkdtemp(prefix="plexweave-")
+        context._plexweave_folder = root
+    folder = f"{root.rstrip('/')}/plexweave-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
