@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from plexweave.functions import geometry
 from plexweave.operators import ibu
-from plexweave.operators.mapping import Libraries, flagged, records, statistics
+from plexweave.operators.mapping import Libraries, flagged, summarised, summary_inputs, summary_records, summary_statistics
 from plexweave.plans import workflow
+from plexweave.session import kept
 from plexweave.sources import download, libraries, sinks
 
 
@@ -39,11 +40,12 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("-f", "--force", action="store_true")
             p.add_argument("--min-ibu-records", type=int, default=1000)
             if command == "workflow":
-                for flag in ("--skip-umi", "--skip-reads", "--no-filter", "--keep-ibu", "--skip-assignment"):
+                for flag in ("--skip-umi", "--skip-reads", "--no-filter", "--keep-unfiltered", "--keep-ibu", "--skip-assignment"):
                     p.add_argument(flag, action="store_true")
                 p.add_argument("-F", "--format", choices=("mtx", "tsv"), default="mtx")
                 if kind == "crispr":
-                    p.add_argument("--min-umi-cells", type=int, default=5)
+                    p.add_argument("--assignment-mode", choices=("tests", "mixture"), default="tests")
+                    p.add_argument("--min-umi-cells", type=int, help="5, or 3 for mixtures")
                     p.add_argument("--min-umi-guides", type=int, default=5)
                     p.add_argument("--log-odds-ratio", type=float)
                     p.add_argument("--fdr-threshold", type=float, default=0.05)
@@ -93,46 +95,73 @@ def _map(spark: SparkSession, a: argparse.Namespace) -> None:
 
     def save(name: str, rows: DataFrame) -> DataFrame:
         with timings.stage(workflow.STAGES[name]):
+            if name in ("mapped", "clusters"):
+                return kept(rows)
             sinks.write_records(rows, str(folder / name))
         return spark.read.schema(rows.schema).parquet(str(folder / name))
 
     if a.command == "map":
-        flags = flagged(reads, shape, libs, window, a.exact, not a.no_umi_qual_check)
-        save("ibu", ibu.keep_large(records(flags), at_least=a.min_ibu_records))
-        _write_statistics(flags, reads, shape, window, libs, a.exact, folder, log)
+        mapped = save("mapped", summarised(flagged(reads, shape, libs, window, a.exact, not a.no_umi_qual_check)))
+        save("ibu", ibu.keep_large(summary_records(mapped), at_least=a.min_ibu_records))
+        _write_statistics(mapped, timings, shape, window, libs, a, folder, log)
         timings.write(folder)
         return
     crispr = a.kind == "crispr"
-    options = {"min_umi_cells": a.min_umi_cells, "min_umi_guides": a.min_umi_guides, "fdr": a.fdr_threshold, "min_log_odds": a.log_odds_ratio} if crispr else {}
+    options = {}
+    if crispr:
+        mixture = a.assignment_mode == "mixture"
+        least = a.min_umi_cells if a.min_umi_cells is not None else 3 if mixture else 5
+        options = {"mixture": mixture, "min_umi_cells": least, "min_umi_guides": a.min_umi_guides, "min_log_odds": a.log_odds_ratio}
+        options |= {} if mixture else {"fdr": a.fdr_threshold}
     skip_last = a.skip_assignment if crispr else a.no_filter
     done = workflow.run(reads, shape, libs, features, window, a.exact, a.min_ibu_records, a.skip_umi, True, not skip_last, not a.no_umi_qual_check, save=save, **options)
-    found = _write_statistics(done.flags, reads, shape, window, libs, a.exact, folder, log)
+    found = _write_statistics(done.mapped, timings, shape, window, libs, a, folder, log)
     if done.records.isEmpty():
         raise ibu.EmptyStreamError(f"no alias has records enough; {found['mapped_reads']} reads are mapped")
     if not a.skip_umi:
-        sinks.write_json(ibu.umi_stats(ibu.umi_clusters(done.records, workflow.ALIAS)), str(folder / "stats/umi.json"))
+        sinks.write_json(ibu.umi_stats(done.clusters), str(folder / "stats/umi.json"))
     if not a.skip_reads:
         with timings.stage(workflow.STAGES["reads"]):
             sinks.write_tsv(ibu.reads_per_barcode(done.corrected, by=workflow.ALIAS), str(folder / "reads"), header=True)
     with timings.stage(workflow.STAGES["units"]):
-        if a.format == "tsv":
-            sinks.write_tsv(workflow.suffixed(ibu_decoded(done.counts, 16)).select("barcode", "gene", "count"), str(folder / "counts"))
-        else:
-            for alias in [r["alias"] for r in done.records.select("alias").distinct().collect()]:  # as many as there are probes
-                sinks.write_matrix(done.counts.where(F.col("alias") == alias), str(folder / "counts" / alias), suffix=None if alias == "output" else alias)
+        aliases = {r["alias"] for r in done.records.select("alias").distinct().collect()}  # as many as there are probes
+        whole = aliases
+        if not crispr and not a.no_filter:
+            celled = {r["alias"] for r in done.final.where("is_cell").select("alias").distinct().collect()}
+            for alias in sorted(aliases - celled):
+                log.warning("no cells in %s: its counts are kept unfiltered", alias)
+            _write_counts(done.filtered(), celled, folder / "filtered", a.format)
+            whole = aliases if a.keep_unfiltered else aliases - celled
+        _write_counts(done.counts, whole, folder / "counts", a.format)
     if not a.keep_ibu:
         for name in ("ibu", "corrected", "units"):
             shutil.rmtree(folder / name, ignore_errors=True)
     timings.write(folder)
 
 
-def _write_statistics(flags: DataFrame, reads: DataFrame, shape: geometry.Geometry, window: int, libs: Libraries, exact: bool, folder: Path, log: logging.Logger) -> dict:
-    """stats/mapping.json, library.json and run.json: reasons of reads, what was searched and where, and reads by input."""
-    found = sinks.write_json(statistics(flags), str(folder / "stats/mapping.json"))
-    sinks.write_json_rows(libs.statistics(shape, window, exact), str(folder / "stats/library.json"))
-    inputs = reads.groupBy("input_id").agg(F.count("*").alias("reads")).orderBy("input_id") if "input_id" in reads.columns else reads.agg(F.count("*").alias("reads"))
-    sinks.write_json_rows([r.asDict() for r in inputs.collect()], str(folder / "stats/run.json"))  # a row for each pair of files
-    log.info("mapped %s of %s reads", found["mapped_reads"], found["total_reads"])
+def _write_counts(counts: DataFrame, aliases: set[str], folder: Path, form: str) -> None:
+    """Tables of all of `aliases`, or a matrix for each; nothing where there are none."""
+    if not aliases:
+        return
+    if form == "tsv":
+        own = counts.where(F.col("alias").isin(sorted(aliases)))
+        sinks.write_tsv(workflow.suffixed(ibu_decoded(own, 16)).select("barcode", "gene", "count"), str(folder))
+        return
+    for alias in sorted(aliases):
+        sinks.write_matrix(counts.where(F.col("alias") == alias), str(folder / alias), suffix=None if alias == "output" else alias)
+
+
+def _write_statistics(mapped: DataFrame, timings: workflow.Timings, shape: geometry.Geometry, window: int, libs: Libraries, a: argparse.Namespace, folder: Path, log: logging.Logger) -> dict:
+    """stats/mapping.json, library.json and run.json: reasons of reads, what was searched and where, and reads by input with
+    the seconds of the mapping, which all inputs share. Nothing here reads the reads again."""
+    found = sinks.write_json(summary_statistics(mapped), str(folder / "stats/mapping.json"))
+    sinks.write_json_rows(libs.statistics(shape, window, a.exact), str(folder / "stats/library.json"))
+    seconds = sum(s for _, stage, s in timings.rows if stage == workflow.STAGES["mapped"])
+    by_input = {r["input_id"]: r for r in summary_inputs(mapped).collect()}  # a row for each pair of files
+    n = len(a.inputs) if all(p.rstrip("/").endswith(".parquet") for p in a.inputs) else len(a.inputs) // 2
+    rows = [{"input_id": k, "reads": by_input[k]["reads"] if k in by_input else 0, "mapped_reads": by_input[k]["mapped_reads"] if k in by_input else 0, "elapsed": seconds} for k in range(n)]
+    sinks.write_json_rows(rows, str(folder / "stats/run.json"))
+    log.info("mapped %s of %s reads in %.1f s", found["mapped_reads"], found["total_reads"], seconds)
     return found
 
 
@@ -153,8 +182,8 @@ def _ibu(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.kind == "sort":
         ibu.sort(rows).write.parquet(a.output)
     elif a.kind == "umi":
-        clusters = ibu.umi_clusters(ibu.weigh(rows))
-        ibu.umi_correct(ibu.weigh(rows)).write.parquet(a.output)
+        clusters = kept(ibu.umi_clusters(ibu.weigh(rows)))
+        ibu.with_corrected(clusters).write.parquet(a.output)
         if a.log:
             sinks.write_json(ibu.umi_stats(clusters), a.log)
     elif a.kind == "reads":

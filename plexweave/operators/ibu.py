@@ -141,10 +141,14 @@ def umi_clusters(weighted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _clusters(batches, keys), schema)
 
 
+def with_corrected(clusters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Records with corrected UMIs, summed up, from their clusters."""
+    return clusters.groupBy(*by, "barcode", F.col("corrected").alias("umi"), "index").agg(F.sum("n_reads").cast("long").alias("n_reads"))
+
+
 def umi_correct(weighted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Records with corrected UMIs, summed up."""
-    clusters = umi_clusters(weighted, by)
-    return clusters.groupBy(*by, "barcode", F.col("corrected").alias("umi"), "index").agg(F.sum("n_reads").cast("long").alias("n_reads"))
+    return with_corrected(umi_clusters(weighted, by), by)
 
 
 def umi_stats(clusters: DataFrame) -> DataFrame:

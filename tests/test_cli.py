@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plexweave import cli
 from plexweave.functions.sequence import decode, encode
@@ -81,7 +82,7 @@ def test_gex_workflow(spark, files):
     assert text(out / "reads")[0].split("\t") == ["alias", "barcode", "n_umis", "n_reads"]
     assert sorted(p.name for p in (out / "ibu").glob("alias=*")) == ["alias=BC001", "alias=BC002"] and (out / ".done").exists()
     timings = (out / ".timings.tsv").read_text().splitlines()
-    assert timings[0] == "ibu_name\tmodule\telapsed" and {t.split("\t")[1] for t in timings[1:]} == {"Mapping", "ReadsDump", "Counting", "DropletFilter"}
+    assert timings[0] == "ibu_name\tmodule\telapsed" and {t.split("\t")[1] for t in timings[1:]} == {"Mapping", "Records", "ReadsDump", "Counting", "DropletFilter"}
     assert "mapped 600 of 602 reads" in (out / "plexweave.log").read_text()
     with pytest.raises(FileExistsError):
         cli.main(["workflow", "gex", *inputs, *flags, "-o", str(out)])
@@ -155,3 +156,55 @@ def test_sources_and_sinks(spark, files, tmp_path):
     assert packed.select(decode(encode(packed["s"]), 16)).first()[0] == BARCODES[0]
     suffixed = workflow.suffixed(spark.createDataFrame([("ACGT", "output"), ("ACGT", "BC1")], "barcode string, alias string"))
     assert sorted(r["barcode"] for r in suffixed.collect()) == ["ACGT", "ACGT-BC1"]
+
+
+def drawn_cells(d, name, n_ambient=60, n_cells=3):
+    """Ambient droplets of a few molecules of all genes, and cells with many of two; their barcodes."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    barcodes = [letters(16) for _ in range(n_ambient + n_cells)]
+    (d / f"{name}.white").write_text("\n".join(barcodes) + "\n")
+    pairs = []
+    for k, b in enumerate(barcodes):
+        genes = GENES if k < n_ambient else GENES[:2]
+        pairs += [(b + letters(12), rng.choice(genes) + letters(18) + PROBES[k % 2][0]) for _ in range(20 if k < n_ambient else 200)]
+    fastq(d / f"{name}_R1.fastq", [x for x, _ in pairs])
+    fastq(d / f"{name}_R2.fastq", [y for _, y in pairs])
+    return barcodes[n_ambient:], len(pairs)
+
+
+def test_counts_of_cells_only_and_reads_read_once(spark, files, monkeypatch):
+    d, _, _ = files
+    cells, n = drawn_cells(d, "cells")
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        times.add(1)
+        return x
+
+    seen = seen.asNondeterministic()
+    plain = libraries.reads
+    monkeypatch.setattr(libraries, "reads", lambda s, paths: plain(s, paths).withColumn("r1_seq", seen("r1_seq")))
+    inputs = [str(d / "cells_R1.fastq"), str(d / "cells_R2.fastq")]
+    flags = ["-c", str(d / "genes.tsv.gz"), "-w", str(d / "cells.white"), "-p", str(d / "probes.txt"), "--min-ibu-records", "10", "-F", "tsv"]
+    cli.main(["workflow", "gex", *inputs, *flags, "-o", str(d / "of_cells")])
+    assert times.value == n
+    barcodes = lambda folder: {line.split("\t")[0].split("-")[0] for line in text(folder)}
+    assert barcodes(d / "of_cells/filtered") == set(cells) and not (d / "of_cells/counts").exists()
+    run = json.loads((d / "of_cells/stats/run.json").read_text())
+    assert [(x["input_id"], x["reads"], x["mapped_reads"]) for x in run] == [(0, n, n)] and run[0]["elapsed"] > 0
+    cli.main(["workflow", "gex", *inputs, *flags, "-o", str(d / "of_all"), "--keep-unfiltered"])
+    assert len(barcodes(d / "of_all/counts")) == 63 and barcodes(d / "of_all/filtered") == set(cells)
+
+
+def test_unprobed_reads_and_mixtures(spark, files):
+    d, pairs, crispr = files
+    inputs = [str(d / "a_R1.fastq"), str(d / "a_R2.fastq")]
+    flags = ["-w", str(d / "white.txt"), "--min-ibu-records", "1"]
+    cli.main(["map", "gex", *inputs, *flags, "-c", str(d / "genes.tsv.gz"), "-g", "[barcode][umi:12] | [gex]", "-o", str(d / "unprobed")])
+    rows = spark.read.parquet(str(d / "unprobed/ibu")).collect()
+    assert {r["alias"] for r in rows} == {"output"} and sum(r["n_reads"] for r in rows) == 300
+    inputs = [str(d / "c_R1.fastq"), str(d / "c_R2.fastq")]
+    cli.main(["workflow", "crispr", *inputs, *flags, "-p", str(d / "probes.txt"), "-c", str(d / "guides.tsv"), "-o", str(d / "mixed"), "--assignment-mode", "mixture", "--skip-umi"])
+    assert {"posterior", "barcode", "index", "count", "alias"} == set(spark.read.parquet(str(d / "mixed/assignments")).columns)
