@@ -7,12 +7,13 @@ networks that learned from the other folds of the sample calibrate the score and
 the threshold for rejecting, which few rows move little from that of all languages. For scoring, each word's share of
 each filter is worked out once, so that a text takes only sums and maxima.
 
-Texts of the sample are split into words where they lie; the driver gets a 32-bit hash for each word, and the features
-of each distinct one.
+Texts of the sample are split into words where they lie: what is kept of them is a 32-bit hash for each word, and the
+features of each distinct one. Each network is trained by a task of its own; the driver gets the last one and the scores.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import bound_batches, held_out
+from plexweave.llm.common import bound_batches, checkpointed, held_out
 
 #: Labelled rows and characters learned from at most, about: rows are taken by a hash of their ids.
 SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 40_000_000
@@ -254,22 +255,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = rows.join(F.broadcast(drawn), "id").where(part < share)
     bound_batches(docs.sparkSession)
     sample = drawn.select(F.col("id").cast("string").alias("id"), (F.col("toxic") != 0).cast("int").alias("toxic"), "lang", "text").mapInArrow(_hashed, "id string, toxic int, lang string, words binary, known binary")
-    texts, y, langs, fold, buckets = _learnable(sample.toArrow())
-    pa.default_memory_pool().release_unused()
-    if not len(y):
+    # each network is one task's work, over the whole sample, which is bounded
+    copies = checkpointed(sample).withColumn("net", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    rows = copies.repartitionByRange(FOLDS + 1, "net").groupBy("net").applyInArrow(_trained, _TRAINED).collect()
+    if not rows:
         net = Network.fresh()
         net.out = np.zeros_like(net.out)
         return net
-    output = np.zeros(len(y))
-    for k in np.unique(fold).tolist():
-        rest = fold == k
-        part_net = train([t for t, r in zip(texts, rest) if not r], y[~rest], buckets) if not rest.all() else Network.fresh()
-        output[rest] = _outputs_of(part_net, buckets, [t for t, r in zip(texts, rest) if r])
-    net = train(texts, y, buckets)
-    calibrate(net, output, y, langs)
+    net = next(pickle.loads(r["network"]) for r in rows if r["network"] is not None)  # noqa: S301
+    scored_rows = sorted((x for r in rows for x in zip(r["place"], r["output"], r["label"], r["lang"])), key=lambda x: x[0])
+    _, output, y, langs = zip(*scored_rows)
+    calibrate(net, np.array(output), np.array(y, np.float32), list(langs))
     return net
 
 
+_TRAINED = "network binary, place array<int>, output array<double>, label array<float>, lang array<string>"
+
+
+def _trained(key: tuple, sample: pa.Table) -> pa.Table:
+    """For a fold's number, the outputs of a network that learned from the other folds, with the rows' places in the order
+    of ids; for the number after these, the network that learned from all rows."""
+    number = key[0].as_py()
+    texts, y, langs, fold, buckets = _learnable(sample)
+    kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float32()), pa.list_(pa.string()))
+    made = lambda *row: pa.table([pa.array([x], t) for x, t in zip(row, kinds)], ["network", "place", "output", "label", "lang"])
+    if number == FOLDS:
+        return made(pickle.dumps(train(texts, y, buckets)), [], [], [], [])
+    rest = fold == number
+    if not rest.any():
+        return made(None, [], [], [], [])
+    net = train([t for t, r in zip(texts, rest) if not r], y[~rest], buckets) if not rest.all() else Network.fresh()
+    output = _outputs_of(net, buckets, [t for t, r in zip(texts, rest) if r])
+    return made(None, np.flatnonzero(rest), output, y[rest], [x for x, r in zip(langs, rest) if r])
+
+
 #: A word's hash and the buckets of its features.
 _KNOWN = np.dtype([("word", "<u4"), ("features", "<u2", FEATURES)])
 
