@@ -98,9 +98,12 @@ def reads(spark: SparkSession, paths: list[str]) -> DataFrame:
     if all(p.rstrip("/").endswith(".parquet") for p in paths):
         parts = (spark.read.parquet(p).withColumn("input_id", F.lit(k)) for k, p in enumerate(paths))
         return reduce(DataFrame.unionByName, parts)
-    from plexweave.sources.fastq import FastqPairs
+    from plexweave.sources.fastq import FastqPairs, is_text, split_reads
 
     if len(paths) % 2:
         raise ValueError("an even number of sequence files is needed")
+    if all(is_text(spark, p) for p in paths):
+        return split_reads(spark, paths)
+    ship(spark)
     spark.dataSource.register(FastqPairs)
     return spark.read.format("fastq_pair").option("paths", "\n".join(paths)).load()

@@ -1,4 +1,5 @@
 import gzip
+import random
 import tarfile
 
 import pytest
@@ -6,7 +7,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from plexweave.functions import sequence
-from plexweave.sources import download, libraries, sinks
+from plexweave.sources import download, fastq, libraries, sinks
 
 
 def test_fastq_pairs(spark, tmp_path):
@@ -67,3 +68,58 @@ def test_unpack(tmp_path):
     out = tmp_path / "out"
     assert download.unpack(str(tmp_path / "r.tar.gz"), str(out), "v1") and not download.unpack(str(tmp_path / "r.tar.gz"), str(out), "v1")
     assert (out / "x.txt").read_text() == "1" and not (out / "._x.txt").exists()
+
+
+@pytest.fixture
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def write_pairs(folder, name, n, seed, end="\n"):
+    """Two files of `n` records whose lengths differ, and what they hold."""
+    rng = random.Random(seed)
+    letters = lambda k, of="ACGTN": "".join(rng.choice(of) for _ in range(k))
+    rows = []
+    for _ in range(n):
+        a, b = letters(rng.randint(0, 40)), letters(rng.randint(1, 90))
+        rows.append((a, b, letters(len(a), "@+I#"), letters(len(b), "@+I#")))
+    for side in (0, 1):
+        text = "".join(f"@r{k} {side}{end}{r[side]}{end}+{'again' * (k % 2)}{end}{r[side + 2]}{end}" for k, r in enumerate(rows))
+        (folder / f"{name}_R{side + 1}.fastq").write_text(text + (end if side else ""), newline="")
+    return [str(folder / f"{name}_R1.fastq"), str(folder / f"{name}_R2.fastq")], rows
+
+
+def test_one_pair_of_files_is_read_by_many_tasks(spark, tmp_path, small_blocks):
+    first, rows = write_pairs(tmp_path, "a", 300, 1)
+    second, more = write_pairs(tmp_path, "b", 40, 2, "\r\n")
+    assert spark.read.text(first[0]).rdd.getNumPartitions() > 10
+    found = libraries.reads(spark, first + second)
+    expected = [(*r, 0) for r in rows] + [(*r, 1) for r in more]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    lines = fastq.numbered_lines(spark, [first[1]]).collect()
+    assert [x["value"] for x in sorted(lines, key=lambda x: x["line"])] == open(first[1]).read().splitlines()
+
+
+def test_faults_of_sequence_files(spark, tmp_path, small_blocks):
+    (r1, r2), _ = write_pairs(tmp_path, "a", 60, 3)
+    text = open(r1).read()
+    faults = {"cut off": text[: text.rindex("\n", 0, -1)], "not a FASTQ": text.replace("+\n", "-\n", 1), "differ": "".join(text.splitlines(True)[:-4]), "neither": text.replace("\n@r7 ", "\n#r7 ")}
+    for what, changed in faults.items():
+        (tmp_path / "bad.fastq").write_text(changed)
+        with pytest.raises(Exception, match=what):
+            libraries.reads(spark, [str(tmp_path / "bad.fastq"), r2]).collect()
+
+
+def test_files_for_either_reader(spark, tmp_path):
+    (r1, r2), rows = write_pairs(tmp_path, "a", 20, 4)
+    for name in ("x.fastq.gz", "hidden.fastq"):  # gzip by its name, and by its bytes only
+        with gzip.open(tmp_path / name, "wt") as f:
+            f.write(open(r2).read().removesuffix("\n"))
+        assert fastq.is_text(spark, str(tmp_path / name)) == name.endswith("gz")
+        assert sorted(map(tuple, libraries.reads(spark, [r1, str(tmp_path / name)]).collect())) == sorted((*r, 0) for r in rows)
+    for name in ("a.fa", "b.fa"):
+        (tmp_path / name).write_text(">r\nAC\nGT\n>s\nT\n")
+    found = libraries.reads(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fa")]).collect()
+    assert sorted((r["r1_seq"], r["r2_seq"], r["r1_qual"]) for r in found) == [("ACGT", "ACGT", None), ("T", "T", None)]
