@@ -155,10 +155,15 @@ def lookup(reads: DataFrame, name: str, sequence: Column, start: Column | int, r
         plan = plan_for(reference.count() if n is None else n, length, exact)
     if plan in ("variants", "parts"):
         return _searched(reads, name, at, shifts, sequence, length, Index(reference, length, exact, plan).hits)
-    # distinct segments of all shifts are matched once, and each shift is one join with the result
-    cuts = reads.select("*", *(piece(sequence, at + s, length).alias(f"__{name}_{k}") for k, s in enumerate(shifts)))
+    return _by_segments(reads, name, at, shifts, sequence, length, lambda segments: match(segments, reference, length, exact, plan))
+
+
+def _by_segments(reads: DataFrame, name: str, start: Column, shifts: list[int], sequence: Column, length: int, matcher) -> DataFrame:
+    """`reads` with `name` and `name`_shift, for references too large to broadcast: the distinct segments of all shifts are
+    matched once (`matcher` makes seg, idx of seg), and each shift is one join with the result."""
+    cuts = reads.select("*", *(piece(sequence, start + s, length).alias(f"__{name}_{k}") for k, s in enumerate(shifts)))
     segments = cuts.select(F.explode(F.array(*(f"__{name}_{k}" for k in range(len(shifts))))).alias("seg")).where("seg is not null").distinct()
-    matched = match(segments, reference, length, exact, plan)
+    matched = matcher(segments)
     for k in range(len(shifts)):
         cuts = cuts.join(matched.select(F.col("seg").alias(f"__{name}_{k}"), F.col("idx").alias(f"__{name}_i{k}")), f"__{name}_{k}", "left")
     hits = [F.col(f"__{name}_i{k}") for k in range(len(shifts))]
@@ -166,18 +171,34 @@ def lookup(reads: DataFrame, name: str, sequence: Column, start: Column | int, r
     return cuts.select(*reads.columns, F.coalesce(*hits).alias(name) if len(hits) > 1 else hits[0].alias(name), shift.alias(f"{name}_shift"))
 
 
+def _match_split(segments: DataFrame, library: DataFrame, length: int, budget: int) -> DataFrame:
+    """seg, idx: distinct `segments` (seg) judged by both halves, as shuffled joins of distinct halves with those of the library."""
+    half = length // 2
+    found = segments.withColumns({"l": F.substring("seg", 1, half), "r": F.substring("seg", half + 1, length - half)})
+    for side, start, size in (("l", 1, half), ("r", half + 1, length - half)):
+        own = match_by_halves(found.select(F.col(side).alias("seg")).distinct(), library.select("idx", F.substring("seq", start, size).alias("seq")), size)
+        found = found.join(own.select(F.col("seg").alias(side), F.col("idx").alias(f"{side}_idx")), side, "left")
+    whole = library.groupBy(F.col("idx").alias("single")).agg(F.min("seq").alias("ref"))
+    one = F.when(F.col("l_idx").isNull() | F.col("r_idx").isNull(), F.coalesce("l_idx", "r_idx"))
+    found = found.where("l_idx is not null or r_idx is not null").withColumn("single", one).join(whole, "single", "left")
+    hit = F.when(F.col("l_idx") == F.col("r_idx"), F.col("l_idx")).when(F.col("ref").isNotNull() & (hamming(F.col("seg"), F.col("ref")) <= budget), F.col("single"))
+    return found.select("seg", hit.alias("idx")).where("idx is not null")
+
+
 def split_match(reads: DataFrame, name: str, sequence: Column, start: int, reference: DataFrame, length: int, window: int = 0, budget: int = 3, n: int | None = None) -> DataFrame:
     """`reads` with `name`: both halves of a long segment looked up on their own, each with at most one mismatch.
 
     Halves that agree are accepted and halves that disagree rejected. A half that matches alone is accepted if the other
     half has no more mismatches than `budget` less its own. Shifts are tried in order; both halves lie at one shift. The
-    library is broadcast and must have no more than BROADCAST_SEQUENCES sequences.
+    library is broadcast up to BROADCAST_SEQUENCES sequences; beyond that distinct segments are joined with it, which gives
+    the same.
     """
     half = length // 2
     lib = reference.where("seq is not null")
     n = lib.count() if n is None else n
     if n > BROADCAST_SEQUENCES:
-        raise ValueError(f"a library of split sequences has {BROADCAST_SEQUENCES} at most, found {n}")
+        by_parts = lambda segments: _match_split(segments, lib.select("idx", "seq"), length, budget)
+        return _by_segments(reads, name, F.lit(start), offsets(window), sequence, length, by_parts).drop(f"{name}_shift")
     left = Index(lib.select("idx", F.substring("seq", 1, half).alias("seq")), half, False, plan_for(n, half))
     right = Index(lib.select("idx", F.substring("seq", half + 1, length - half).alias("seq")), length - half, False, plan_for(n, length - half))
     whole = F.broadcast(lib.groupBy(F.col("idx").alias("__one")).agg(F.min("seq").alias("__ref")))
