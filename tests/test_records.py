@@ -90,3 +90,51 @@ def test_umi_clusters_of_groups_that_cross_batches():
 def test_chain_and_weights(spark):
     rows = spark.createDataFrame([(1, 0b0000, 0, 1), (1, 0b0001, 0, 3), (1, 0b0101, 0, 1)], SCHEMA)
     assert [tuple(r) for r in ibu.umi_correct(rows).collect()] == [(1, 1, 0, 5)]
+
+
+def test_large_groups_by_halves(spark):
+    """Groups over the limit give what arrays give, next to groups below it, with null keys among them."""
+    rng = random.Random(11)
+    rows = [(a, b, u, 0, rng.randint(1, 4)) for a in ("x", None) for b in range(4) for u in rng.sample(range(4**5), 30 + 130 * b)]
+    table = spark.createDataFrame(rows, f"alias string, {SCHEMA}")
+    take = lambda df: {(r["alias"], r["barcode"], r["umi"]): (r["n_reads"], r["corrected"]) for r in df.collect()}
+    plain = take(ibu.umi_clusters(table, ("alias",)))
+    assert len(plain) == len(rows) and take(ibu.umi_clusters(table, ("alias",), group_rows=100)) == plain
+    # a chain that changes halves at every step
+    umi, chain = 0, []
+    for k in range(10):
+        umi ^= (1 + k % 3) << 2 * (k % 2 * 4 + k // 2 % 4)
+        chain.append(umi)
+    one = spark.createDataFrame([(1, u, 0, 1) for u in set(chain)], SCHEMA)
+    assert {r["corrected"] for r in ibu.umi_clusters(one, group_rows=2).collect()} == {max(chain)}
+
+
+def test_headers_and_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = sorted((rng.randint(0, 40), rng.randint(0, 40), rng.randint(0, 3)) for _ in range(2000))
+    table = spark.createDataFrame(rows, "barcode long, umi long, index long")
+    head = ibu.Header(8, 10, is_sorted=True)
+    ibu.with_header(ibu.sort(table), head).write.parquet(str(tmp_path / "sorted"))
+    found = spark.read.parquet(str(tmp_path / "sorted"))
+    assert ibu.header_of(found) == head and ibu.header_of(table) is None
+    assert ibu.common_header([found]) == head and ibu.common_header([found, found]) == ibu.Header(8, 10)
+    assert ibu.common_header([table]) == ibu.Header() and ibu.common_header([table], 8) == ibu.Header(8)
+    for parts, lengths in (([found, ibu.with_header(table, ibu.Header())], ()), ([found], (9,)), ([found], (8, 12))):
+        with pytest.raises(ValueError, match="header"):
+            ibu.common_header(parts, *lengths)
+    ibu.require_sorted(found)
+    # order within each alias, in many files of many batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        two = [(a, *r) for a in ("x", "y") for r in rows]
+        spark.createDataFrame(two, "alias string, barcode long, umi long, index long").repartitionByRange(6, "alias", "barcode", "umi", "index").sortWithinPartitions("alias", "barcode", "umi", "index").write.partitionBy("alias").parquet(str(tmp_path / "two"))
+        ibu.require_sorted(spark.read.parquet(str(tmp_path / "two")))
+        for name, broken in (("swapped", [*rows[:900], rows[901], rows[900], *rows[902:]]), ("rotated", rows[1000:] + rows[:1000])):
+            assert broken != rows
+            spark.createDataFrame(broken, table.schema).write.parquet(str(tmp_path / name))
+            with pytest.raises(ibu.UnsortedError, match="not sorted"):
+                ibu.require_sorted(spark.read.parquet(str(tmp_path / name)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    table.limit(0).write.parquet(str(tmp_path / "empty"))
+    ibu.require_sorted(spark.read.parquet(str(tmp_path / "empty")))
