@@ -6,6 +6,7 @@ import argparse
 import itertools
 import logging
 import shutil
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,13 +57,13 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-o", "--output", required=kind != "view", help="a folder; a view without one goes to standard output")
         p.add_argument("-f", "--features")
         p.add_argument("-C", "--feature-col", type=int, default=1 if kind == "count" else 0)
-        p.add_argument("--bc-len", type=int, default=16)
-        p.add_argument("--umi-len", type=int, default=12)
+        p.add_argument("--bc-len", type=int, help="of tables without a header, 16 if not given; another length than a header's is an error")
+        p.add_argument("--umi-len", type=int, help="as --bc-len, 12 if not given")
         p.add_argument("-w", "--whitelist")
         p.add_argument("-s", "--suffix")
         p.add_argument("-l", "--log")
         p.add_argument("-t", "--ties", choices=("reference", "strict"), default="reference")
-        for flag in ("--mtx", "--decode", "--encoded", "--compressed", "--no-header", "--header-only", "--skip-header"):
+        for flag in ("--mtx", "--decode", "--encoded", "--compressed", "--no-header", "--header-only", "--skip-header", "--index-first", "--require-sorted"):
             p.add_argument(flag, action="store_true")
     p = commands.add_parser("download")
     p.add_argument("-o", "--outdir", required=True)
@@ -91,12 +92,14 @@ def _map(spark: SparkSession, a: argparse.Namespace) -> None:
     folder = workflow.claim_folder(a.outdir, a.force)
     log, timings = workflow.dual_log(str(folder / "plexweave.log")), workflow.Timings()
     reads, shape, window, libs, features = _inputs(spark, a)
+    head = ibu.Header(libs.sizes()["barcode"][1], shape.resolve({})["umi"].length)
     sinks.write_tsv(features.orderBy("index").select("unit", "gene"), str(folder / "metadata/features.tsv"))
 
     def save(name: str, rows: DataFrame) -> DataFrame:
         with timings.stage(workflow.STAGES[name]):
             if name in ("mapped", "clusters"):
                 return kept(rows)
+            rows = ibu.with_header(rows, head) if name in ("ibu", "corrected") else rows
             sinks.write_records(rows, str(folder / name))
         return spark.read.schema(rows.schema).parquet(str(folder / name))
 
@@ -130,25 +133,24 @@ def _map(spark: SparkSession, a: argparse.Namespace) -> None:
             celled = {r["alias"] for r in done.final.where("is_cell").select("alias").distinct().collect()}
             for alias in sorted(aliases - celled):
                 log.warning("no cells in %s: its counts are kept unfiltered", alias)
-            _write_counts(done.filtered(), celled, folder / "filtered", a.format)
+            _write_counts(done.filtered(), celled, folder / "filtered", a.format, head.bc_len)
             whole = aliases if a.keep_unfiltered else aliases - celled
-        _write_counts(done.counts, whole, folder / "counts", a.format)
+        _write_counts(done.counts, whole, folder / "counts", a.format, head.bc_len)
     if not a.keep_ibu:
         for name in ("ibu", "corrected", "units"):
             shutil.rmtree(folder / name, ignore_errors=True)
     timings.write(folder)
 
 
-def _write_counts(counts: DataFrame, aliases: set[str], folder: Path, form: str) -> None:
+def _write_counts(counts: DataFrame, aliases: set[str], folder: Path, form: str, bc_len: int) -> None:
     """Tables of all of `aliases`, or a matrix for each; nothing where there are none."""
     if not aliases:
         return
+    own = counts.where(F.col("alias").isin(sorted(aliases)))
     if form == "tsv":
-        own = counts.where(F.col("alias").isin(sorted(aliases)))
-        sinks.write_tsv(workflow.suffixed(ibu_decoded(own, 16)).select("barcode", "gene", "count"), str(folder))
-        return
-    for alias in sorted(aliases):
-        sinks.write_matrix(counts.where(F.col("alias") == alias), str(folder / alias), suffix=None if alias == "output" else alias)
+        sinks.write_tsv(workflow.suffixed(ibu_decoded(own, bc_len)).select("barcode", "gene", "count"), str(folder))
+    else:
+        sinks.write_matrices(own, str(folder), bc_len=bc_len)
 
 
 def _write_statistics(mapped: DataFrame, timings: workflow.Timings, shape: geometry.Geometry, window: int, libs: Libraries, a: argparse.Namespace, folder: Path, log: logging.Logger) -> dict:
@@ -166,30 +168,35 @@ def _write_statistics(mapped: DataFrame, timings: workflow.Timings, shape: geome
 
 
 def _ibu(spark: SparkSession, a: argparse.Namespace) -> None:
+    parts = [libraries.records(spark, [p]) for p in a.input]
+    head = ibu.common_header(parts, a.bc_len, a.umi_len)
+    for part in parts:  # a table that says so is held to it
+        if a.require_sorted or (ibu.header_of(part) or head).is_sorted and a.kind in ("umi", "count"):
+            ibu.require_sorted(part)
     rows = libraries.records(spark, a.input)
     features = libraries.features(spark, a.features, a.feature_col) if a.features else None
     if a.kind == "view":
-        out = ibu.view(rows, a.decode, a.bc_len, a.umi_len, features, "feature")
+        out = ibu.view(rows, a.decode, head.bc_len, head.umi_len, features, "feature")
         lines = out.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in out.columns)).alias("value"))
-        top, lines = [] if a.skip_header else ibu.header(a.bc_len, a.umi_len), None if a.header_only else lines
+        top, lines = [] if a.skip_header else head.lines(), None if a.header_only else lines
         if a.output:
             sinks.write_with_header(top, lines, spark, a.output)
         else:  # line by line, a partition at a time
             for line in itertools.chain(top, (r["value"] for r in lines.toLocalIterator()) if lines is not None else ()):
                 print(line)
     elif a.kind == "cat":
-        rows.write.parquet(a.output)
+        ibu.with_header(rows, head).write.parquet(a.output)
     elif a.kind == "sort":
-        ibu.sort(rows).write.parquet(a.output)
+        ibu.with_header(ibu.sort(rows), replace(head, is_sorted=True)).write.parquet(a.output)
     elif a.kind == "umi":
-        clusters = kept(ibu.umi_clusters(ibu.weigh(rows)))
-        ibu.with_corrected(clusters).write.parquet(a.output)
+        clusters = kept(ibu.umi_clusters(kept(ibu.weigh(rows))))
+        ibu.with_header(ibu.with_corrected(clusters), replace(head, is_sorted=False)).write.parquet(a.output)
         if a.log:
             sinks.write_json(ibu.umi_stats(clusters), a.log)
     elif a.kind == "reads":
         known = libraries.strict_whitelist(spark, a.whitelist) if a.whitelist else None
         out = ibu.reads_per_barcode(ibu.weigh(rows), known)
-        out = out if a.encoded else ibu_decoded(out, a.bc_len)
+        out = out if a.encoded else ibu_decoded(out, head.bc_len)
         sinks.write_tsv(out, a.output, header=not a.no_header)
     else:
         counts = ibu.count(ibu.weigh(rows), ties=a.ties, n_features=features.count() if features is not None else None, allow_empty=False)
@@ -198,9 +205,11 @@ def _ibu(spark: SparkSession, a: argparse.Namespace) -> None:
         if a.mtx:
             if features is None:
                 raise ValueError("a matrix needs features")
-            sinks.write_matrix(counts, a.output, "feature", a.bc_len, a.suffix)
+            sinks.write_matrix(counts, a.output, "feature", head.bc_len, a.suffix)
         else:
-            sinks.write_tsv(sinks.count_table(counts, a.bc_len, a.compressed, column="feature", suffix=a.suffix), a.output)
+            # without features, decoded counts come before the index unless asked otherwise, and packed ones have column names
+            table = sinks.count_table(counts, head.bc_len, a.compressed, column="feature", suffix=a.suffix, swapped=not a.index_first)
+            sinks.write_tsv(table, a.output, header=a.compressed and features is None and not a.no_header)
 
 
 def ibu_decoded(rows: DataFrame, length: int) -> DataFrame:

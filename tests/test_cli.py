@@ -208,3 +208,46 @@ def test_unprobed_reads_and_mixtures(spark, files):
     inputs = [str(d / "c_R1.fastq"), str(d / "c_R2.fastq")]
     cli.main(["workflow", "crispr", *inputs, *flags, "-p", str(d / "probes.txt"), "-c", str(d / "guides.tsv"), "-o", str(d / "mixed"), "--assignment-mode", "mixture", "--skip-umi"])
     assert {"posterior", "barcode", "index", "count", "alias"} == set(spark.read.parquet(str(d / "mixed/assignments")).columns)
+
+
+def test_matrices_of_all_aliases_at_once(spark, tmp_path):
+    rng = random.Random(13)
+    rows = {(a, rng.randrange(4**6), f"G{rng.randrange(30)}"): rng.randint(1, 9) for a in ("BC001", "B=C/2", "output") for _ in range(400)}
+    counts = spark.createDataFrame([(*k, n) for k, n in rows.items()], "alias string, barcode long, gene string, count long").repartition(5)
+    sinks.write_matrices(counts, str(tmp_path / "all"), bc_len=6)
+    assert sorted(p.name for p in (tmp_path / "all").iterdir() if not p.name.startswith(".")) == ["B=C", "BC001", "output"]
+    for k, alias in enumerate(("BC001", "B=C/2", "output")):
+        sinks.write_matrix(counts.where(F.col("alias") == alias), str(tmp_path / f"one{k}"), bc_len=6, suffix=None if alias == "output" else alias)
+        for name in ("matrix.mtx.gz", "barcodes.tsv.gz", "features.tsv.gz"):
+            assert text(tmp_path / "all" / alias / name) == text(tmp_path / f"one{k}" / name)
+    with pytest.raises(FileExistsError):
+        sinks.write_matrices(counts, str(tmp_path / "all"), bc_len=6)
+    sinks.write_matrices(counts.where("alias = 'BC001'"), str(tmp_path / "all"), bc_len=6, force=True)
+    assert text(tmp_path / "all/BC001/matrix.mtx.gz") == text(tmp_path / "one0/matrix.mtx.gz")
+
+
+def test_headers_order_and_layouts(spark, files, tmp_path):
+    schema = "barcode long, umi long, index long"
+    rows = [(1, 2, 0), (1, 3, 0), (2, 0, 1)]
+    long, short, wrong = (str(tmp_path / n) for n in ("long", "short", "wrong"))
+    ibu.with_header(spark.createDataFrame(rows, schema).coalesce(1), ibu.Header(8, 4, is_sorted=True)).write.parquet(long)
+    ibu.with_header(spark.createDataFrame(rows, schema), ibu.Header(7, 4)).write.parquet(short)
+    ibu.with_header(spark.createDataFrame(rows[::-1], schema).coalesce(1), ibu.Header(8, 4, is_sorted=True)).write.parquet(wrong)
+    with pytest.raises(ValueError, match="headers differ"):
+        cli.main(["ibu", "cat", "-i", long, short, "-o", str(tmp_path / "x")])
+    with pytest.raises(ValueError, match="lengths"):
+        cli.main(["ibu", "view", "-i", long, "--decode", "--bc-len", "16"])
+    cli.main(["ibu", "view", "-i", long, "--decode", "-o", str(tmp_path / "v")])
+    assert text(tmp_path / "v")[4:6] == ["# sorted: true", "CAAAAAAA\tGAAA\t0"]
+    for flags in (["count", "-i", wrong], ["umi", "-i", wrong], ["reads", "-i", wrong, "--require-sorted"]):
+        with pytest.raises(ibu.UnsortedError):
+            cli.main(["ibu", *flags, "-o", str(tmp_path / "x")])
+    cli.main(["ibu", "sort", "-i", wrong, "-o", str(tmp_path / "s")])
+    assert ibu.header_of(spark.read.parquet(str(tmp_path / "s"))) == ibu.Header(8, 4, is_sorted=True)
+    for name, flags, expected in (
+        ("c1", [], ["CAAAAAAA\t2\t0", "GAAAAAAA\t1\t1"]),
+        ("c2", ["--index-first"], ["CAAAAAAA\t0\t2", "GAAAAAAA\t1\t1"]),
+        ("c3", ["--compressed"], ["1\t0\t2", "2\t1\t1", "barcode\tindex\tcount"]),
+    ):
+        cli.main(["ibu", "count", "-i", str(tmp_path / "s"), "-o", str(tmp_path / name), *flags])
+        assert sorted(set(text(tmp_path / name))) == expected
