@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-#: Sources' weights in code-point order, the level by water filling, and a greedy filler, as plain SQL.
-OP6 = """
+def _mix_pass(p: int) -> str:
+    """A pass over what is not taken and no larger than what is missing, up to the first that does not fit."""
+    return f"""
+r{p} as (
+  select *, sum(case when size > 0 and not t{p} and size <= g{p} then size else 0 end) over
+    (partition by source order by k, doc_id, size rows unbounded preceding)::bigint as n{p} from q{p}),
+o{p} as (select *, size > 0 and not t{p} and size <= g{p} and n{p} <= g{p} as now{p} from r{p}),
+q{p + 1} as (
+  select *, t{p} or now{p} as t{p + 1}, g{p} - sum(case when now{p} then size else 0 end) over (partition by source) as g{p + 1} from o{p}),"""
+
+
+#: Sources' weights in code-point order, the level by water filling, and a filler of four passes, as plain SQL.
+OP6 = f"""
 with d as (
   select doc_id, source, case when text is null then 0 else len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) end as size,
          md5('mix:' || coalesce(cast(doc_id as varchar), '')) as k
@@ -20,18 +31,17 @@ t as (
   select source, source_size, rk, least(cap::double, (select level from l where level <= ratio order by ratio, rk limit 1) * weight) as target from l),
 e as (
   select d.doc_id, d.source, d.size, d.k, t.source_size, t.rk, t.target,
-    sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows unbounded preceding)::bigint as e,
+    row_number() over (partition by d.source order by d.k, d.doc_id, d.size) as rn,
     case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end::bigint as ep
   from d join t on d.source is not distinct from t.source),
-f as (select *, target - ep * source_size as rest, size > 0 and e <= target - ep * source_size as fits from e),
-g as (select source, any_value(rest) - sum(case when fits then size else 0 end) as gap from f group by source),
+q0 as (select *, false as t0, target - ep * source_size as g0 from e),{"".join(map(_mix_pass, range(4)))}
 p as (
-  select f.source, arg_min(struct_pack(k := f.k, e := f.e), struct_pack(off := abs(f.size - g.gap), k := f.k)) as pick
-  from f join g on f.source is not distinct from g.source
-  where not fits and size > 0 and ep < 3 and abs(f.size - g.gap) < g.gap group by f.source),
+  select source, arg_min(rn, struct_pack(off := abs(size - g4), rn := rn)) as pick
+  from q4 where not t4 and size > 0 and ep < 3 and abs(size - g4) < g4 group by source),
+f as (select q4.*, t4 or coalesce(rn = p.pick, false) as extra from q4 left join p on q4.source is not distinct from p.source),
 c as (
-  select f.*, case when size > 0 then ep + (fits or coalesce(f.k = p.pick.k and f.e = p.pick.e, false))::int else 0 end as copies
-  from f left join p on f.source is not distinct from p.source),
+  select *, case when size > 0 then ep + extra::int else 0 end as copies,
+    sum(case when ep > 0 or extra then size else 0 end) over (partition by source order by rn rows unbounded preceding)::bigint as e from f),
 x as (
   select *, greatest(0.0, least(1.0, (e - size / 2.0::double) / target)) as u, [1.5::double, 1.0::double, 0.5::double][rk % 3 + 1] as w0,
     [-1.0::double, 0.0::double, 1.0::double][rk % 3 + 1] as slope from c)

@@ -1,3 +1,4 @@
+import hashlib
 import html
 import random
 import re
@@ -466,3 +467,45 @@ def test_vectors_left_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (20, [2.0]), (None, [1.0, 1.0])]
     found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
+
+
+@pytest.mark.parametrize("seed", ["mix", "a", "b"])
+def test_mix_meets_targets_past_a_long_document(spark, seed):
+    """A long document must not hold up the shorter ones behind it; copies for the rest lie one after another."""
+    sizes = [500] * 1000 + [125_000] + [500] * 100
+    rows = [(k, "w " * n, None, "a" if k <= 1000 else "b", None) for k, n in enumerate(sizes)]
+    found = mixing.mixed(spark.createDataFrame(rows, DOCS).repartition(8), seed=seed).collect()
+    assert len(found) == len(rows)
+    for source in "ab":
+        mine = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 250
+        extra = sorted((r["last"], r["size"]) for r in mine if r["extra"])
+        at = (mine[0]["copies"] - mine[0]["extra"]) * mine[0]["source_size"]
+        for last, size in extra:
+            assert last == at + size / 2
+            at += size
+        assert all(r["copies"] - r["extra"] == mine[0]["copies"] - mine[0]["extra"] and 0 <= r["position"] <= 1 for r in mine if r["copies"])
+
+
+def test_mix_against_plain_passes(spark):
+    """Sizes over many scales, sources whose rest is small, by a plain loop over documents in the order of their hash."""
+    rng = random.Random(4)
+    rows = [(k, "w " * int(1.6 ** rng.uniform(0, 20)), None, rng.choice("abcd"), None) for k in range(300)]
+    found = {r["doc_id"]: r for r in mixing.mixed(spark.createDataFrame(rows, DOCS)).collect()}
+    for source in "abcd":
+        mine = sorted((hashlib.md5(f"mix:{k}".encode()).hexdigest(), k, len(t.split())) for k, t, _, s, _ in rows if s == source)
+        total, target = sum(n for *_, n in mine), found[mine[0][1]]["target"]
+        epochs = int(target // total)
+        left, taken = target - epochs * total, set()
+        for _ in range(mixing.PASSES):
+            room, fit = left, [x for x in mine if x[2] <= left and x[1] not in taken]
+            for _, k, n in fit:
+                if n > room:
+                    break
+                taken.add(k)
+                room -= n
+            left = room
+        more = [(abs(n - left), h, k) for h, k, n in mine if k not in taken and abs(n - left) < left]
+        taken |= {min(more)[2]} if more and epochs < mixing.MAX_REPEATS else set()
+        assert all(found[k]["copies"] == epochs + (k in taken) for _, k, _ in mine)
+        assert abs(sum(found[k]["taken"] for _, k, _ in mine) - target) <= 0.01 * target
