@@ -86,7 +86,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 
 def _reads(spark: SparkSession, d: str, kind: str = "gex") -> DataFrame:
     # read pairs are made here; as the rows of a generator they are made once, not again in every filter pushed down
-    return fx.frame(spark, d, fx.reads_sql("string", kind)).select(F.inline(F.array(F.struct("*"))))
+    return fx.frame(spark, d, fx.reads_sql("string", kind), even=True).select(F.inline(F.array(F.struct("*"))))
 
 
 @query(f"select i.barcode, i.umi, f.unit as feature from ({fx.IBU_PART_SQL}) i left join ({fx.FEATURES_SQL}) f using (index)")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plexweave.session import spread
+
 SPACER = "ACGTACGTACGTACGTAC"
 ANCHORS = ("GTTTAGAGCTA", "GCTATGCTGTTTC", "CACCGAAACGGTGCT")
 
@@ -54,7 +56,7 @@ def whitelist_sql(text: str) -> str:
 
 
 def probes_sql(text: str) -> str:
-    return f"select distinct {dna('pr:', 'l_returnflag', 8, text)} as seq, l_returnflag as alias from lineitem"
+    return f"select {dna('pr:', 'l_returnflag', 8, text)} as seq, l_returnflag as alias from (select distinct l_returnflag from lineitem) flags"
 
 
 def gex_sql(text: str) -> str:
@@ -72,13 +74,14 @@ IBU_PART_SQL = "select l_suppkey as barcode, l_orderkey % 4096 as umi, l_partkey
 IBU_UMI_SQL = "select l_suppkey as barcode, l_orderkey % 4096 as umi, cast(l_linenumber as bigint) as index from lineitem"
 
 
-def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """One of the statements above over the tables of a folder."""
+def frame(spark: SparkSession, sf_dir: str, sql: str, even: bool = False) -> DataFrame:
+    """One of the statements above over the tables of a folder, these spread over all cores if `even`."""
     import re
 
     views = {}
     for name in ("lineitem", "supplier", "part"):
         if re.search(rf"\bfrom {name}\b", sql):
-            views[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            views[name] = spread(rows) if even else rows
             sql = re.sub(rf"\bfrom {name}\b", f"from {{{name}}}", sql)
     return spark.sql(sql, **views)

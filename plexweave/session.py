@@ -46,3 +46,15 @@ def kept(df: DataFrame) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` of a table, dealt out to all cores where it has less than one part of a file for each.
+
+    A task reads whole row groups, so a table of one leaves all cores but one idle, however its bytes are split. Larger
+    tables have parts enough and are read in place, and so are those of unknown size.
+    """
+    context = rows.sparkSession.sparkContext
+    part = rows.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(context.defaultParallelism) if size < part * context.defaultParallelism else rows

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexweave.session import ship
+from plexweave.session import ship, spread
 
 
 def plain(data: bytes) -> bytes:
@@ -96,7 +96,7 @@ def records(spark: SparkSession, paths: list[str]) -> DataFrame:
 def reads(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Read pairs: Parquet tables, or pairs of FASTQ or FASTA files in the order R1, R2, R1, R2 and so on."""
     if all(p.rstrip("/").endswith(".parquet") for p in paths):
-        parts = (spark.read.parquet(p).withColumn("input_id", F.lit(k)) for k, p in enumerate(paths))
+        parts = (spread(spark.read.parquet(p)).withColumn("input_id", F.lit(k)) for k, p in enumerate(paths))
         return reduce(DataFrame.unionByName, parts)
     from plexweave.sources.fastq import FastqPairs, is_text, split_reads
 

@@ -7,6 +7,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from plexweave.functions import sequence
+from plexweave.session import spread
 from plexweave.sources import download, fastq, libraries, sinks
 
 
@@ -123,3 +124,17 @@ def test_files_for_either_reader(spark, tmp_path):
         (tmp_path / name).write_text(">r\nAC\nGT\n>s\nT\n")
     found = libraries.reads(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fa")]).collect()
     assert sorted((r["r1_seq"], r["r2_seq"], r["r1_qual"]) for r in found) == [("ACGT", "ACGT", None), ("T", "T", None)]
+
+
+def test_small_tables_are_spread_over_all_cores_and_larger_ones_read_in_place(spark, tmp_path):
+    path = str(tmp_path / "reads.parquet")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in libraries.reads(spark, [path]).collect()) == list(range(1000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        assert "Repartition" not in spread(rows)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
