@@ -47,13 +47,17 @@ BESIDE = (
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies",
     "consent", "disqus", "footer", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo",
     "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget", "complementary", "contentinfo", "search",
-    "teaser", "teasers", "recommended",
+    "teaser", "teasers", "recommended", "commentlist", "gdpr", "masthead", "pagination", "replies", "reply",
 )
 # Words that go with these in one name; a name with any other word marks nothing.
 PLACES = (
-    "area", "bar", "block", "bottom", "box", "buttons", "container", "form", "global", "group", "inner", "item", "left", "links", "list", "main", "mobile", "outer",
-    "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "stories", "top", "unit", "user", "wrap", "wrapper",
+    "area", "articles", "author", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "global", "group", "icon", "icons", "inner",
+    "item", "items", "label", "left", "link", "links", "list", "main", "message", "meta", "mobile", "outer", "overlay", "page", "panel", "post", "posts", "primary", "right",
+    "row", "secondary", "section", "signup", "site", "slot", "stories", "text", "this", "thread", "title", "top", "unit", "user", "wrap", "wrapper",
 )
+# Words that name a part of an article as well: on headings, and the first one within articles, they mark nothing.
+PARTS = ("header", "banner", "notice", "teaser", "widget")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # Elements whose start ends an open paragraph, and elements that end with the next of their kind.
 ENDS_P = (
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
@@ -62,92 +66,149 @@ ENDS_P = (
 SIBLINGS = ("li", "td", "th", "tr", "dt", "dd", "option")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[^a-z]+")
-_BESIDE, _OUTSIDE, _INLINE, _VOID, _MARKED, _PLACES, _ENDS_P, _SIBLINGS = map(frozenset, (BESIDE, OUTSIDE, INLINE, VOID, MARKED, PLACES, ENDS_P, SIBLINGS))
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.IGNORECASE) for tag in RAW}
+_BESIDE, _OUTSIDE, _INLINE, _VOID, _MARKED, _PLACES, _PARTS, _ENDS_P, _SIBLINGS = map(frozenset, (BESIDE, OUTSIDE, INLINE, VOID, MARKED, PLACES, PARTS, ENDS_P, SIBLINGS))
+#: Elements that may end without a tag of their own.
+_MAY_STAY_OPEN = _SIBLINGS | {"p"}
 
 
-def _is_beside(attributes: str) -> bool:
-    """Whether a name in class, id or role is made up of a word of BESIDE and others of BESIDE and PLACES."""
+def _is_beside(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether a name in class, id or role is made up of a word of BESIDE and others of BESIDE and PLACES; `inside` of an article."""
+    means_nothing = _PARTS if tag in HEADINGS else {"header"} if inside else frozenset()
     for m in _NAMES.finditer(attributes):
         for name in "".join(filter(None, m.groups())).lower().split():
             parts = {w for w in _WORDS.split(name) if len(w) > 1}
-            if parts & _BESIDE and parts <= _BESIDE | _PLACES:
+            if parts & _BESIDE - means_nothing and parts <= _BESIDE | _PLACES:
                 return True
     return False
 
 
+class _Beside:
+    """An element beside the article: the one around it, whether an article begins in it, whether its text is dropped."""
+
+    __slots__ = ("tag", "around", "holds", "drops", "first")
+
+    def __init__(self, tag: str, around: _Beside | None):
+        self.tag, self.around, self.holds, self.drops, self.first = tag, around, False, True, True
+
+
 def blocks(page: str | None) -> tuple[list[str], bool]:
     """The blocks of text of a page in order, and whether they are those of marked articles.
 
     References are decoded and white space in a block is one space; blocks without text are left out. An article within
     an article is a comment or teaser and left out, and so are articles within a main element that has more text outside
-    of them.
+    of them. Of an element beside the article that ends only because one around it does, as its own end tag is missing,
+    the first block is left out and the rest stays; where the page ends first, all is left out but for an element in
+    which an article begins. A form around an article is none. Elements without text (scripts, graphics) may close
+    themselves, and without an end tag only scripts, styles and comments reach to the end of the page. Time is linear in
+    the page.
     """
     if not page:
         return [], False
     #: open elements as (tag, beside the article, main element, article)
-    stack: list[tuple[str, bool, bool, bool]] = []
-    depth = [0, 0, 0]  # of the three marks
-    found: list[tuple[bool, bool, str]] = []
+    stack: list[tuple[str, _Beside | None, bool, bool]] = []
+    opened: dict[str, int] = {}
+    inside = [0, 0]  # of main elements, of articles
+    around: _Beside | None = None
+    beside: list[_Beside] = []
+    found: list[tuple[bool, bool, str, _Beside | None, bool]] = []
     line: list[str] = []
+    endless: set[str] = set()
 
     def end_block() -> None:
         if line:
             text = " ".join(entities.unescape("".join(line)).split())
             line.clear()
             if text:
-                found.append((depth[1] > 0, depth[2] > 0, text))
-
-    def close(at: int) -> None:
-        for _, *marks in stack[at:]:
-            for k, mark in enumerate(marks):
-                depth[k] -= mark
-        del stack[at:]
-
-    for m in _TOKEN.finditer(page):
+                first = around is not None and around.first
+                if first:
+                    around.first = False
+                found.append((inside[0] > 0, inside[1] > 0, text, around, first))
+
+    def pop(own: bool, last: bool = False) -> None:
+        """Close the innermost element: by its own end or not, as the page's `last` ones."""
+        nonlocal around
+        tag, mark, main, article = stack.pop()
+        opened[tag] -= 1
+        inside[0] -= main
+        inside[1] -= article
+        if mark:
+            own = own or tag in _MAY_STAY_OPEN
+            mark.drops = not (mark.holds and tag == "form") if own else last and not mark.holds
+            around = mark.around
+
+    at, n = 0, len(page)
+    while at < n:
+        m = _TOKEN.match(page, at)
+        at = m.end()
         text = m["text"]
         if text is not None:
-            if not depth[0]:
-                line.append(text)
+            line.append(text)
             continue
         tag = m["tag"]
         if tag is None:
             continue
-        tag = tag.lower()
-        beside = bool(m["attributes"] and not m["close"] and _is_beside(m["attributes"]))
-        if tag in _INLINE and not beside and not (m["close"] and any(x[0] == tag for x in stack)):
+        tag, attributes, closing = tag.lower(), m["attributes"], bool(m["close"])
+        if tag in _RAW_END:
+            if closing or attributes.endswith("/"):
+                continue
+            end = None if tag in endless else _RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                break
+            else:
+                endless.add(tag)
+            continue
+        is_beside = bool(attributes and not closing and _is_beside(tag, attributes, inside[0] + inside[1] > 0))
+        if tag in _INLINE and not is_beside and not (closing and opened.get(tag)):
             continue
         end_block()
-        if m["close"]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None:
-                close(at)
+        if closing:
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    pop(False, tag in ("body", "html"))
+                pop(True)
             continue
         # an open paragraph or list item ends here without a tag of its own
         if stack and (stack[-1][0] == "p" and tag in _ENDS_P or stack[-1][0] == tag and tag in _SIBLINGS):
-            close(len(stack) - 1)
-        if tag in _VOID or m["attributes"].endswith("/"):
+            pop(True)
+        if tag in _VOID or attributes.endswith("/"):
             continue
-        if (tag == "p" or tag in _SIBLINGS) and not beside:
-            continue  # may stay open; nothing hangs on their end
+        if tag in _MAY_STAY_OPEN and not is_beside:
+            continue  # nothing hangs on their end
         article = tag == "article"
         # the header of an article holds its title
-        outside = tag in _OUTSIDE and not (tag == "header" and depth[1] + depth[2]) or article and depth[2] > 0
-        entry = (tag, beside and tag not in _MARKED or outside, tag == "main", article)
-        stack.append(entry)
-        for k, mark in enumerate(entry[1:]):
-            depth[k] += mark
+        outside = tag in _OUTSIDE and not (tag == "header" and inside[0] + inside[1]) or article and inside[1] > 0
+        mark = None
+        if is_beside and tag not in _MARKED or outside:
+            mark = around = _Beside(tag, around)
+            beside.append(mark)
+        elif tag in _MARKED:
+            held = around
+            while held and not held.holds:
+                held.holds, held = True, held.around
+        stack.append((tag, mark, tag == "main", article))
+        opened[tag] = opened.get(tag, 0) + 1
+        inside[0] += tag == "main"
+        inside[1] += article
     end_block()
-    size = lambda inside: sum(len(t) for main, article, t in found if main and article == inside)
+    while stack:
+        pop(False, True)
+    for mark in beside:  # outer ones come first
+        mark.drops = mark.drops or mark.around is not None and mark.around.drops
+    kept = [(main, article, text) for main, article, text, mark, first in found if not (mark and (mark.drops or first))]
+    size = lambda within: sum(len(t) for main, article, t in kept if main and article == within)
     teasers = size(False) > size(True)
-    articles = [t for main, article, t in found if (main or article) and not (main and article and teasers)]
-    return (articles, True) if articles else ([t for _, _, t in found], False)
+    articles = [t for main, article, t in kept if (main or article) and not (main and article and teasers)]
+    return (articles, True) if articles else ([t for _, _, t in kept], False)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

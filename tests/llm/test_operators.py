@@ -2,6 +2,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -340,11 +341,31 @@ def test_shared_runs_against_brute_force():
     ("<article>text<article>a reader says</article></article>", ["text"], True),
     ("<script>var t = '<article>';</script><div>menu</div>", ["menu"], False),
     ('<ul><li class="ad">buy<li>kept</ul><div id="cookie-bar">x</div><div class="related posts-list">y</div><div class="header_top-2">z</div>end', ["kept", "end"], False),
+    ('<article>a<svg class="i"/>b<iframe src="x"/><p>c<canvas>d</article>', ["ab", "cd"], True),
+    ("<article>a<svg><path/><text>no</text></svg >b<!-->c<!-- x --!>d<script>e", ["abcd"], True),
+    ('<div>out</div><article><p>one</p><div id="ad-1">buy<p>two</p><p>three</p></article><div>out</div>', ["one", "two", "three"], True),
+    ('<nav><a>home</a><article><p>text</p></article>', ["text"], True),
+    ('<form id="all"><div>menu</div><article>text<form>mail</form></article></form>', ["text"], True),
+    ('<p>text</p><div class="sidebar">a<p>b</p></body>', ["text"], False),
+    ('<aside><article>teaser</article></aside><p>text</p>', ["text"], False),
+    ('<article><h2 class="widget">Title</h2><div class="main-header">Sub</div>text</article>', ["Title", "Sub", "text"], True),
+    ("<article>" + "".join(f'<div class="{c}">no</div>' for c in ("comment-body", "comment-thread", "related-articles", "newsletter-signup", "social-icons", "advertisement-label", "cookie-message", "share-this")) + "text</article>", ["text"], True),
 ])
 def test_blocks(page, text, marked):
     assert html_text.blocks(page) == (text, marked)
 
 
+def test_broken_pages_take_linear_time():
+    """Unmatched ends, unclosed elements and deep nesting: four times the page takes less than ten times as long."""
+    for broken in ("</b></div>", "<div class='ad'>x", "<svg>x", "<div><p class='ad'>x"):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.perf_counter()
+            html_text.blocks("<article><div><b>" + broken * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.2
+
+
 def test_no_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
