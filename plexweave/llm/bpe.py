@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import bound_batches
+from plexweave.llm.common import bound_batches, worker_cache, worker_memory
 
 #: The vocabulary that the pipeline uses: a file of the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -222,11 +222,11 @@ class _Words(dict):
         return packed
 
 
-_loaded: dict[str, WordBpe] = {}
+_loaded: dict[str, WordBpe] = worker_cache("bpe")
 
 
 def tokenizer(path: str) -> WordBpe:
-    """The tokenizer of a file, once for each worker."""
+    """The tokenizer of a file, once for each worker as long as it encodes or decodes."""
     if path not in _loaded:
         _loaded[path] = WordBpe(path)
     return _loaded[path]
@@ -242,12 +242,13 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path or public_tokenizers.path(VOCABULARY))
-        for b in batches:
-            ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.record_batch([b.column(0), lists], ["doc_id", "ids"])
+        with worker_memory("bpe"):
+            bpe = tokenizer(path or public_tokenizers.path(VOCABULARY))
+            for b in batches:
+                ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                yield pa.record_batch([b.column(0), lists], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 

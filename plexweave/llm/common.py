@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,33 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What a worker keeps under a name between its tasks, until one begins there that does not name it."""
+    return _KEPT.setdefault(name, {})
+
+
+@contextmanager
+def worker_memory(*names: str) -> Iterator[None]:
+    """Around the Python of one task, which uses the caches of these names.
+
+    Workers outlive stages and serve one operator after another: what others have left is dropped first, and memory that
+    Arrow holds unused goes back to the system, at the end too, as an idle worker has it beside the JVM.
+    """
+    pool = pa.default_memory_pool()
+    if others := [cache for name, cache in _KEPT.items() if cache and name not in names]:
+        for cache in others:
+            cache.clear()
+        gc.collect()
+    pool.release_unused()
+    try:
+        yield
+    finally:
+        pool.release_unused()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset, as in tests, a local run gets one of its own; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", "")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import bound_batches, checkpointed
+from plexweave.llm.common import bound_batches, checkpointed, worker_memory
 
 #: A block's filters hold about so many fingerprints, so that one task merges them in little memory.
 BLOCK_ROWS = 1 << 20
@@ -110,13 +110,14 @@ def _packed(batches: Iterator[pa.RecordBatch], block_bits: int) -> Iterator[pa.R
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["block", "filter"])
 
     held: list[np.ndarray] = []
-    for batch in batches:
-        held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        if sum(map(len, held)) >= FLUSH_ROWS:
+    with worker_memory():
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            if sum(map(len, held)) >= FLUSH_ROWS:
+                yield close(np.concatenate(held))
+                held = []
+        if sum(map(len, held)):
             yield close(np.concatenate(held))
-            held = []
-    if sum(map(len, held)):
-        yield close(np.concatenate(held))
 
 
 def _merged(group: pa.Table, block_bits: int) -> pa.Table:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import Scratch, bound_batches
+from plexweave.llm.common import Scratch, bound_batches, worker_memory
 from plexweave.llm.components import components
 from plexweave.llm.words import hashes, mixed, rolling, split
 
@@ -117,19 +117,20 @@ def need(n: Column, similarity: Fraction) -> Column:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_shingles, set1, set2, print, keys) of (doc_id, text, print): sizes, 128-bit digests of sets, signatures."""
-    for b in batches:
-        sizes, first, second, keys = [], [], [], []
-        for text in b.column(1).to_pylist():
-            s = shingle_set(text)
-            sizes.append(len(s))
-            # order-free digests of the set
-            first.append(mixed(s).sum(dtype=np.uint64))
-            second.append(mixed(s + np.uint64(len(s))).sum(dtype=np.uint64))
-            keys.append(signature(s).view(np.int64))
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-        digests = [pa.array(np.array(d, np.uint64).view(np.int64)) for d in (first, second)]
-        yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), *digests, b.column(2), lists], ["doc_id", "n_shingles", "set1", "set2", "print", "keys"])
+    with worker_memory("words"):
+        for b in batches:
+            sizes, first, second, keys = [], [], [], []
+            for text in b.column(1).to_pylist():
+                s = shingle_set(text)
+                sizes.append(len(s))
+                # order-free digests of the set
+                first.append(mixed(s).sum(dtype=np.uint64))
+                second.append(mixed(s + np.uint64(len(s))).sum(dtype=np.uint64))
+                keys.append(signature(s).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            digests = [pa.array(np.array(d, np.uint64).view(np.int64)) for d in (first, second)]
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), *digests, b.column(2), lists], ["doc_id", "n_shingles", "set1", "set2", "print", "keys"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
@@ -143,19 +144,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch], numerator: int, denominator: i
             held[doc] = shingle_set(text)
         return held[doc]
 
-    for batch in batches:
-        out_a, out_b = [], []
-        for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = of(a, text_a), of(b, text_b)
-            if denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if shared and denominator * shared >= numerator * (len(x) + len(y) - shared):
-                out_a.append(a)
-                out_b.append(b)
-        yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+    with worker_memory("words"):
+        for batch in batches:
+            out_a, out_b = [], []
+            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = of(a, text_a), of(b, text_b)
+                if denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
+                    continue
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if shared and denominator * shared >= numerator * (len(x) + len(y) - shared):
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
 def prefix_postings(heads: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:

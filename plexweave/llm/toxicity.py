@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexweave.llm.common import bound_batches, checkpointed, held_out
+from plexweave.llm.common import bound_batches, checkpointed, held_out, worker_memory
 
 #: Labelled rows and characters learned from at most, about: rows are taken by a hash of their ids.
 SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 40_000_000
@@ -275,18 +275,19 @@ _TRAINED = "network binary, place array<int>, output array<double>, label array<
 def _trained(key: tuple, sample: pa.Table) -> pa.Table:
     """For a fold's number, the outputs of a network that learned from the other folds, with the rows' places in the order
     of ids; for the number after these, the network that learned from all rows."""
-    number = key[0].as_py()
-    texts, y, langs, fold, buckets = _learnable(sample)
-    kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float32()), pa.list_(pa.string()))
-    made = lambda *row: pa.table([pa.array([x], t) for x, t in zip(row, kinds)], ["network", "place", "output", "label", "lang"])
-    if number == FOLDS:
-        return made(pickle.dumps(train(texts, y, buckets)), [], [], [], [])
-    rest = fold == number
-    if not rest.any():
-        return made(None, [], [], [], [])
-    net = train([t for t, r in zip(texts, rest) if not r], y[~rest], buckets) if not rest.all() else Network.fresh()
-    output = _outputs_of(net, buckets, [t for t, r in zip(texts, rest) if r])
-    return made(None, np.flatnonzero(rest), output, y[rest], [x for x, r in zip(langs, rest) if r])
+    with worker_memory():
+        number = key[0].as_py()
+        texts, y, langs, fold, buckets = _learnable(sample)
+        kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float32()), pa.list_(pa.string()))
+        made = lambda *row: pa.table([pa.array([x], t) for x, t in zip(row, kinds)], ["network", "place", "output", "label", "lang"])
+        if number == FOLDS:
+            return made(pickle.dumps(train(texts, y, buckets)), [], [], [], [])
+        rest = fold == number
+        if not rest.any():
+            return made(None, [], [], [], [])
+        net = train([t for t, r in zip(texts, rest) if not r], y[~rest], buckets) if not rest.all() else Network.fresh()
+        output = _outputs_of(net, buckets, [t for t, r in zip(texts, rest) if r])
+        return made(None, np.flatnonzero(rest), output, y[rest], [x for x, r in zip(langs, rest) if r])
 
 
 #: A word's hash and the buckets of its features.
@@ -296,19 +297,20 @@ _KNOWN = np.dtype([("word", "<u4"), ("features", "<u2", FEATURES)])
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, text, becomes the hashes of its words, and with them the features of words that are new to the task."""
     seen: dict[str, int] = {}
-    for b in batches:
-        words, known = [], []
-        for text in b.column(3).to_pylist():
-            new, ids = [], []
-            for w in text.lower().split():
-                x = seen.get(w)
-                if x is None:
-                    x = seen[w] = zlib.crc32(w.encode())
-                    new.append((x, tuple(features(w))))
-                ids.append(x)
-            words.append(np.array(ids, "<u4").tobytes())
-            known.append(np.array(new, _KNOWN).tobytes())
-        yield pa.record_batch([*b.columns[:3], pa.array(words, pa.binary()), pa.array(known, pa.binary())], ["id", "toxic", "lang", "words", "known"])
+    with worker_memory():
+        for b in batches:
+            words, known = [], []
+            for text in b.column(3).to_pylist():
+                new, ids = [], []
+                for w in text.lower().split():
+                    x = seen.get(w)
+                    if x is None:
+                        x = seen[w] = zlib.crc32(w.encode())
+                        new.append((x, tuple(features(w))))
+                    ids.append(x)
+                words.append(np.array(ids, "<u4").tobytes())
+                known.append(np.array(new, _KNOWN).tobytes())
+            yield pa.record_batch([*b.columns[:3], pa.array(words, pa.binary()), pa.array(known, pa.binary())], ["id", "toxic", "lang", "words", "known"])
 
 
 def _learnable(sample: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[str | None], np.ndarray, np.ndarray]:
@@ -381,9 +383,10 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang": b["lang"], "score": scorer.scores(b["text"].tolist())})
+        with worker_memory():
+            scorer = Scorer(shared.value)
+            for b in batches:
+                yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang": b["lang"], "score": scorer.scores(b["text"].tolist())})
 
     found = rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang string, score double")
     return (
@@ -409,8 +412,9 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", lang_col:
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
-        for t in texts:
-            yield pd.Series(scorer.scores(t.tolist()))
+        with worker_memory():
+            scorer = Scorer(shared.value)
+            for t in texts:
+                yield pd.Series(scorer.scores(t.tolist()))
 
     return docs.where(score(F.col(text_col)) < _threshold(net, F.col(lang_col)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from plexweave.llm.common import worker_cache
+
 #: Words that a worker remembers for each seed; beyond that it starts anew.
 CACHE_WORDS = 120_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -29,7 +31,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_caches: dict[int, WordHashes] = {}
+_caches: dict[int, WordHashes] = worker_cache("words")
 
 
 def hashes(seed: int = 0) -> WordHashes:

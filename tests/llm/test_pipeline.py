@@ -4,12 +4,13 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plexweave.llm import bpe, mixing
+from plexweave.llm import bpe, exact_dedup, mixing, near_dedup, toxicity, words
 from plexweave.llm.oracles import OP6
 from tests.conftest import DATA
 
@@ -135,3 +136,27 @@ def test_rows_that_repeat_an_id_are_taken_by_themselves(spark):
         taken[r["doc_id"], r["source"], r["size"]] += r["copies"]
     found = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in mixing.training_order(docs).collect())
     assert found == +taken
+
+
+def test_a_task_drops_what_other_stages_left_in_its_worker():
+    """Workers outlive stages: a tokenizer and its words stayed beside all later ones."""
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    ids = pa.array([1, 2], pa.int64())
+    texts = pa.record_batch([ids, pa.array(["a b c d e f", "g"]), ids], ["doc_id", "text", "print"])
+    sample = pa.record_batch([pa.array(["1"]), pa.array([1], pa.int32()), pa.array(["en"]), pa.array(["a b"])], ["id", "toxic", "lang", "text"])
+    known = bpe.tokenizer(path)
+    known.encode("some words")
+    (signed,) = near_dedup._signed(iter([texts]))
+    assert signed["n_shingles"].to_pylist() == [2, 1]
+    assert not bpe._loaded and words._caches
+    (hashed,) = toxicity._hashed(iter([sample]))
+    assert len(hashed["words"][0].as_py()) == 8 and not words._caches
+    bpe.tokenizer(path)
+    words.hashes()
+    assert len(list(exact_dedup._packed(iter([texts.select(["doc_id"])]), 0))) == 1
+    assert not bpe._loaded and not words._caches
+    bpe.tokenizer(path)
+    toxicity._trained((pa.scalar(toxicity.FOLDS),), pa.Table.from_batches([hashed]))
+    assert not bpe._loaded
+    again = bpe.tokenizer(path)
+    assert again is not known and again is bpe.tokenizer(path) and again.encode("some words").tolist() == known.encode("some words").tolist()
