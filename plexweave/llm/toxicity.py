@@ -41,6 +41,10 @@ THRESHOLD = 0.3
 SHRINK = 10
 #: Words that a worker remembers.
 CACHE_WORDS = 150_000
+#: Places of texts at which filters are held at once for scoring.
+PLACES = 1 << 15
+#: Words that came with the sample are held at most so many together before those that repeat are dropped.
+KNOWN_AT_ONCE = 1 << 17
 _STRIP = ".,;:!?\"'()[]{}#$%&*|<>«»“”„‘’…-_/\\"
 
 
@@ -113,6 +117,25 @@ class Network:
             maxima.append(np.maximum(np.maximum.reduceat(conv, starts, axis=0) + bias, 0))
         return np.concatenate(maxima, axis=1), places
 
+    def maxima(self, shares: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The maxima of `pooled` from PLACES at a time, so that memory does not go by the length of texts."""
+        n, at, out = len(ids), 0, []
+        for w, bias in zip(WIDTHS, self.biases):
+            top = np.full((len(starts), FILTERS), -np.inf, np.float32)
+            for a in range(0, n, PLACES):
+                b = min(a + PLACES, n)
+                conv = shares[ids[a:b], at]
+                for j in range(1, w):
+                    conv[: max(n - j - a, 0)] += shares[ids[a + j : b + j], at + j]
+                conv[ids[a:b] == 0] = 0
+                # the text that the part begins in, and those that begin within it
+                first, last = np.searchsorted(starts, (a, b - 1), "right") - 1
+                own = np.r_[0, starts[first + 1 : last + 1] - a]
+                top[first : last + 1] = np.maximum(top[first : last + 1], np.maximum.reduceat(conv, own, axis=0))
+            at += w
+            out.append(np.maximum(top + bias, 0))
+        return np.concatenate(out, axis=1)
+
 
 def _laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Texts end to end, each with two zeros after it, and their starts."""
@@ -176,7 +199,7 @@ def _outputs(net: Network, shares: np.ndarray, texts: list[np.ndarray]) -> np.nd
     out = np.zeros(len(texts))
     for at in range(0, len(texts), 64):
         ids, starts = _laid(texts[at : at + 64])
-        out[at : at + 64] = net.pooled(shares, ids, starts)[0] @ net.out + net.out_bias
+        out[at : at + 64] = net.maxima(shares, ids, starts) @ net.out + net.out_bias
     return out
 
 
@@ -257,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = drawn.select(F.col("id").cast("string").alias("id"), (F.col("toxic") != 0).cast("int").alias("toxic"), "lang", "text").mapInArrow(_hashed, "id string, toxic int, lang string, words binary, known binary")
     # each network is one task's work, over the whole sample, which is bounded
     copies = checkpointed(sample).withColumn("net", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
-    rows = copies.repartitionByRange(FOLDS + 1, "net").groupBy("net").applyInArrow(_trained, _TRAINED).collect()
+    rows = copies.repartitionByRange(FOLDS + 1, "net").groupBy("net").applyInArrow(_trained_on, _TRAINED).collect()
     if not rows:
         net = Network.fresh()
         net.out = np.zeros_like(net.out)
@@ -272,7 +295,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 _TRAINED = "network binary, place array<int>, output array<double>, label array<float>, lang array<string>"
 
 
-def _trained(key: tuple, sample: pa.Table) -> pa.Table:
+def _trained_on(key: tuple, sample: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_trained for batches as they come, of which none stays beside what is learned from."""
+    yield from _trained(key, sample).to_batches()
+
+
+def _trained(key: tuple, sample: pa.Table | Iterator[pa.RecordBatch]) -> pa.Table:
     """For a fold's number, the outputs of a network that learned from the other folds, with the rows' places in the order
     of ids; for the number after these, the network that learned from all rows."""
     with worker_memory():
@@ -313,23 +341,34 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*b.columns[:3], pa.array(words, pa.binary()), pa.array(known, pa.binary())], ["id", "toxic", "lang", "words", "known"])
 
 
-def _learnable(sample: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[str | None], np.ndarray, np.ndarray]:
-    """Texts as row numbers of the buckets, labels, languages, folds, and the buckets of each word, in the order of ids."""
-    known = np.concatenate([np.frombuffer(k.as_buffer(), _KNOWN) for k in sample["known"]] or [np.zeros(0, _KNOWN)])
-    # by word, and words of one hash by their first features, so that the order of tasks has no part in it
-    key = (known["word"].astype(np.uint64) << np.uint64(32)) | (known["features"][:, 0].astype(np.uint64) << np.uint64(16)) | known["features"][:, 1]
-    known = known[np.argsort(key)]
+def _first_of_words(known: list[np.ndarray]) -> np.ndarray:
+    """One entry for each word, sorted by word; words of one hash go by their first features, so that the order of tasks has no
+    part in it."""
+    found = np.concatenate(known)
+    key = (found["word"].astype(np.uint64) << np.uint64(32)) | (found["features"][:, 0].astype(np.uint64) << np.uint64(16)) | found["features"][:, 1]
+    found = found[np.argsort(key)]
     del key
-    known = known[np.r_[True, known["word"][1:] != known["word"][:-1]][: len(known)]]
-    buckets = np.concatenate([np.zeros((1, FEATURES), np.int32), known["features"].astype(np.int32)])
-    ids, rows = sample["id"].to_pylist(), []
-    for k, w in enumerate(sample["words"]):
-        rows.append((ids[k], k, (np.searchsorted(known["word"], np.frombuffer(w.as_buffer(), "<u4")) + 1).astype(np.int32)))
-    rows.sort(key=lambda r: (r[0], len(r[2]), r[2].tobytes() if len(r[2]) < 1000 else b""))
-    order = [k for _, k, _ in rows]
-    fold = np.array([zlib.crc32(f"calibrate:{i}".encode()) % FOLDS for i, _, _ in rows])
-    langs, toxic = sample["lang"].to_pylist(), sample["toxic"].to_pylist()
-    return [t for _, _, t in rows], np.array([toxic[k] for k in order], np.float32), [langs[k] for k in order], fold, buckets
+    return found[np.r_[True, found["word"][1:] != found["word"][:-1]][: len(found)]]
+
+
+def _learnable(sample: pa.Table | Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, list[str | None], np.ndarray, np.ndarray]:
+    """Texts as row numbers of the buckets, labels, languages, folds, and the buckets of each word, in the order of ids."""
+    known, new, rows = np.zeros(0, _KNOWN), [], []
+    for b in sample.to_batches() if isinstance(sample, pa.Table) else sample:
+        new += [np.frombuffer(k.as_buffer(), _KNOWN).copy() for k in b["known"]]
+        words = [np.frombuffer(w.as_buffer(), "<u4").copy() for w in b["words"]]
+        rows += zip(b["id"].to_pylist(), words, b["toxic"].to_pylist(), b["lang"].to_pylist())
+        if sum(map(len, new)) > KNOWN_AT_ONCE:
+            known, new = _first_of_words([known, *new]), []
+    known = _first_of_words([known, *new])
+    new.clear()
+    for _, words, _, _ in rows:  # in place
+        words[:] = np.searchsorted(known["word"], words) + 1
+    buckets = np.zeros((len(known) + 1, FEATURES), np.uint16)
+    buckets[1:] = known["features"]
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes() if len(r[1]) < 1000 else b""))
+    fold = np.array([zlib.crc32(f"calibrate:{r[0]}".encode()) % FOLDS for r in rows])
+    return [r[1].view(np.int32) for r in rows], np.array([r[2] for r in rows], np.float32), [r[3] for r in rows], fold, buckets
 
 
 def _sample_shares(sizes: dict[str | None, tuple[int, float]], sample_rows: int, sample_chars: int) -> dict[str | None, float]:
@@ -347,11 +386,12 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net = net
+        # filled from the front, again and again; memory is there once it is filled
+        self.shares = np.zeros((CACHE_WORDS * 4 // 3, sum(WIDTHS), FILTERS), np.float32)
         self._clear()
 
     def _clear(self) -> None:
         self.vocabulary = _Vocabulary()
-        self.shares = np.zeros((1, sum(WIDTHS), FILTERS), np.float32)
         self.filled = 1
 
     def scores(self, texts: list[str | None]) -> np.ndarray:

@@ -3,6 +3,7 @@ import html
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 from hashlib import sha256
 
@@ -253,6 +254,57 @@ def test_convolution_and_pooling_against_plain_loops():
         assert out == pytest.approx(np.concatenate(pooled) @ net.out + net.out_bias, abs=1e-4)
 
 
+def test_scores_do_not_take_memory_by_the_length_of_texts(monkeypatch):
+    """Filters stood at all places of 64 texts at once: five arrays of 8 numbers for each word."""
+    rng = np.random.default_rng(5)
+    net = toxicity.Network.fresh(3)
+    buckets = np.r_[np.zeros((1, toxicity.FEATURES), np.int32), rng.integers(1, toxicity.BUCKETS, (9, toxicity.FEATURES)).astype(np.int32)]
+    shares = net.shares(buckets)
+    long = [rng.integers(1, 10, 400_000).astype(np.int32)]
+    tracemalloc.start()
+    toxicity._outputs(net, shares, long)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6
+    for places in (1, 2, 3, 7, 1 << 15):
+        monkeypatch.setattr(toxicity, "PLACES", places)
+        for _ in range(10):
+            ids, starts = toxicity._laid([rng.integers(1, 10, n).astype(np.int32) for n in rng.integers(0, 12, 6)])
+            assert np.array_equal(net.maxima(shares, ids, starts), net.pooled(shares, ids, starts)[0])
+
+
+def test_training_keeps_no_batch_of_the_sample(tmp_path):
+    """The whole sample stayed beside the texts and words that were made of it."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(3000)]
+
+    def texts():
+        for k in range(40):
+            rows = [(str(50 * k + i), i % 2, "en", " ".join(rng.choice(words, 1000))) for i in range(50)]
+            yield pa.record_batch([pa.array(x) for x in zip(*rows)], ["id", "toxic", "lang", "text"])
+
+    hashed = list(toxicity._hashed(texts()))
+    size, most = sum(b.nbytes for b in hashed), 0
+    whole = toxicity._learnable(pa.Table.from_batches(hashed))
+    written = str(tmp_path / "sample")
+    with pa.OSFile(written, "wb") as file, pa.ipc.new_stream(file, hashed[0].schema) as out:
+        for b in hashed:
+            out.write_batch(b)
+    del b, hashed
+    start = pa.total_allocated_bytes()
+
+    def batches():
+        nonlocal most
+        for b in pa.ipc.open_stream(pa.OSFile(written)):
+            most = max(most, pa.total_allocated_bytes() - start)
+            yield b
+
+    found = toxicity._learnable(batches())
+    assert 0 < most < size / 4
+    assert all(np.array_equal(x, y) for x, y in zip(found[0], whole[0])) and found[2] == whole[2]
+    assert all(np.array_equal(found[k], whole[k]) for k in (1, 3, 4))
+
+
 def test_one_step_of_training_follows_the_gradient(monkeypatch):
     """After one batch each weight has moved against the numeric gradient of the loss, by the rate (Adagrad's first step)."""
     rng = np.random.default_rng(6)
