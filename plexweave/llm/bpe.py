@@ -29,7 +29,9 @@ from plexweave.llm.common import bound_batches, worker_cache, worker_memory
 #: The vocabulary that the pipeline uses: a file of the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 #: A worker remembers the ids of so many words; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+#: Texts encoded and handed on at once.
+TEXTS = 200
 PAIRS = 300_000
 
 
@@ -244,8 +246,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with worker_memory("bpe"):
             bpe = tokenizer(path or public_tokenizers.path(VOCABULARY))
-            for b in batches:
-                ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
+            for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+                ids = [bpe.encode(t.as_py()) for t in b.column(1)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 yield pa.record_batch([b.column(0), lists], ["doc_id", "ids"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -41,23 +42,31 @@ def worker_cache(name: str) -> dict:
     return _KEPT.setdefault(name, {})
 
 
+def _give_back() -> None:
+    """What Arrow and the C library hold unused goes back to the system; where the latter has no call for that, it stays."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 @contextmanager
 def worker_memory(*names: str) -> Iterator[None]:
     """Around the Python of one task, which uses the caches of these names.
 
-    Workers outlive stages and serve one operator after another: what others have left is dropped first, and memory that
-    Arrow holds unused goes back to the system, at the end too, as an idle worker has it beside the JVM.
+    Workers outlive stages and serve one operator after another: what others have left is dropped first, and unused memory
+    goes back to the system, at the end too, as an idle worker has it beside the JVM.
     """
-    pool = pa.default_memory_pool()
     if others := [cache for name, cache in _KEPT.items() if cache and name not in names]:
         for cache in others:
             cache.clear()
         gc.collect()
-    pool.release_unused()
+    _give_back()
     try:
         yield
     finally:
-        pool.release_unused()
+        _give_back()
 
 
 def shared_folder(spark: SparkSession) -> str:
