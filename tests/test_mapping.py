@@ -122,3 +122,14 @@ def test_split_halves_against_brute_force(spark, monkeypatch, most):
     rows = spark.createDataFrame([(r,) for r in reads], "read string")
     found = fuzzy.split_match(rows, "hit", rows["read"], 1, known, 12, 1).collect()
     assert sorted((str(r["read"]), str(r["hit"])) for r in found) == sorted(expected) and len({h for _, h in expected}) > 5
+
+
+@pytest.mark.parametrize("n", [None, 10, 10_000])
+def test_thirds_find_what_halves_find(spark, n):
+    rng = random.Random(5)
+    letters = lambda k, of="AC": "".join(rng.choice(of) for _ in range(k))
+    known = spark.createDataFrame([(i, letters(8)) for i in range(60)], "idx long, seq string")
+    segments = spark.createDataFrame([(s,) for s in {letters(8, "ACN") for _ in range(400)}], "seg string")
+    run = lambda n: sorted(map(tuple, fuzzy.match_by_halves(segments, known, 8, n).collect()))
+    by_misses = sorted(map(tuple, fuzzy.match_by_misses(segments, known, 8).collect()))
+    assert run(n) == by_misses and by_misses
