@@ -124,6 +124,27 @@ def test_split_halves_against_brute_force(spark, monkeypatch, most):
     assert sorted((str(r["read"]), str(r["hit"])) for r in found) == sorted(expected) and len({h for _, h in expected}) > 5
 
 
+@pytest.mark.parametrize("kind, text", [("gex", cat.GEX_GEOMETRY), ("crispr", cat.CRISPR_GEOMETRY)])
+def test_large_libraries_move_reads_once_and_map_as_small_ones_do(spark, tmp_path_factory, monkeypatch, kind, text):
+    path = str(tmp_path_factory.mktemp("move") / "read_pairs.parquet")
+    cat._reads(spark, DATA, kind).write.parquet(path)
+    reads = spark.read.parquet(path)
+    keys = ["feature", "feature_end", "barcode", "umi", "alias", *mapping.REASONS]
+    flags = lambda: mapping.flagged(reads, geometry.parse(text), cat._libraries(spark, DATA, kind))
+    small = flags().select("read_id", *keys).collect()
+    n = 10 if kind == "gex" else 100  # whitelist, anchors and probes stay broadcast
+    monkeypatch.setattr(fuzzy, "BROADCAST_SEQUENCES", n)
+    assert sorted(flags().select("read_id", *keys).collect(), key=str) == sorted(small, key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = flags().groupBy("alias", "feature", "barcode", "umi").count()
+        moved.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = moved._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len([x for x in plan.splitlines() if "FileScan" in x and "r2_seq" in x]) == 1
+
+
 @pytest.mark.parametrize("n", [None, 10, 10_000])
 def test_thirds_find_what_halves_find(spark, n):
     rng = random.Random(5)
